@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import exact_dedup, sharding, simhash
+from kestrel.llm import bpe, exact_dedup, sharding, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,32 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file of op8."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_bpe_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_simhash_near_dedup,
+    op2_prefix_sum_sharding,
+    op3_exact_dedup,
+    op8_bpe_distinct_words,
+    op9_substring_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_prefix_sum_sharding, op3_exact_dedup)}
+    return {f.__name__: f for f in ALL}
 
 
 OP3_SQL = r"""
