@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kestrel.llm import bpe, exact_dedup, sharding, simhash, substring_dedup
+from kestrel.llm import (
+    bpe,
+    exact_dedup,
+    langid,
+    line_dedup,
+    packing,
+    sharding,
+    simhash,
+    substring_dedup,
+    topk,
+    url_rules,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +36,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.report(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+def op7_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(_table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     """The public tokenizer file of op8."""
     import public_tokenizers
@@ -40,12 +67,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_simhash_near_dedup,
     op2_prefix_sum_sharding,
     op3_exact_dedup,
+    op4_language_id,
+    op5_url_rules,
+    op6_line_dedup,
+    op7_ball_tree_topk,
     op8_bpe_distinct_words,
     op9_substring_dedup,
+    op10_best_fit_packing,
 )
 
 
@@ -67,5 +103,45 @@ FROM t
 """
 
 
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, i,
+         unnest(string_split(text, chr(10))) AS line
+  FROM (SELECT doc_id, source, text, 1 AS i FROM documents)
+), numbered AS (
+  SELECT doc_id, source, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t,
+         row_number() OVER () AS at
+  FROM l
+), pages AS (
+  SELECT source, count(*) AS pages FROM documents GROUP BY source
+), common AS (
+  SELECT n.source, n.t
+  FROM numbered n JOIN pages p ON n.source IS NOT DISTINCT FROM p.source
+  WHERE n.t <> ''
+  GROUP BY n.source, n.t, p.pages
+  HAVING count(DISTINCT n.doc_id) >= 3 AND count(DISTINCT n.doc_id) > p.pages * 0.1
+)
+SELECT n.doc_id,
+       count(*) AS n_lines,
+       count(c.t) AS n_dropped,
+       sha256(coalesce(string_agg(n.line, chr(10) ORDER BY n.at) FILTER (c.t IS NULL), '')) AS kept_sha256
+FROM numbered n LEFT JOIN common c ON n.source IS NOT DISTINCT FROM c.source AND n.t = c.t
+GROUP BY n.doc_id
+"""
+
+OP7_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_ball_tree_topk": OP7_SQL}
