@@ -7,8 +7,8 @@ for its filter's false-positive rate f (from the slots it fills):
 (hits/n - f) / (1 - f).  The highest corrected rate decides, and is the score.
 
 A language's filter holds the n-grams frequent in it: the ``per_language`` most
-frequent, counted by Spark over a bounded sample of labelled rows (``sample_rows``,
-those with the smallest hash of their id).  Prediction reads whole texts and only
+frequent, counted by Spark over a bounded sample of labelled rows (about
+``sample_rows``, chosen by a hash of id and text).  Prediction reads whole texts and only
 them; every row is predicted.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0;
@@ -140,19 +140,15 @@ def fit(
     sample_rows: int = 20_000,
     per_language: int = 2_500,
 ) -> Model:
-    """Learn from labelled rows that are not held out; at most ``sample_rows`` of them."""
-    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    chosen = (
-        labelled.select(
-            F.col(lang_col).cast("string").alias("lang"),
-            F.col(text_col).cast("string").alias("text"),
-            F.xxhash64(F.col(id_col).cast("string")).alias("at"),
-        )
-        .orderBy("at")
-        .limit(sample_rows)
-        .select("lang", "text")
+    """Learn from labelled rows that are not held out; about ``sample_rows`` of them."""
+    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
+    rows = labelled.count()
+    # A share of the hash range, not a sort: no task gathers the sample.
+    share = min(1.0, sample_rows / max(1, rows))
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(1 << 30))
+    chosen = labelled.where(F.col(text_col).isNotNull() & (at < int(share * (1 << 30)))).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +168,7 @@ def fit(
                     names=["lang", "gram", "n"],
                 )
 
-    counts = chosen.repartition(parts).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram")
+    counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(best)).where(
         F.col("rank") <= per_language
