@@ -1,15 +1,18 @@
 """BPE encoding and decoding through a distinct-word table.
 
 1. Split: texts are cut at ASCII white space, chunk by chunk (a chunk is a run of
-   documents of one task).  A chunk's row holds its distinct words, and each
-   document as positions into them; these rows are written once.
-2. Encode: the words of all chunks meet by word, and each distinct word is encoded
-   once.  A word arrives once per chunk, not once per occurrence, so the commonest
-   words are no hot keys.
-3. Join back: a chunk's words return with their ids, and its documents - read by
-   bucket, not shuffled - look their ids up by position.
+   documents of one task).  A chunk's row holds its distinct words, dealt into
+   buckets by a hash of the word, and each document as positions into them; these
+   rows are written once.
+2. Encode: the words of all chunks meet bucket by bucket, and each distinct word is
+   encoded once.  A word arrives once per chunk, not once per occurrence, so the
+   commonest words are no hot keys.
+3. Join back: each chunk's words return with their ids, and its documents - read by
+   bucket of the table, not shuffled - look their ids up by position.
 4. Decode: ids join the id-to-piece table (bounded by the vocabulary, a parameter).
 
+Words and ids travel packed and compressed, one row per chunk and bucket.
+
 Cutting at ASCII white space first is exact for tokenizers that split at white
 space and drop it, whose added tokens hold none and strip none: normalisation never
 composes across a space.  :func:`check_tokenizer` refuses others.
@@ -25,6 +28,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -52,61 +56,92 @@ def check_tokenizer(spec: str) -> None:
         raise ValueError("this tokenizer's ids depend on more than the words between white space")
 
 
-def split(docs: DataFrame, id_col: str, text_col: str, table: str, parts: int) -> DataFrame:
-    """Table (chunk, ids, sizes, codes, words), one row per chunk, bucketed by chunk."""
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values as compressed bytes of equal weight side by side."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
+class _Chunk:
+    """Documents gathered by one task."""
+
+    def __init__(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.ids: list = []
+        self.codes: list[np.ndarray] = []
+        self.total = 0
+
+    def add(self, key, words: list[bytes]) -> None:
+        put, seen = self.seen.setdefault, self.seen
+        self.codes.append(np.fromiter((put(w, len(seen)) for w in words), dtype=np.int32, count=len(words)))
+        self.ids.append(key)
+        self.total += len(words)
+
+    def row(self, number: int, id_type: pa.DataType, buckets: int) -> pa.RecordBatch:
+        words = list(self.seen)
+        flat = np.concatenate(self.codes)
+        bucket = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % buckets
+        table = pa.table({"bucket": bucket, "word": pa.array(words, pa.binary())})
+        order = pc.sort_indices(table, sort_keys=[("bucket", "ascending"), ("word", "ascending")]).to_numpy()
+        counts = np.bincount(flat, minlength=len(words))[order]
+        # Frequent words get small codes, which compress better; counts alone restore them.
+        code = np.empty(len(words), dtype=np.uint32)
+        code[order[np.argsort(-counts, kind="stable")]] = np.arange(len(words), dtype=np.uint32)
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        packs = []
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            own = [words[k] for k in order[edges[b] : edges[b + 1]].tolist()]
+            data = b"\n".join(own)  # words hold no line feed
+            packs.append({"bucket": b, "size": len(data), "words": pa.compress(data, codec="zstd", asbytes=True)})
+        sizes = np.fromiter(map(len, self.codes), dtype=np.int64, count=len(self.codes))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()),
+                pa.array([self.ids], pa.list_(id_type)),
+                pa.array([_pack(sizes)], pa.binary()),
+                pa.array([_pack(code[flat])], pa.binary()),
+                pa.array([_pack(counts)], pa.binary()),
+                pa.array([len(words)], pa.int64()),
+                pa.array([packs], PACKS),
+            ],
+            names=["chunk", "ids", "sizes", "codes", "counts", "distinct", "packs"],
+        )
+
+
+PACKS = pa.list_(pa.struct([("bucket", pa.int32()), ("size", pa.int64()), ("words", pa.binary())]))
+
+
+def split(docs: DataFrame, id_col: str, text_col: str, table: str, parts: int, buckets: int) -> DataFrame:
+    """Table of chunks, one row each, bucketed by chunk."""
     given = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
         F.spark_partition_id().cast("long").alias("part"),
     )
-    id_type = given.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        ids: list = []
-        codes: list[np.ndarray] = []
-        total = serial = 0
-        part = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal seen, ids, codes, total, serial
-            sizes = np.fromiter(map(len, codes), dtype=np.int32, count=len(codes))
-            flat = np.concatenate(codes) if codes else np.empty(0, np.int32)
-            # Frequent words get small codes, which compress better.
-            n = np.bincount(flat, minlength=len(seen))
-            order = np.argsort(-n, kind="stable")
-            rank = np.empty(len(seen), dtype=np.int32)
-            rank[order] = np.arange(len(seen), dtype=np.int32)
-            names = pa.array(list(seen), pa.binary()).cast(pa.string()).take(pa.array(order))
-            words = pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), names)
-            row = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(part << 24) + serial], pa.int64()),
-                    pa.array([ids], pa.list_(id_pa)),
-                    pa.array([sizes.tobytes()], pa.binary()),
-                    pa.array([pa.compress(_planes(rank[flat]), codec="zstd", asbytes=True)], pa.binary()),
-                    words,
-                ],
-                names=["chunk", "ids", "sizes", "codes", "words"],
-            )
-            seen, ids, codes, total, serial = {}, [], [], 0, serial + 1
-            return row
-
-        id_pa = None
+        chunk, serial, part, id_type = _Chunk(), 0, 0, None
         for batch in batches:
-            id_pa = batch.column(0).type
-            for i, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = text.split()
-                if ids and total + len(words) > CHUNK_WORDS:
-                    yield flush()
-                put = seen.setdefault
-                codes.append(np.fromiter((put(w, len(seen)) for w in words), dtype=np.int32, count=len(words)))
-                ids.append(i)
-                total += len(words)
-        if ids:
-            yield flush()
-
-    schema = f"chunk long, ids array<{id_type}>, sizes binary, codes binary, words array<string>"
+            id_type = batch.column(0).type
+            for row in range(batch.num_rows):
+                part = batch.column(2)[row].as_py()
+                words = batch.column(1)[row].as_py().split()
+                if chunk.ids and chunk.total + len(words) > CHUNK_WORDS:
+                    yield chunk.row((part << 24) + serial, id_type, buckets)
+                    chunk, serial = _Chunk(), serial + 1
+                chunk.add(batch.column(0)[row].as_py(), words)
+        if chunk.ids:
+            yield chunk.row((part << 24) + serial, id_type, buckets)
+
+    schema = (
+        f"chunk long, ids array<{given.schema['id'].dataType.simpleString()}>, sizes binary, codes binary, "
+        "counts binary, distinct long, packs array<struct<bucket: int, size: long, words: binary>>"
+    )
     (
         given.mapInArrow(run, schema)
         .write.format("parquet")
@@ -117,39 +152,35 @@ def split(docs: DataFrame, id_col: str, text_col: str, table: str, parts: int) -
     return docs.sparkSession.table(table)
 
 
-def _planes(codes: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, with their count."""
-    return np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
-
-
 def encoded_words(chunks: DataFrame, spec: str) -> DataFrame:
-    """(chunk, code, ids): ids are little-endian 32-bit, every distinct word encoded once."""
-    words = chunks.select("chunk", F.posexplode("words").alias("code", "word"))
+    """(chunk, bucket, n, total, lengths, ids): every distinct word of a bucket encoded once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``ids`` are the packed ids of the chunk's words of that bucket, in word order.
+    """
+    packs = chunks.select("chunk", F.explode("packs").alias("p")).select("chunk", "p.*")
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         tokenizer = Tokenizer.from_str(spec)
-        last, last_ids = None, b""
-        for whole in batches:
-            for at in range(0, whole.num_rows, ENCODE_WORDS):
-                batch = whole.slice(at, ENCODE_WORDS)
-                coded = batch.column("word").dictionary_encode()
-                table = coded.dictionary.to_pylist()
-                # Rows come sorted by word: a word that goes on from the batch before is the first one here.
-                new = table[1:] if table[0] == last else table
-                ids = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)]
-                ids = [last_ids, *ids] if len(new) < len(table) else ids
-                last, last_ids = table[-1], ids[-1]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("chunk"), batch.column("code"), pa.array(ids, pa.binary()).take(coded.indices)],
-                    names=["chunk", "code", "ids"],
-                )
-
-    dealt = words.repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "chunk long, code int, ids binary")
+        known: dict[bytes, np.ndarray] = {}
+        out: dict[str, list] = {n: [] for n in ("chunk", "bucket", "n", "total", "lengths", "ids")}
+        for chunk, size, data in zip(*(rows.column(c).to_pylist() for c in ("chunk", "size", "words")), strict=True):
+            words = pa.decompress(data, size, codec="zstd", asbytes=True).split(b"\n")
+            new = [w for w in words if w not in known]
+            for at in range(0, len(new), ENCODE_WORDS):
+                part = new[at : at + ENCODE_WORDS]
+                found = tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
+                known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, found, strict=True))
+            ids = [known[w] for w in words]
+            flat = np.concatenate(ids)
+            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            row = (chunk, key[0].as_py(), len(ids), len(flat), _pack(lengths), _pack(flat))
+            for to, v in zip(out.values(), row, strict=True):
+                to.append(v)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), kinds, strict=True)})
+
+    schema = "chunk long, bucket int, n long, total long, lengths binary, ids binary"
+    return packs.groupBy("bucket").applyInArrow(run, schema)
 
 
 def pieces(spec: str) -> list[str]:
@@ -171,32 +202,30 @@ def _take(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return data[np.cumsum(step)]
 
 
-def _chunk_documents(chunk: pa.Table, words: pa.Table) -> Iterator[tuple[object, np.ndarray]]:
-    """(id, token ids) of every document of the chunks given, joined back by position."""
-    for row in range(chunk.num_rows):
-        key = chunk.column("chunk")[row].as_py()
-        own = words.filter(pc.equal(words.column("chunk"), key)) if chunk.num_rows > 1 else words
-        code = own.column("code").to_numpy()
-        order = np.argsort(code)
-        ids = own.column("ids").combine_chunks().take(pa.array(order))
-        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-        size = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
-        start = np.cumsum(size) - size
-        codes = _unplaned(pa.decompress(*_sized(chunk, row), codec="zstd", asbytes=True))
-        sizes = np.frombuffer(chunk.column("sizes")[row].as_py(), np.int32)
+def _chunk_documents(chunks: pa.Table, words: pa.Table) -> Iterator[tuple[object, np.ndarray]]:
+    """(id, token ids) of every document of the chunk given, joined back by position."""
+    words = words.sort_by("bucket")
+    packed = [words.column(c).to_pylist() for c in ("n", "total", "lengths", "ids")]
+    size, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+    for n, total, lengths, ids in zip(*packed, strict=True):
+        size.append(_unpack(lengths, n).astype(np.int64))
+        flat.append(_unpack(ids, total))
+    size, flat = np.concatenate(size), np.concatenate(flat)
+    start = np.cumsum(size) - size
+    for row in range(chunks.num_rows):
+        get = {c: chunks.column(c)[row] for c in chunks.column_names}
+        counts = _unpack(get["counts"].as_py(), get["distinct"].as_py()).astype(np.int64)
+        word = np.argsort(-counts, kind="stable")  # of each code
+        ids = get["ids"].as_py()
+        sizes = _unpack(get["sizes"].as_py(), len(ids)).tolist()
+        codes = _unpack(get["codes"].as_py(), sum(sizes))
         at = 0
-        for i, n in zip(chunk.column("ids")[row].values.to_pylist(), sizes.tolist(), strict=True):
-            mine = codes[at : at + n]
+        for i, n in zip(ids, sizes, strict=True):
+            mine = word[codes[at : at + n]]
             at += n
             yield i, _take(flat, start[mine], size[mine])
 
 
-def _sized(chunk: pa.Table, row: int) -> tuple[bytes, int]:
-    sizes = np.frombuffer(chunk.column("sizes")[row].as_py(), np.int32)
-    return chunk.column("codes")[row].as_py(), int(sizes.sum(dtype=np.int64)) * 4
-
-
 def _documents(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, run, schema: str) -> DataFrame:
     """Rows that ``run(chunk, words)`` makes of each chunk, written."""
     with open(tokenizer, encoding="utf-8") as f:
@@ -204,9 +233,10 @@ def _documents(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, run,
     check_tokenizer(spec)
     spark = docs.sparkSession
     table = f"kestrel_chunks_{uuid.uuid4().hex}"
-    chunks = split(docs, id_col, text_col, table, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = split(docs, id_col, text_col, table, parts, 2 * parts)
     words = encoded_words(chunks, spec)
-    left = chunks.select("chunk", "ids", "sizes", "codes").groupBy("chunk")
+    left = chunks.drop("packs").groupBy("chunk")
     out, _ = materialize(left.cogroup(words.groupBy("chunk")).applyInArrow(run, schema), "bpe")
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     return out
