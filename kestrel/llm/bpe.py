@@ -28,6 +28,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -40,9 +41,9 @@ from tokenizers import Tokenizer
 from kestrel.storage import materialize
 
 #: Words of one chunk at most, unless one document has more: bounds a worker's memory.
-CHUNK_WORDS = 4_000_000
+CHUNK_WORDS = 1_500_000
 #: Distinct words encoded in one call.
-ENCODE_WORDS = 50_000
+ENCODE_WORDS = 8_000
 
 
 def check_tokenizer(spec: str) -> None:
@@ -152,6 +153,12 @@ def split(docs: DataFrame, id_col: str, text_col: str, table: str, parts: int, b
     return docs.sparkSession.table(table)
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(spec: str) -> Tokenizer:
+    """Parsed once in a worker."""
+    return Tokenizer.from_str(spec)
+
+
 def encoded_words(chunks: DataFrame, spec: str) -> DataFrame:
     """(chunk, bucket, n, total, lengths, ids): every distinct word of a bucket encoded once.
 
@@ -160,8 +167,8 @@ def encoded_words(chunks: DataFrame, spec: str) -> DataFrame:
     packs = chunks.select("chunk", F.explode("packs").alias("p")).select("chunk", "p.*")
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        tokenizer = Tokenizer.from_str(spec)
-        known: dict[bytes, np.ndarray] = {}
+        tokenizer = _tokenizer(spec)
+        known: dict[bytes, bytes] = {}
         out: dict[str, list] = {n: [] for n in ("chunk", "bucket", "n", "total", "lengths", "ids")}
         for chunk, size, data in zip(*(rows.column(c).to_pylist() for c in ("chunk", "size", "words")), strict=True):
             words = pa.decompress(data, size, codec="zstd", asbytes=True).split(b"\n")
@@ -169,10 +176,10 @@ def encoded_words(chunks: DataFrame, spec: str) -> DataFrame:
             for at in range(0, len(new), ENCODE_WORDS):
                 part = new[at : at + ENCODE_WORDS]
                 found = tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, np.uint32)) for w, e in zip(part, found, strict=True))
+                known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, found, strict=True))
             ids = [known[w] for w in words]
-            flat = np.concatenate(ids)
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            flat = np.frombuffer(b"".join(ids), np.uint32)
+            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
             row = (chunk, key[0].as_py(), len(ids), len(flat), _pack(lengths), _pack(flat))
             for to, v in zip(out.values(), row, strict=True):
                 to.append(v)
