@@ -2,7 +2,7 @@
 
 Fuzzy steps compare names within a block (the season) and, by default, only pairs in
 which some token of each begins with the same letters; a blocked equi-join makes the
-candidates, JVM expressions score them, and an aggregation keeps the best.
+candidates, Arrow batches score them, and an aggregation keeps the best.
 """
 
 from __future__ import annotations

@@ -104,8 +104,8 @@ def fuzzy_levenshtein_block(t: Tables) -> DataFrame:
 def corrupted_names(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Players, mapping and valuations made from parts: names spelt with tokens swapped or a letter lost."""
     p = t.part.select(
-        F.col("p_partkey").alias("tm_id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"),
-        F.col("p_type").alias("club"), (F.col("p_partkey") % 5).cast("int").alias("season"),
+        F.col("p_partkey").alias("tm_id"), F.concat_ws(" ", "p_name", F.lower(F.hex("p_partkey"))).alias("name"),
+        F.col("p_type").alias("club"), (F.col("p_partkey") % 20).cast("int").alias("season"),
     )
     words = F.split("name", " ")
     spelt = (
@@ -147,7 +147,7 @@ def fuzzy_dimension_fallback(t: Tables) -> DataFrame:
 @query("""
 SELECT p_name AS name,
        CASE WHEN len(list_intersect(a, b)) > 0 AND
-                 (len(list_intersect(a, b)) = len(a) OR len(list_intersect(a, b)) = len(b)) THEN 100.0 END AS score
+                 (len(list_intersect(a, b)) = len(a) OR len(list_intersect(a, b)) = len(b)) THEN 100.0::DOUBLE END AS score
 FROM (SELECT DISTINCT p_name, list_distinct(string_split(p_name, ' ')) AS a,
              list_distinct(string_split(p_name || ' jr', ' ')) AS b FROM part)
 """)

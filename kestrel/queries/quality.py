@@ -67,7 +67,7 @@ def completeness(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT * FROM (VALUES ('o_orderkey', true, 0.0), ('o_custkey', true, 0.0), ('o_clubkey', false, NULL)) v("column", present, pct)
+SELECT * FROM (VALUES ('o_orderkey', true, 0.0::DOUBLE), ('o_custkey', true, 0.0), ('o_clubkey', false, NULL)) v("column", present, pct)
 """)
 def key_column_coverage(t: Tables) -> DataFrame:
     return quality.key_columns(t.orders, ["o_orderkey", "o_custkey", "o_clubkey"])

@@ -169,7 +169,7 @@ def topn_by_rank(t: Tables) -> DataFrame:
 
 AT = ["l_linenumber", "l_partkey", "l_extendedprice"]  # line numbers repeat within an order
 KNOWN = """
-  SELECT l_orderkey, (l_linenumber, l_partkey, l_extendedprice) AS at, CASE WHEN l_linenumber % 3 <> 1 THEN l_quantity END AS q,
+  SELECT l_orderkey, (l_linenumber, l_partkey, l_extendedprice) AS pos, CASE WHEN l_linenumber % 3 <> 1 THEN l_quantity END AS q,
          CASE WHEN l_linenumber % 3 <> 0 THEN l_shipdate END AS d FROM lineitem
 """
 
@@ -182,7 +182,7 @@ def _holes(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT l_orderkey, arg_min(q, at) FILTER (q IS NOT NULL) AS q, arg_min(d, at) FILTER (d IS NOT NULL) AS d
+SELECT l_orderkey, arg_min(q, pos) FILTER (q IS NOT NULL) AS q, arg_min(d, pos) FILTER (d IS NOT NULL) AS d
 FROM ({KNOWN}) GROUP BY 1
 """)
 def first_non_null_merge(t: Tables) -> DataFrame:
@@ -190,7 +190,7 @@ def first_non_null_merge(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT l_orderkey, arg_max(q, at) FILTER (q IS NOT NULL) AS q, arg_max(d, at) FILTER (d IS NOT NULL) AS d
+SELECT l_orderkey, arg_max(q, pos) FILTER (q IS NOT NULL) AS q, arg_max(d, pos) FILTER (d IS NOT NULL) AS d
 FROM ({KNOWN}) GROUP BY 1
 """)
 def last_non_null_merge(t: Tables) -> DataFrame:
