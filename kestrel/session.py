@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -30,4 +34,20 @@ def session(
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in extra.items():
         b = b.config(key.replace("__", "."), value)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a SparkContext, wherever the driver imported it from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kestrel_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="kestrel-code-")) / "kestrel.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._kestrel_shipped = True
