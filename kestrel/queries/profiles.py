@@ -284,3 +284,28 @@ def season_value_summary(t: Tables) -> DataFrame:
         F.median("m").alias("median_m"), F.round(F.avg("m"), 6).alias("mean_m"), F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("group") == "elite").alias("elite"),
     )
+
+
+@query("""
+SELECT o_orderstatus, round(avg(o_totalprice) FILTER (year(o_orderdate) = 1996), 4) AS "1996",
+       round(avg(o_totalprice) FILTER (year(o_orderdate) = 1997), 4) AS "1997" FROM orders GROUP BY 1
+""")
+def crosstab_of_means(t: Tables) -> DataFrame:
+    o = t.orders.withColumn("year", F.year("o_orderdate"))
+    return aggregates.crosstab(o, "o_orderstatus", "year", [1996, 1997], F.round(F.avg("o_totalprice"), 4), fill=None)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities FROM orders")
+def distinct_counts(t: Tables) -> DataFrame:
+    return t.orders.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("o_custkey").alias("customers"),
+        F.count_distinct("o_orderpriority").alias("priorities"),
+    )
+
+
+@query()
+def quantile_target(t: Tables) -> DataFrame:
+    """Target mapped to [0, 1] by exact quantiles, and the split its key's hash gives it."""
+    o = splits.hashed(t.orders, ["o_orderkey"], {"train": 0.7, "validation": 0.15, "test": 0.15})
+    return metrics.quantile_uniform(o, "o_totalprice", "u").select("o_orderkey", "split", F.round("u", 8).alias("u"))
