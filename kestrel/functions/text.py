@@ -176,7 +176,7 @@ def indel_ratio(a: Column, b: Column) -> Column:
     """100 * 2 * LCS / (|a| + |b|); 100 for two empty strings, null for a null one.
 
     The longest common subsequence is found bit-parallel in an Arrow batch: as a JVM
-    expression it takes nested folds over arrays, about a hundred times slower.
+    expression it takes nested folds over arrays, which are far slower.
     """
     return _indel_udf()(a, b)
 
