@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kestrel.operators.aggregates import profile
 from kestrel.operators.splits import hashed
+from kestrel.plans import explain, tuning
 from kestrel.plans import modelling as m
 from kestrel.queries.registry import Tables, query
 from kestrel.queries.windows import _yearly
@@ -95,3 +96,40 @@ SELECT l_orderkey AS o_orderkey, round(2.0 * (qty - avg(qty) OVER ()), 6) AS sha
 def linear_shap(t: Tables) -> DataFrame:
     out = m.linear_shap(_learning(t), ["qty", "lines"], [2.0, -1.5])
     return out.select("o_orderkey", F.round("shap_qty", 6).alias("shap_qty"), F.round("shap_lines", 6).alias("shap_lines"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, sum(l_quantity) AS qty, count(*)::DOUBLE AS lines FROM lineitem GROUP BY 1),
+d AS (SELECT o_orderkey, qty, lines, c_acctbal FROM s JOIN orders ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey),
+b AS (SELECT avg(qty) AS qty, avg(lines) AS lines, avg(c_acctbal) AS c_acctbal FROM (SELECT * FROM d ORDER BY o_orderkey LIMIT 8))
+SELECT o_orderkey, 'volume' AS feature, round(2.0 * (d.qty - b.qty) - 1.5 * (d.lines - b.lines), 4) AS shap FROM d, b
+UNION ALL SELECT o_orderkey, 'c_acctbal', round(0.25 * (d.c_acctbal - b.c_acctbal), 4) FROM d, b
+""")
+def sampled_shap_groups(t: Tables) -> DataFrame:
+    """Sampled SHAP of a linear score against eight background orders, added up by group of inputs."""
+    data, names = _learning(t), ["qty", "lines", "c_acctbal"]
+    score = lambda df: df.withColumn("predicted", 2 * F.col("qty") - 1.5 * F.col("lines") + 0.25 * F.col("c_acctbal"))
+    values = explain.sampled_shap(score, data, data.orderBy("o_orderkey").limit(8), "o_orderkey", names, ["o_orderkey"], walks=8)
+    out = explain.grouped(values, "o_orderkey", {"volume": ["qty", "lines"]})
+    return out.select("o_orderkey", "feature", F.round("shap", 4).alias("shap"))
+
+
+@query()
+def local_surrogate(t: Tables) -> DataFrame:
+    """Conditions that carry one order's predicted price, with their impacts."""
+    data = _learning(t)
+    model = _learners()["ols"].fit(m.prepare(data, "o_totalprice", FEATURES))
+    score = lambda df: m.scored(model, m.prepare(df.withColumn("o_totalprice", F.lit(0.0)), "o_totalprice", FEATURES), "predicted")
+    row = data.orderBy(F.desc("o_totalprice"), "o_orderkey").first().asDict()
+    found = explain.surrogate(score, row, data, FEATURES)
+    return t.spark.createDataFrame([(n, explain.readable(n, row, {}), v) for n, v in found], "condition string, label string, impact double")
+
+
+@query()
+def parameter_search(t: Tables) -> DataFrame:
+    """Trials of a search for the regularisation of a linear learner, in order."""
+    data = m.prepare(hashed(_learning(t), ["o_orderkey"], {"train": 0.7, "test": 0.3}), "o_totalprice", FEATURES)
+    make = lambda p: LinearRegression(labelCol="label", weightCol="weight", regParam=p["reg"], elasticNetParam=p["mix"])
+    space = {"reg": tuning.Range(1e-4, 1, log=True), "mix": [0.0, 0.5, 1.0]}
+    done = tuning.tune(make, space, data.where("split = 'train'"), data.where("split = 'test'"), trials=12)[2]
+    return t.spark.createDataFrame([(i, p["reg"], p["mix"], v) for i, (p, v) in enumerate(done)], "trial int, reg double, mix double, rmse double")

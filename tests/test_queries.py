@@ -11,7 +11,7 @@ from kestrel.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Model fits and cascades: covered by tests of their own.
-SLOW = {"stacked_ranking", "permutation_importance", "fuzzy_token_set_cascade", "orphan_diagnostics", "principal_components"}
+SLOW = {"stacked_ranking", "permutation_importance", "fuzzy_token_set_cascade", "orphan_diagnostics", "principal_components", "parameter_search"}
 
 
 def norm(v):
