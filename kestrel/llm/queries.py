@@ -142,6 +142,34 @@ WITH v AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d
+), spans AS (
+  SELECT doc_id, pos, word,
+         CASE WHEN count(*) OVER s = 35 THEN md5(string_agg(word, ' ') OVER s) END AS span
+  FROM w
+  WINDOW s AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), starts AS (
+  SELECT doc_id, pos, word, span IS NOT NULL AND count(*) OVER (PARTITION BY span) > 1 AS again FROM spans
+), marked AS (
+  SELECT doc_id, pos, word,
+         bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM starts
+)
+SELECT d.doc_id, count(m.word) AS n_words, count(*) FILTER (m.gone) AS n_removed,
+       sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.pos) FILTER (NOT m.gone), '')) AS kept_sha256
+FROM d LEFT JOIN marked m ON d.doc_id = m.doc_id
+GROUP BY d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_ball_tree_topk": OP7_SQL}
+    return {
+        "op3_exact_dedup": OP3_SQL,
+        "op6_line_dedup": OP6_SQL,
+        "op7_ball_tree_topk": OP7_SQL,
+        "op9_substring_dedup": OP9_SQL,
+    }
