@@ -98,10 +98,14 @@ def strip_accents(x: Column) -> Column:
 
 
 def transliterate(x: Column) -> Column:
-    """ASCII spelling: accents stripped and letters like ø, ß, ł spelt out."""
+    """ASCII spelling: accents stripped and letters like ø, ß, ł spelt out; ASCII text is left alone."""
+    source, target = _accents()
+    single = {a: b for a, b in LETTERS.items() if len(b) == 1}
+    y = F.translate(x, source + "".join(single), target + "".join(single.values()))
     for letter, ascii_ in LETTERS.items():
-        x = F.replace(x, F.lit(letter), F.lit(ascii_))
-    return strip_accents(x)
+        if letter not in single:
+            y = F.replace(y, F.lit(letter), F.lit(ascii_))
+    return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(y, r"\p{Mn}", "")).otherwise(x)
 
 
 def squeeze(x: Column) -> Column:
@@ -117,7 +121,7 @@ def repair_mojibake(x: Column) -> Column:
 
 def normalise_name(x: Column) -> Column:
     """Join key of a name: repaired, ASCII, lower case, letters, digits and single spaces."""
-    return squeeze(F.regexp_replace(F.lower(transliterate(repair_mojibake(x))), r"[^a-z0-9 ]", " "))
+    return F.trim(F.regexp_replace(F.lower(transliterate(repair_mojibake(x))), r"[^a-z0-9]+", " "))
 
 
 def clean_text(x: Column) -> Column:
