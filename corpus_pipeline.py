@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import exact_dedup, langid, packing, simhash, substring_dedup
+from kestrel.llm import exact_dedup, langid, near_dedup, packing, substring_dedup
 from kestrel.storage import materialize
 
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    return simhash.deduplicate(docs)
+    """One document of each class by five-word shingles, Jaccard similarity 0.8 or more, stays."""
+    return near_dedup.deduplicate(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
