@@ -1,8 +1,9 @@
 """Record linkage: an exact-then-fuzzy cascade in which each step sees only what is still unmatched.
 
-Fuzzy steps compare names within a block (the season) and, by default, only pairs in
-which some token of each begins with the same letters; a blocked equi-join makes the
-candidates, Arrow batches score them, and an aggregation keeps the best.
+Fuzzy steps compare all distinct names within a block (the season); a ``prefix`` leaves
+only pairs in which some token of each begins with the same letters, and loses matches
+whose heads differ.  A blocked equi-join makes the candidates, Arrow batches score them,
+and an aggregation keeps the best.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from kestrel.functions.text import CLUB_ALIASES, map_or_self, sorted_tokens, tok
 from kestrel.operators.columns import c
 from kestrel.storage import materialize
 
-PREFIX = 2
+PREFIX: int | None = None
 
 
 def candidates(left: DataFrame, right: DataFrame, block: Sequence[str], name: str, prefix: int | None = PREFIX) -> DataFrame:

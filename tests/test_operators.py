@@ -37,6 +37,21 @@ def test_prefix_blocking_finds_what_the_whole_block_finds(spark):
     assert got <= want and ("anna berg", "ana berg") in got and ("carl dahl", "karl dahl") in got
 
 
+def test_names_with_another_head_are_matched(spark):
+    schema = "row_id long, season int, name_clean string, club_clean string"
+    players = spark.createDataFrame([(1, 2020, "thiago", "x"), (2, 2020, "ronaldo", "y")], schema)
+    mapping = spark.createDataFrame([("tiago", 10)], "name_clean string, tm_id long")
+    values = spark.createDataFrame([(2020, "tiago", "x", 10), (2020, "onaldo", "y", 20)], "season int, name_clean string, club_clean string, tm_id long")
+    found, orphans = linkage.cascade(players, mapping, values)
+    assert {(r.row_id, r.tm_id) for r in found.collect()} == {(1, 10), (2, 20)} and orphans.count() == 0
+    near = linkage.diagnose(players, values, "name_clean", "row_id")
+    assert {(r.row_id, r.nearest, r.reason) for r in near.collect()} == {
+        (1, "tiago", "close name, other season or club"), (2, "onaldo", "close name, other season or club"),
+    }
+    dim = values.drop("club_clean")
+    assert {r.tm_id for r in linkage.fuzzy_dimension(players, dim, ["season"], "name_clean", ["tm_id"]).collect()} == {10, 20}
+
+
 def test_league_table_breaks_ties_by_name(spark):
     rows = [("E", "14/08/2020", "A", "B", 1, 1), ("E", "15/08/2020", "C", "A", 0, 2), ("E", "bad", "A", "B", 5, 0)]
     df = spark.createDataFrame(rows, "league string, Date string, HomeTeam string, AwayTeam string, FTHG int, FTAG int")
