@@ -107,12 +107,18 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
     """Read-modify-overwrite of one path: the new version is written beside it, then takes its place."""
     spark = df.sparkSession
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    new, old = fs_path(path + ".new"), fs_path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new, now, old = (fs_path(path + end) for end in (".new", "", ".old"))
+    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(now) and fs.exists(old):  # a run that died between the two renames
+        fs.rename(old, now)
     fs.delete(new, True)
     df.write.parquet(path + ".new")
     fs.delete(old, True)
-    fs.rename(new, old)
+    if fs.exists(now):
+        fs.rename(now, old)
+    if not fs.rename(new, now):
+        raise OSError(f"{path} could not be replaced; its last version is in {path}.old")
+    fs.delete(old, True)
     return spark.read.parquet(path)
 
 
