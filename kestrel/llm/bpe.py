@@ -1,17 +1,18 @@
 """BPE encoding and decoding through a distinct-word table.
 
-1. Split: texts are cut at ASCII white space, chunk by chunk (a chunk is a run of
-   documents of one task).  A chunk's row holds its distinct words, dealt into
-   buckets by a hash of the word, and each document as positions into them; these
-   rows are written once.
+1. Split: Spark splits texts into words at ASCII white space.  A chunk is a run of
+   documents of one task; its row holds its distinct words, dealt into buckets by a
+   hash of the word, and each document as positions into them.  Rows are written once.
 2. Encode: the words of all chunks meet bucket by bucket, and each distinct word is
    encoded once.  A word arrives once per chunk, not once per occurrence, so the
-   commonest words are no hot keys.
+   commonest words are no hot keys.  A bucket's words stream through its task, which
+   holds its distinct words; the number of buckets follows the bytes of the texts.
 3. Join back: each chunk's words return with their ids, and its documents - read by
    bucket of the table, not shuffled - look their ids up by position.
-4. Decode: ids join the id-to-piece table (bounded by the vocabulary, a parameter).
+4. Decode: ids join the id-to-piece table (one row of the vocabulary's size).
 
-Words and ids travel packed and compressed, one row per chunk and bucket.
+Words and ids travel packed and compressed, one row per chunk and bucket: a row for
+each word of each chunk, or each occurrence, would be several times the input.
 
 Cutting at ASCII white space first is exact for tokenizers that split at white
 space and drop it, whose added tokens hold none and strip none: normalisation never
@@ -19,14 +20,13 @@ composes across a space.  :func:`check_tokenizer` refuses others.
 
 Defined results: null text is empty and has no ids; empty and white-space texts
 have no ids and decode to nothing; ids may repeat and be null, every row is
-answered; other columns are never read.
+answered; a very long text is a chunk of its own, which one task holds; other
+columns are never read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -34,16 +34,21 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kestrel.storage import materialize
+from kestrel.llm.rows import SPACE, small_batches
+from kestrel.storage import Scratch, materialize, scratch
 
 #: Words of one chunk at most, unless one document has more: bounds a worker's memory.
 CHUNK_WORDS = 1_500_000
 #: Distinct words encoded in one call.
 ENCODE_WORDS = 8_000
+#: Bytes of text for each bucket of words, at most.
+BUCKET_BYTES = 16 << 20
+#: White space that words are split at.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def check_tokenizer(spec: str) -> None:
@@ -72,20 +77,21 @@ class _Chunk:
     """Documents gathered by one task."""
 
     def __init__(self) -> None:
-        self.seen: dict[bytes, int] = {}
         self.ids: list = []
-        self.codes: list[np.ndarray] = []
+        self.words: list[pa.Array] = []
+        self.sizes: list[int] = []
         self.total = 0
 
-    def add(self, key, words: list[bytes]) -> None:
-        put, seen = self.seen.setdefault, self.seen
-        self.codes.append(np.fromiter((put(w, len(seen)) for w in words), dtype=np.int32, count=len(words)))
+    def add(self, key, words: pa.Array) -> None:
         self.ids.append(key)
+        self.words.append(words)
+        self.sizes.append(len(words))
         self.total += len(words)
 
     def row(self, number: int, id_type: pa.DataType, buckets: int) -> pa.RecordBatch:
-        words = list(self.seen)
-        flat = np.concatenate(self.codes)
+        coded = pa.concat_arrays(self.words).dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        flat = coded.indices.to_numpy(zero_copy_only=False)
         bucket = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % buckets
         table = pa.table({"bucket": bucket, "word": pa.array(words, pa.binary())})
         order = pc.sort_indices(table, sort_keys=[("bucket", "ascending"), ("word", "ascending")]).to_numpy()
@@ -99,7 +105,7 @@ class _Chunk:
             own = [words[k] for k in order[edges[b] : edges[b + 1]].tolist()]
             data = b"\n".join(own)  # words hold no line feed
             packs.append({"bucket": b, "size": len(data), "words": pa.compress(data, codec="zstd", asbytes=True)})
-        sizes = np.fromiter(map(len, self.codes), dtype=np.int64, count=len(self.codes))
+        sizes = np.array(self.sizes, dtype=np.int64)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number], pa.int64()),
@@ -117,12 +123,17 @@ class _Chunk:
 PACKS = pa.list_(pa.struct([("bucket", pa.int32()), ("size", pa.int64()), ("words", pa.binary())]))
 
 
-def split(docs: DataFrame, id_col: str, text_col: str, table: str, parts: int, buckets: int) -> DataFrame:
+def words(text: Column) -> Column:
+    """Words of a text, at ASCII white space; none of a null or blank one."""
+    trimmed = F.trim(F.coalesce(text.cast("string"), F.lit("")), F.lit(SPACES))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, out: Scratch, parts: int, buckets: int) -> DataFrame:
     """Table of chunks, one row each, bucketed by chunk."""
+    small_batches(docs.sparkSession)
     given = docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
-        F.spark_partition_id().cast("long").alias("part"),
+        F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"), F.spark_partition_id().cast("long").alias("part")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +142,11 @@ def split(docs: DataFrame, id_col: str, text_col: str, table: str, parts: int, b
             id_type = batch.column(0).type
             for row in range(batch.num_rows):
                 part = batch.column(2)[row].as_py()
-                words = batch.column(1)[row].as_py().split()
-                if chunk.ids and chunk.total + len(words) > CHUNK_WORDS:
+                own = batch.column(1)[row].values
+                if chunk.ids and chunk.total + len(own) > CHUNK_WORDS:
                     yield chunk.row((part << 24) + serial, id_type, buckets)
                     chunk, serial = _Chunk(), serial + 1
-                chunk.add(batch.column(0)[row].as_py(), words)
+                chunk.add(batch.column(0)[row].as_py(), own)
         if chunk.ids:
             yield chunk.row((part << 24) + serial, id_type, buckets)
 
@@ -143,14 +154,7 @@ def split(docs: DataFrame, id_col: str, text_col: str, table: str, parts: int, b
         f"chunk long, ids array<{given.schema['id'].dataType.simpleString()}>, sizes binary, codes binary, "
         "counts binary, distinct long, packs array<struct<bucket: int, size: long, words: binary>>"
     )
-    (
-        given.mapInArrow(run, schema)
-        .write.format("parquet")
-        .option("compression", "zstd")
-        .bucketBy(parts, "chunk")
-        .saveAsTable(table)
-    )
-    return docs.sparkSession.table(table)
+    return out.table(given.mapInArrow(run, schema), "chunk", parts, "chunks")
 
 
 @lru_cache(maxsize=1)
@@ -166,25 +170,26 @@ def encoded_words(chunks: DataFrame, spec: str) -> DataFrame:
     """
     packs = chunks.select("chunk", F.explode("packs").alias("p")).select("chunk", "p.*")
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(spec)
         known: dict[bytes, bytes] = {}
-        out: dict[str, list] = {n: [] for n in ("chunk", "bucket", "n", "total", "lengths", "ids")}
-        for chunk, size, data in zip(*(rows.column(c).to_pylist() for c in ("chunk", "size", "words")), strict=True):
-            words = pa.decompress(data, size, codec="zstd", asbytes=True).split(b"\n")
-            new = [w for w in words if w not in known]
-            for at in range(0, len(new), ENCODE_WORDS):
-                part = new[at : at + ENCODE_WORDS]
-                found = tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, found, strict=True))
-            ids = [known[w] for w in words]
-            flat = np.frombuffer(b"".join(ids), np.uint32)
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-            row = (chunk, key[0].as_py(), len(ids), len(flat), _pack(lengths), _pack(flat))
-            for to, v in zip(out.values(), row, strict=True):
-                to.append(v)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), kinds, strict=True)})
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in ("chunk", "bucket", "n", "total", "lengths", "ids")}
+            for chunk, size, data in zip(*(batch.column(c) for c in ("chunk", "size", "words")), strict=True):
+                own = pa.decompress(data.as_py(), size.as_py(), codec="zstd", asbytes=True).split(b"\n")
+                new = [w for w in own if w not in known]
+                for at in range(0, len(new), ENCODE_WORDS):
+                    part = new[at : at + ENCODE_WORDS]
+                    found = tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
+                    known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, found, strict=True))
+                ids = [known[w] for w in own]
+                flat = np.frombuffer(b"".join(ids), np.uint32)
+                lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+                row = (chunk.as_py(), key[0].as_py(), len(ids), len(flat), _pack(lengths), _pack(flat))
+                for to, v in zip(out.values(), row, strict=True):
+                    to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     schema = "chunk long, bucket int, n long, total long, lengths binary, ids binary"
     return packs.groupBy("bucket").applyInArrow(run, schema)
@@ -233,42 +238,45 @@ def _chunk_documents(chunks: pa.Table, words: pa.Table) -> Iterator[tuple[object
             yield i, _take(flat, start[mine], size[mine])
 
 
-def _documents(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, run, schema: str) -> DataFrame:
-    """Rows that ``run(chunk, words)`` makes of each chunk, written."""
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = f.read()
+def _encoded(docs: DataFrame, spec: str, id_col: str, text_col: str, out: Scratch) -> DataFrame:
+    """(id, ids, bytes) of every row, not yet run; ``bytes`` are the ids, little-endian."""
     check_tokenizer(spec)
-    spark = docs.sparkSession
-    table = f"kestrel_chunks_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = split(docs, id_col, text_col, table, parts, 2 * parts)
-    words = encoded_words(chunks, spec)
+    kind = docs.schema[id_col].dataType.simpleString()
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunked(docs, id_col, text_col, out, parts, max(2 * parts, -(-size // BUCKET_BYTES)))
+    own = encoded_words(chunks, spec)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, ids = zip(*_chunk_documents(left, right), strict=True)
+        values = np.concatenate([*ids, np.empty(0, np.uint32)]).astype("<i4")
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))).astype(np.int32)
+        whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+        data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends * 4), pa.py_buffer(values)])
+        return pa.table({"id": pa.array(key, left.column("ids").type.value_type), "ids": whole, "bytes": data})
+
     left = chunks.drop("packs").groupBy("chunk")
-    out, _ = materialize(left.cogroup(words.groupBy("chunk")).applyInArrow(run, schema), "bpe")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    return out
+    return left.cogroup(own.groupBy("chunk")).applyInArrow(run, f"id {kind}, ids array<int>, bytes binary")
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _spec(tokenizer: str) -> str:
+    with open(tokenizer, encoding="utf-8") as f:
+        return f.read()
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = list(_chunk_documents(left, right))
-        ids = pa.array([x.astype(np.int32) for _, x in out], pa.list_(pa.int32()))
-        return pa.table({id_col: pa.array([i for i, _ in out], left.column("ids").type.value_type), "ids": ids})
 
-    return _documents(docs, tokenizer, id_col, text_col, run, f"`{id_col}` {kind}, ids array<int>")
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>) of every row."""
+    with scratch(docs.sparkSession) as out:
+        found = _encoded(docs, _spec(tokenizer), id_col, text_col, out)
+        return materialize(found.select(F.col("id").alias(id_col), "ids"), "encoded")[0]
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """``encoded`` with the text of its ids: a positional join with the id-to-piece table, in the JVM."""
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = f.read()
+    """``encoded`` with the text of its ids: each joins the id-to-piece table by position, in the JVM."""
+    spec = _spec(tokenizer)
     check_tokenizer(spec)
-    spark = encoded.sparkSession
-    names = pieces(spec)
-    table = spark.createDataFrame([(names,)], "__pieces array<string>")  # one row, of the vocabulary's size
+    # One row, of the vocabulary's size.
+    table = encoded.sparkSession.createDataFrame([(pieces(spec),)], "__pieces array<string>")
     return (
         encoded.crossJoin(F.broadcast(table))
         .withColumn(
@@ -280,30 +288,16 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: st
 
 
 def report(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs``."""
-    with open(tokenizer, encoding="utf-8") as f:
-        names = [p.encode() + b" " for p in pieces(f.read())]
-    size = np.array([len(p) for p in names], dtype=np.int64)
-    start = np.cumsum(size) - size
-    flat = np.frombuffer(b"".join(names), dtype=np.uint8)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, n, sha, back = [], [], [], []
-        for i, ids in _chunk_documents(left, right):
-            key.append(i)
-            n.append(len(ids))
-            sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            text = _take(flat, start[ids], size[ids])[:-1]  # pieces joined by one space
-            back.append(hashlib.sha256(text.tobytes()).hexdigest())
-        return pa.table(
-            {
-                "doc_id": pa.array(key, left.column("ids").type.value_type),
-                "n_tokens": pa.array(n, pa.int64()),
-                "ids_sha256": pa.array(sha, pa.string()),
-                "decoded_sha256": pa.array(back, pa.string()),
-            }
-        )
-
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _documents(docs, tokenizer, "doc_id", "text", run, schema)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs``: its ids, and those decoded again."""
+    with scratch(docs.sparkSession) as out:
+        found = _encoded(docs.select("doc_id", "text"), _spec(tokenizer), "doc_id", "text", out)
+        back = decode(found, tokenizer, "ids", "back")
+        return materialize(
+            back.select(
+                F.col("id").alias("doc_id"),
+                F.size("ids").cast("long").alias("n_tokens"),
+                F.sha2("bytes", 256).alias("ids_sha256"),
+                F.sha2("back", 256).alias("decoded_sha256"),
+            ),
+            "bpe",
+        )[0]

@@ -31,6 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of a node is linked to the node's smallest neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(F.col("a").alias("u"), "m")
+        # Written: with a plain scan under each exchange a hot node's rows can be split.
+        least, least_at = materialize(least, "least")
         large = (
             edges.join(least, edges.b == least.u)
             .select(F.col("a"), F.col("m").alias("b"))
@@ -40,6 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         large, large_at = materialize(large, "large")
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        low, low_at = materialize(low, "low")
         small = (
             large.join(low, large.a == low.u)
             .select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
@@ -47,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         small, small_at = materialize(small, "small")
-        release(spark, at, large_at)
+        release(spark, at, large_at, least_at, low_at)
         edges, at = small, small_at
         now = _digest(edges)
         if now == before:

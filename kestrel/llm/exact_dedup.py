@@ -1,16 +1,21 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table bucketed and sorted by SHA-256 digest.  A new batch is
-reduced to one row per digest (partial aggregation before the shuffle, so a text
-with very many copies costs one row per task), compared with the index by a
-sort-merge anti-join - the index side is read by bucket, without a shuffle - and
-the digests not yet known are appended.
+The index is a table bucketed and sorted by SHA-256 digest, in the shared folder.  A
+new batch is reduced to one row per digest (partial aggregation before the shuffle,
+so a text with very many copies costs one row per task), compared with the index by
+a sort-merge anti-join - the index side is read by bucket, without a shuffle - and
+the digests not yet known are appended.  A batch that is ingested again under its own
+name (after a failure, say) is answered as it was the first time.
+
+One table is deduplicated as ``BATCHES`` batches in the order of its ids, so that the
+owner that the index knows already has the smaller id.
 
 Defined results: null text counts as empty; texts are equal when identical after
 each run of white space becomes one space (edges are not trimmed); of equal texts
-the row with the smallest id stays (null ids last, then one arbitrary row of exact
-repeats); an earlier batch's owner always stays; an empty batch changes nothing;
-columns other than id and text are never read.
+the row with the smallest id stays (null ids last; of ties, which are exact repeats,
+one arbitrary row); an earlier batch's owner always stays; an empty batch changes
+nothing; very long texts are one value of a row, hashed whole; columns other than id
+and text are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +24,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from kestrel.llm.rows import SPACE, drop_rows
+from kestrel.storage import Scratch, materialize, release, scratch, shared_root
 
-from kestrel.llm.rows import SPACE, keep_rows
-from kestrel.storage import materialize, release
+#: Batches that one table is dealt into.
+BATCHES = 2
 
 
 def normalised(text: str) -> Column:
@@ -33,36 +42,62 @@ def digest(text: str) -> Column:
 
 
 class DigestIndex:
-    """Append-only table (digest, keep_id, batch), bucketed and sorted by digest."""
+    """Append-only table (digest, keep_id, batch), bucketed and sorted by digest.
+
+    ``path`` is the folder for its files, by default in the shared folder.
+    """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 64, path: str | None = None):
         self.spark, self.table, self.buckets = spark, table, buckets
+        self.path = path or f"{shared_root(spark)}/{table}"
+        if not self._exists(table) and self._exists(f"{table}_old"):  # a compaction that died half-way
+            spark.sql(f"ALTER TABLE {table}_old RENAME TO {table}")
 
-    def _append(self, rows: DataFrame) -> None:
-        (
+    def _exists(self, table: str) -> bool:
+        return self.spark.catalog.tableExists(table)
+
+    def _write(self, rows: DataFrame, table: str) -> None:
+        writer = (
             rows.repartition(self.buckets, "digest")
             .write.mode("append")
             .format("parquet")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
-            .saveAsTable(self.table)
         )
+        if not self._exists(table):
+            writer = writer.option("path", f"{self.path}/{uuid.uuid4().hex}")
+        writer.saveAsTable(table)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def compact(self) -> None:
+        """One sorted file for each bucket again, after many appends."""
+        new, old = f"{self.table}_new", f"{self.table}_old"
+        for left in (new, old):
+            self._drop(left)
+        self._write(self.read(), new)
+        self.spark.sql(f"ALTER TABLE {self.table} RENAME TO {old}")
+        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.table}")
+        self._drop(old)
+
+    def _drop(self, table: str) -> None:
+        if self._exists(table):
+            at = self.spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Location'").first()
+            self.spark.sql(f"DROP TABLE {table}")
+            release(self.spark, at.data_type)
+
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self._drop(self.table)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-        """Add a batch; return (rows, texts).
+    def ingest(self, docs: DataFrame, out: Scratch, id_col: str, text_col: str, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Add a batch named ``batch``; return (seen, texts), written by ``out``.
 
-        ``rows``: __id, digest, keep_id, group_size, kept for every row of the batch.
-        ``texts``: one row per distinct text: digest, keep_id, keep_uid, group_size, fresh.
-        ``group_size`` counts the batch's rows of that text.
+        ``seen``: __id, digest, uid of every row of the batch.
+        ``texts``: one row per distinct text: digest, keep_id, keep_uid, n (the batch's rows), fresh.
         """
-        batch = uuid.uuid4().hex
-        seen, seen_at = materialize(
+        batch = batch or uuid.uuid4().hex
+        seen = out.write(
             docs.select(
                 F.col(id_col).alias("__id"),
                 digest(text_col).alias("digest"),
@@ -71,33 +106,25 @@ class DigestIndex:
             "digests",
         )
         first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("i"), F.col("uid").alias("u")))
-        new, new_at = materialize(
-            seen.groupBy("digest")
-            .agg(first.alias("f"), F.count(F.lit(1)).alias("group_size"))
-            .select("digest", F.col("f.i").alias("keep_id"), F.col("f.u").alias("keep_uid"), "group_size"),
-            "batch",
-        )
-        if not self.spark.catalog.tableExists(self.table):
-            self._append(new.limit(0).select("digest", "keep_id", F.lit(batch).alias("batch")))
-        fresh = new.join(self.read().hint("merge"), "digest", "left_anti")
-        fresh, fresh_at = materialize(fresh.select("digest", "keep_id", F.lit(batch).alias("batch")), "fresh")
-        self._append(fresh)
-        texts, _ = materialize(
-            new.drop("keep_id")
-            .join(self.read().hint("merge"), "digest")
-            .select("digest", "keep_id", "keep_uid", "group_size", (F.col("batch") == batch).alias("fresh")),
-            "texts",
-        )
-        release(self.spark, new_at, fresh_at)
-        # Both sides are plain scans under their exchanges: a hot text is split by skew-join handling.
-        rows = seen.join(texts, "digest").select(
-            "__id",
-            "digest",
-            "keep_id",
-            "group_size",
-            (F.col("fresh") & (F.col("uid") == F.col("keep_uid"))).alias("kept"),
-        )
-        return rows, texts
+        with scratch(self.spark) as own:
+            new = own.write(
+                seen.groupBy("digest")
+                .agg(first.alias("f"), F.count(F.lit(1)).alias("n"))
+                .select("digest", F.col("f.i").alias("keep_id"), F.col("f.u").alias("keep_uid"), "n"),
+                "batch",
+            )
+            if not self._exists(self.table):
+                self._write(new.limit(0).select("digest", "keep_id", F.lit(batch).alias("batch")), self.table)
+            fresh = new.join(self.read().hint("merge"), "digest", "left_anti")
+            fresh = own.write(fresh.select("digest", "keep_id", F.lit(batch).alias("batch")), "fresh")
+            self._write(fresh, self.table)
+            texts = out.write(
+                new.drop("keep_id")
+                .join(self.read().hint("merge"), "digest")
+                .select("digest", "keep_id", "keep_uid", "n", (F.col("batch") == batch).alias("fresh")),
+                "texts",
+            )
+        return seen, texts
 
 
 def scratch_index(spark: SparkSession) -> DigestIndex:
@@ -106,26 +133,71 @@ def scratch_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"kestrel_digests_{uuid.uuid4().hex}", buckets)
 
 
+def _in_order(docs: DataFrame, id_col: str, batches: int) -> list[DataFrame]:
+    """``docs`` in parts of about equal size, every id of one below those of the next; null ids last."""
+    if not isinstance(docs.schema[id_col].dataType, NumericType) or batches < 2:
+        return [docs]
+    at = [k / batches for k in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx(id_col, at)).first()[0]
+    part = F.lit(0)
+    for cut in cuts or []:
+        part = part + F.coalesce((F.col(id_col) > F.lit(cut)).cast("int"), F.lit(1))
+    return [docs.where(part == k) for k in range(len(cuts or []) + 1)]
+
+
+def judged(
+    docs: DataFrame, id_col: str, text_col: str, index: DigestIndex | None = None, batch: str | None = None, batches: int = BATCHES
+) -> DataFrame:
+    """__id, digest, keep_id, group_size, kept, fresh for every row.
+
+    With an ``index`` the rows are its next batch, else they pass a fresh index in
+    ``batches``.  ``group_size`` counts rows of ``docs`` alone; ``fresh`` says that the text was new.
+    """
+    spark = docs.sparkSession
+    own = index or scratch_index(spark)
+    with scratch(spark) as out:
+        try:
+            parts = [docs] if index else _in_order(docs, id_col, batches)
+            done = [own.ingest(part, out, id_col, text_col, batch) for part in parts]
+        finally:
+            if index is None:
+                own.drop()
+        seen, texts = (
+            [df.withColumn("part", F.lit(k)) for k, df in enumerate(side)] for side in zip(*done, strict=True)
+        )
+        for more in seen[1:]:
+            seen[0] = seen[0].unionByName(more)
+        for more in texts[1:]:
+            texts[0] = texts[0].unionByName(more)
+        owner = F.max(F.when(F.col("fresh"), F.struct("part", "keep_uid"))).alias("owner")
+        whole = out.write(
+            texts[0].groupBy("digest").agg(F.first("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), owner), "groups"
+        )
+        # Both sides are plain scans under their exchanges: a hot text is split by skew-join handling.
+        rows = seen[0].join(whole, "digest")
+        mine = F.struct("part", F.col("uid").alias("keep_uid")) == F.col("owner")
+        return materialize(
+            rows.select(
+                "__id", "digest", "keep_id", "group_size", F.coalesce(mine, F.lit(False)).alias("kept"), F.col("owner").isNotNull().alias("fresh")
+            ),
+            "exact",
+        )[0]
+
+
 def deduplicate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batch: str | None = None
 ) -> DataFrame:
     """Rows of ``docs`` that stay, all columns."""
-    own = index or scratch_index(docs.sparkSession)
-    rows, texts = own.ingest(docs, id_col, text_col)
-    if index is None:
-        own.drop()
-    fresh = texts.where("fresh")
-    repeats = rows.where(F.col("__id").eqNullSafe(F.col("keep_id"))).count() > texts.count()
-    kept = fresh.select(F.col("keep_id").alias("__id"), F.col("digest").alias("__key"))
-    return keep_rows(docs, kept, id_col, digest(text_col), unique=not repeats)
+    rows = judged(docs, id_col, text_col, index, batch)
+    stays = rows.where("kept").select("__id", F.col("digest").alias("__key"))
+    goes = rows.where("NOT kept").select("__id", F.col("digest").alias("__key"))
+    repeats = rows.where(F.col("__id").eqNullSafe(F.col("keep_id")) & F.col("fresh") & ~F.col("kept")).limit(1).count()
+    return drop_rows(docs, stays, goes, id_col, digest(text_col), unique=not repeats)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    own = scratch_index(docs.sparkSession)
-    rows, _ = own.ingest(docs, id_col, text_col)
-    own.drop()
-    return rows.select(
+    return judged(docs, id_col, text_col).select(
         F.col("__id").alias(id_col),
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),

@@ -13,7 +13,8 @@ them; every row is predicted.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0;
 null labels never teach; with nothing to learn from, everything is ``und``; ties go
-to the alphabetically first language; very long texts are counted in slices.
+to the alphabetically first language; repeated rows are judged alike and null ids are
+answered; very long texts are counted in slices; other columns are carried along unread.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from kestrel.llm.rows import small_batches
+
 UNDECIDED = "und"
 #: Lengths of the n-grams, in characters; a word is padded by one space on each side.
 GRAMS = (2, 3, 4)
@@ -141,6 +144,7 @@ def fit(
     per_language: int = 2_500,
 ) -> Model:
     """Learn from labelled rows that are not held out; about ``sample_rows`` of them."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull())
     rows = labelled.count()
     # A share of the hash range, not a sort: no task gathers the sample.
@@ -182,13 +186,14 @@ def fit(
 
 def predictions(texts: DataFrame, model: Model, text_col: str, out_lang: str, out_score: str) -> DataFrame:
     """``texts`` with predicted language and score; the model travels with the task (a few MB, fixed size)."""
+    small_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(model)
     names = texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.predict(t) for t in batch.column(names.index(text_col)).to_pylist()]
+            found = [m.predict(t.as_py()) for t in batch.column(names.index(text_col))]
             langs, scores = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],

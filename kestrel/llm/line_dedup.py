@@ -1,8 +1,8 @@
 """Site-relative line dedup: drop lines that too large a share of a host's pages holds.
 
 For every host: the pages holding a line, divided by the host's pages.  Lines above
-``ratio`` (and on at least ``min_pages`` pages, so that small hosts keep their text)
-are boilerplate.  Counts are partial aggregations over (host, line digest), so a host
+``ratio`` are boilerplate, if more than one page holds them: a line of one page alone
+repeats nothing.  Counts are partial aggregations over (host, line digest), so a host
 with a third of all pages is spread over its lines.
 
 A host has at most (lines per page) / ratio boilerplate lines, but hosts are not
@@ -11,7 +11,10 @@ which is counted; beyond that, pages are salted and joined by (host, salt).
 
 Defined results: lines end at U+000A, and are compared with edge white space removed;
 blank lines are neither counted nor dropped; a line counts once a page; a null host
-is a host of its own; null text has no lines and stays null; an empty table gives none.
+is a host of its own; null text has no lines and stays null; an empty table gives none;
+a share equal to the ratio stays (only above it is boilerplate); repeated rows are pages
+of their own; null ids are answered; a very long text is one array of lines in its row;
+other columns are carried along unread.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from kestrel.storage import materialize
 
 #: Spaces that edges lose, as in SQL's trim(text, chars).
 EDGE = " \t\n\x0b\x0c\r"
-RATIO, MIN_PAGES = 0.1, 3
+RATIO, MIN_PAGES = 0.1, 2
 
 
 def _trimmed(line: Column) -> Column:
@@ -71,15 +74,17 @@ def clean(
         own = own.withColumn("__pick", F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int"))
         joined = own.join(table, same & (F.col("__salt") == F.col("__pick")), "left").drop("__salt", "__pick")
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.when(
-        F.col("__lines").isNull(), lines
-    ).otherwise(F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains("__lines", _digest(x))))
+    # The page's own boilerplate by a hash of both lists, then a look-up in that short list.
+    joined = joined.withColumn("__gone", F.array_intersect(F.transform(lines, _digest), "__lines"))
+    kept = F.when(F.coalesce(F.size("__gone"), F.lit(0)) <= 0, lines).otherwise(
+        F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains("__gone", _digest(x)))
+    )
     return (
         joined.withColumn("__left", kept)
         .withColumn("__n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
         .withColumn("__n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size("__left")).cast("long"))
         .withColumn("__kept", F.array_join("__left", "\n"))
-        .drop("__left", "__lines", "__host", "__own")
+        .drop("__left", "__lines", "__gone", "__host", "__own")
     )
 
 

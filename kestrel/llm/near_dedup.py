@@ -12,12 +12,20 @@ so no link is missed.  The order puts shingles often met in a sample of the text
 (a better or worse sample changes the time, never the result).  Shared sets are
 intersected before a pair counts as a link.
 
+Fingerprints first.  Texts whose SimHash fingerprints (of the same five-word shingles)
+are within two bits are found by the pigeonring filter of :mod:`simhash` and linked if
+their sets are similar; only pairs that these links leave apart go through the beginnings.
+Fingerprints alone cannot give right results here: at similarity 0.8 some ten of 64 bits
+differ.
+
 Dense blocks.  Groups of near copies crowd a shingle's block, where pairs would be
 quadratic.  First each member is compared with one pivot of its block; after ``STARS``
 such rounds only pairs from different components are left to compare.
 
 Defined results: null and word-less texts have the empty set and are alike; fewer words
-than a shingle make one shingle; equal sets are one node, named by a 64-bit digest.
+than a shingle make one shingle; equal sets are one node, named by a 64-bit digest;
+repeated rows and ties (equal ids) are one row per text; a very long text is read whole,
+and a task holds its set of shingles; other columns are carried along unread.
 """
 
 from __future__ import annotations
@@ -30,9 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from kestrel.llm import simhash
 from kestrel.llm.components import components
-from kestrel.llm.rows import keep_rows, text_key
-from kestrel.llm.simhash import SEED, shingle_hashes
+from kestrel.llm.rows import BROADCAST_ROWS, drop_rows, small_batches, text_key
+from kestrel.llm.simhash import SEED, shingle_hashes, voted
 from kestrel.storage import materialize, release
 
 WORDS = 5
@@ -63,7 +72,7 @@ def sets(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, width) for t in batch.column(0).to_pylist()]
+            found = [shingles(t.as_py(), width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), _lists(found)], names=["node", "s"])
 
     return texts.select("__text").mapInArrow(run, "node long, s array<long>")
@@ -80,7 +89,7 @@ def often(given: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(given: DataFrame, width: int, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """__id, __key, node, n (its shingles) and the first of them in the common order, for every row."""
+    """__id, __key, node, fp, n (its shingles) and the first of them in the common order, for every row."""
     hashes = given.sparkSession.sparkContext.broadcast(last)
 
     def first(s: np.ndarray) -> np.ndarray:
@@ -93,17 +102,20 @@ def prefixes(given: DataFrame, width: int, last: tuple[np.ndarray, np.ndarray])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, head = [], [], []
-            for t in batch.column(2).to_pylist():
-                s = shingles(t, width)
+            node, fp, n, head = [], [], [], []
+            for t in batch.column(2):
+                parts = list(shingle_hashes(t.as_py() or b"", width))
+                s = np.unique(np.concatenate(parts).view(np.int64)) if parts else np.empty(0, np.int64)
                 node.append(_digest(s))
+                fp.append(voted(parts))
                 n.append(len(s))
                 head.append(first(s))
-            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int32()), _lists(head)]
-            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__key", "node", "n", "head"])
+            fps = pa.array(np.array(fp, dtype=np.uint64).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), fps, pa.array(n, pa.int32()), _lists(head)]
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__key", "node", "fp", "n", "head"])
 
     kind = given.schema["__id"].dataType.simpleString()
-    return given.mapInArrow(run, f"__id {kind}, __key binary, node long, n int, head array<long>")
+    return given.mapInArrow(run, f"__id {kind}, __key binary, node long, fp long, n int, head array<long>")
 
 
 def _fits(a: str, b: str) -> Column:
@@ -132,22 +144,51 @@ def similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return both.where(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b")
 
 
-def links(blocks: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def same_prints(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the nodes of ``rows(node, fp)`` whose fingerprints are within two bits."""
+    nodes, _ = materialize(rows.select("node", "fp").distinct(), "prints")
+    least, _ = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    alike = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    linked, _ = materialize(simhash.links(least.select("fp")), "linked")
+    one = linked.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a")
+    both = one.join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return alike.unionByName(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def links(blocks: DataFrame, whole: Callable[[DataFrame], DataFrame], first: DataFrame | None = None) -> DataFrame:
     """(node, root) of the components of similar sets.
 
-    ``blocks(h, node, n, pos)`` by shared shingle; ``whole`` gives (node, s) of the nodes of a table.
+    ``blocks(h, node, n, pos)`` by shared shingle; ``whole`` gives (node, s) of the nodes of a table;
+    ``first(a, b)`` are pairs to look at before.
     """
     spark, found, roots = blocks.sparkSession, None, None
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Components after the pairs (a, b) that are similar have been linked as well."""
+        nonlocal found
+        pairs, pairs_at = materialize(pairs, "pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        given, given_at = materialize(whole(nodes), "sets")
+        new, _ = materialize(similar(pairs, given), "similar")
+        release(spark, pairs_at, given_at)
+        found = new if found is None else found.unionByName(new)
+        return materialize(components(found), "roots")[0]
+
+    if first is not None:
+        roots = linked(first)
     for r in range(STARS + 1):
         if roots is not None:
             named = blocks.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            named, named_at = materialize(named, "named")
             mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
-            blocks, _ = materialize(named.join(mixed, "h"), "mixed")
+            mixed, mixed_at = materialize(mixed, "mixed")
+            blocks, _ = materialize(named.join(mixed, "h"), "blocks")
+            release(spark, named_at, mixed_at)
         else:
             blocks = blocks.withColumn("root", F.col("node"))
         if r < STARS:
             pivot = F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "n", "pos", "root")).alias("p")
-            pivots = blocks.groupBy("h").agg(pivot).select("h", "p.node", "p.n", "p.pos", "p.root")
+            pivots, _ = materialize(blocks.groupBy("h").agg(pivot).select("h", "p.node", "p.n", "p.pos", "p.root"), "pivots")
             joined = blocks.alias("a").join(
                 pivots.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & _fits("a", "b")
             )
@@ -158,18 +199,13 @@ def links(blocks: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFra
             joined = left.join(
                 blocks.alias("b"), (F.col("t.h") == F.col("b.h")) & (F.col("t.y") == F.col("b.root")) & _fits("a", "b")
             )
-        pairs, pairs_at = materialize(_pairs(joined), "pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        given, given_at = materialize(whole(nodes), "sets")
-        new, _ = materialize(similar(pairs, given), "similar")
-        release(spark, pairs_at, given_at)
-        found = new if found is None else found.unionByName(new)
-        roots, _ = materialize(components(found), "roots")
+        roots = linked(_pairs(joined))
     return roots
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
     """__id, __key and root (the same for all of a class) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     given = docs.select(
         F.col(id_col).alias("__id"),
         text_key(text_col).alias("__key"),
@@ -178,15 +214,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows, _ = materialize(prefixes(given, width, often(given, width)), "heads")
     nodes = rows.select("node", "n", "head").dropDuplicates(["node"])
     tokens, tokens_at = materialize(nodes.select("node", "n", F.posexplode("head").alias("pos", "h")), "tokens")
-    met = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h")
+    met, _ = materialize(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h"), "met")
     blocks, _ = materialize(tokens.join(met, "h"), "blocks")
     release(docs.sparkSession, tokens_at)
 
     def whole(some: DataFrame) -> DataFrame:
-        keys = rows.join(some, "node").groupBy("node").agg(F.min("__key").alias("__key")).select("__key")
+        keys, _ = materialize(rows.join(some, "node").groupBy("node").agg(F.min("__key").alias("__key")).select("__key"), "keys")
+        if keys.count() <= BROADCAST_ROWS:  # then the texts need not move
+            keys = F.broadcast(keys)
         return sets(given.join(keys, "__key", "left_semi"), width).dropDuplicates(["node"])
 
-    roots = links(blocks, whole)
+    roots = links(blocks, whole, same_prints(rows))
     return rows.join(roots, "node", "left").select("__id", "__key", F.coalesce("root", "node").alias("root"))
 
 
@@ -200,5 +238,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nameless = rows.where("__id IS NULL").join(least, "root", "left_anti").select("__id", "__key").distinct()
     kept, _ = materialize(least.select("k.__id", "k.__key").unionByName(nameless), "kept")
     n = rows.join(kept.where("__id IS NOT NULL"), ["__id", "__key"], "left_semi").count()
+    on = F.col("d.__id").eqNullSafe(F.col("k.__id")) & (F.col("d.__key") == F.col("k.__key"))
+    dropped = rows.alias("d").join(kept.alias("k"), on, "left_anti").select("__id", "__key")
     unique = n == kept.count()
-    return keep_rows(docs, kept, id_col, text_key(text_col), unique=unique)
+    return drop_rows(docs, kept, dropped, id_col, text_key(text_col), unique=unique)

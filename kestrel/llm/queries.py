@@ -41,7 +41,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.report(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return url_rules.report(_table(spark, sf_dir, "pages"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ WITH l AS (
   FROM numbered n JOIN pages p ON n.source IS NOT DISTINCT FROM p.source
   WHERE n.t <> ''
   GROUP BY n.source, n.t, p.pages
-  HAVING count(DISTINCT n.doc_id) >= 3 AND count(DISTINCT n.doc_id) > p.pages * 0.1
+  HAVING count(DISTINCT n.doc_id) >= 2 AND count(DISTINCT n.doc_id) > p.pages * 0.1
 )
 SELECT n.doc_id,
        count(*) AS n_lines,

@@ -1,31 +1,32 @@
 """SimHash near-duplicates with pigeonring filtering.
 
 A text's fingerprint takes the majority of the XXH64 bits of its word shingles
-(repeats included).  Links are pairs of fingerprints within ``distance`` (2) bits.
+(repeats included).  Links are pairs of fingerprints within ``DISTANCE`` (2) bits.
 
-Candidates.  The 64 bits form a ring of four 16-bit segments.  If two fingerprints
-differ in at most 2 bits, some segment starts a chain whose first l segments
-differ in at most l*2/4 bits for every l: budgets 0, 1, 1, 2.  So the chain's start
-is equal, and of the next two segments at least one is equal as well (both together
-have at most one differing bit).  Every such chain therefore agrees on a start and
-one of its two successors: six 32-bit keys.  Blocks of equal keys are joined, the
-chain budgets prune, and the full Hamming check comes last.
+Candidates.  The 64 bits form a ring of six segments.  If two fingerprints differ in
+at most 2 bits, some segment starts a chain whose first l segments differ in at most
+l*2/6 bits for every l: budgets 0, 0, 1, 1, 1.  So five segments in a row hold at most
+one differing bit, and four of them are equal: the 15 choices of four segments are
+the join keys, of some 42 bits each.  Pairs meeting at a key are pruned by the chain
+of five segments (shorter than the ring), and the full Hamming check comes last.
 
 Dense blocks.  Groups of near copies crowd one block, where pairs would be
 quadratic.  Blocks above ``dense`` fingerprints are connected exactly another way:
-within a block 32 bits are free, and two fingerprints are within two bits exactly
-if they share a neighbour at one bit from both; each emits itself and its 32 flips,
-and fingerprints meeting at a value are linked to the smallest (33 at most meet).
-No pair list is made, and no link between components is lost.
+within a block 22 bits are free at most, and two fingerprints are within two bits
+exactly if they share a neighbour at one bit from both; each emits itself and its
+flips, and fingerprints meeting at a value are linked to the smallest (23 at most
+meet).  No pair list is made, and no link between components is lost.
 
 Defined results: null and word-less texts have fingerprint 0 and link like any
-other; fewer words than a shingle make one shingle; null ids take part, and a
-component's id is its smallest non-null id (null if it has none).
+other; fewer words than a shingle make one shingle; repeated rows have one
+fingerprint; null ids take part, and a component's id is its smallest non-null id
+(null if it has none).  A very long text is voted on in runs of shingles; besides
+the runs a task holds one text and its word boundaries.  Other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -35,13 +36,17 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from kestrel.llm.components import components
-from kestrel.llm.rows import keep_rows, text_key
+from kestrel.llm.rows import drop_rows, small_batches, text_key
 from kestrel.storage import materialize
 
 SEED = 42
-#: Budgets of chains of 1, 2, 3 and 4 segments of 16 bits for a distance of 2.
-DISTANCE, SEGMENTS, WIDTH = 2, 4, 16
-BUDGETS = tuple(length * DISTANCE // SEGMENTS for length in range(1, SEGMENTS + 1))
+DISTANCE, SEGMENTS = 2, 6
+#: Bit at which each segment of the ring begins, and the end.
+EDGES = tuple(-(-64 * k // SEGMENTS) for k in range(SEGMENTS + 1))
+#: Budgets of chains of 1, 2, ... segments, short of the whole ring.
+BUDGETS = tuple(length * DISTANCE // SEGMENTS for length in range(1, SEGMENTS))
+#: Segments that two linked fingerprints may differ in.
+FREE = tuple((i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS))
 #: Hashes voted on at once, so that a very long text needs bounded memory.
 VOTES = 1 << 16
 
@@ -61,26 +66,31 @@ def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
         yield np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=len(a))
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """Unsigned 64-bit fingerprint."""
+def voted(parts: Iterable[np.ndarray]) -> int:
+    """Unsigned 64-bit majority of the hashes of all ``parts``."""
     votes, n = np.zeros(64, dtype=np.int64), 0
-    for h in shingle_hashes(text or b"", width):
+    for h in parts:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    return voted(shingle_hashes(text or b"", width))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """__id, __key (text digest) and fp (signed long) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(2)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["__id", "__key", "fp"]
             )
 
+    small_batches(docs.sparkSession)
     given = docs.select(
         F.col(id_col).alias("__id"),
         text_key(text_col).alias("__key"),
@@ -89,67 +99,65 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return given.mapInArrow(run, f"__id {given.schema['__id'].dataType.simpleString()}, __key binary, fp long")
 
 
-def _segment(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, WIDTH * (i % SEGMENTS)).bitwiseAND(0xFFFF)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
+def _mask(segments: tuple[int, ...]) -> int:
+    return sum((1 << b) for s in segments for b in range(EDGES[s], EDGES[s + 1]))
 
-def _viable(a: Column, b: Column) -> Column:
-    """Some chain of the ring stays within its budgets, and so does the whole distance."""
+
+def chained(a: Column, b: Column) -> Column:
+    """Some chain of the ring, one segment short of the whole, stays within its budgets."""
     diff = a.bitwiseXOR(b)
-    d = [F.bit_count(_segment(diff, i)) for i in range(SEGMENTS)]
-    chains = []
+    d = [F.bit_count(diff.bitwiseAND(F.lit(_signed(_mask((i,)))))) for i in range(SEGMENTS)]
+    ring = F.lit(False)
     for start in range(SEGMENTS):
         total, ok = F.lit(0), F.lit(True)
-        for length in range(1, SEGMENTS + 1):
-            total = total + d[(start + length - 1) % SEGMENTS]
-            ok = ok & (total <= BUDGETS[length - 1])
-        chains.append(ok)
-    ring = chains[0]
-    for c in chains[1:]:
-        ring = ring | c
-    return ring & (F.bit_count(diff) <= DISTANCE)
+        for length, budget in enumerate(BUDGETS):
+            total = total + d[(start + length) % SEGMENTS]
+            ok = ok & (total <= budget)
+        ring = ring | ok
+    return ring
 
 
-def links(fps: DataFrame, dense: int = 32) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints of ``fps(fp)``, distinct, within two bits."""
-    tables = [(i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)]
+def blocks(fps: DataFrame) -> DataFrame:
+    """(t, key, fp, n) for every key that n > 1 fingerprints of ``fps(fp)`` share: all but the segments FREE[t] are equal."""
     fp = F.col("fp")
     keys = fps.select(
-        fp,
-        F.explode(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(t).cast("byte").alias("t"),
-                        F.shiftleft(_segment(fp, i), WIDTH).bitwiseOR(_segment(fp, j)).alias("key"),
-                    )
-                    for t, (i, j) in enumerate(tables)
-                )
-            )
-        ).alias("k"),
-    ).select("fp", "k.t", "k.key")
-    crowded = keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks, _ = materialize(keys.join(crowded, ["t", "key"]), "blocks")
-    sparse, thick = blocks.where(F.col("n") <= dense), blocks.where(F.col("n") > dense)
-    a, b = sparse.alias("a"), sparse.alias("b")
-    pairs = a.join(
-        b,
-        (F.col("a.t") == F.col("b.t"))
-        & (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.fp") < F.col("b.fp"))
-        & _viable(F.col("a.fp"), F.col("b.fp")),
-    ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    free = F.lit(None)
-    for t, (i, j) in enumerate(tables):
-        at = [WIDTH * s + k for s in range(SEGMENTS) if s not in (i, j) for k in range(WIDTH)]
-        flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << x if x < 63 else -(1 << 63)).cast("long") for x in at))
-        free = F.when(F.col("t") == t, flips).otherwise(free)
-    near = thick.select("t", "key", "fp", F.explode(free).alias("flip")).select(
-        "t", "key", "fp", fp.bitwiseXOR(F.col("flip")).alias("mid")
+        "fp",
+        F.posexplode(F.array(*(fp.bitwiseAND(F.lit(_signed(~_mask(free) & (1 << 64) - 1))) for free in FREE))).alias("t", "key"),
+    )
+    # Both sides of the join are written, so that a crowded key's rows can be split.
+    crowded, _ = materialize(
+        keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded"
+    )
+    return keys.join(crowded, ["t", "key"])
+
+
+def met(table: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of fingerprints that share a key; a pair once for each key."""
+    a, b = table.alias("a"), table.alias("b")
+    same = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+    return a.join(b, same).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def links(fps: DataFrame, dense: int = 32) -> DataFrame:
+    """Links (a, b) that connect exactly the fingerprints of ``fps(fp)``, distinct, within two bits."""
+    table, _ = materialize(blocks(fps), "blocks")
+    sparse, thick = table.where(F.col("n") <= dense), table.where(F.col("n") > dense)
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
+    pairs = met(sparse).where(chained(F.col("a"), F.col("b"))).where(near)
+    flips = F.lit(None)
+    for t, free in enumerate(FREE):
+        at = [b for s in free for b in range(EDGES[s], EDGES[s + 1])]
+        flips = F.when(F.col("t") == t, F.array(*(F.lit(x) for x in (0, *(_signed(1 << b) for b in at))))).otherwise(flips)
+    mids = thick.select("t", "key", "fp", F.explode(flips).alias("flip")).select(
+        "t", "key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid")
     )
-    # Each (t, key, mid) holds at most 33 fingerprints, so the list is bounded.
-    met = near.groupBy("t", "key", "mid").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
+    # At most 23 fingerprints meet at a (t, key, mid), so the list is bounded.
+    stars = mids.groupBy("t", "key", "mid").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    stars = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
     return pairs.unionByName(stars)
 
 
@@ -181,9 +189,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows of a class without any non-null id are one row per text.
     """
     rows, _ = materialize(classes(docs, id_col, text_col, width), "classes")
-    kept = rows.where(F.col("__id").eqNullSafe(F.col("component_id")))
+    stays = F.col("__id").eqNullSafe(F.col("component_id"))
+    kept = rows.where(stays)
     n, distinct = kept.agg(F.count(F.lit(1)), F.countDistinct("component_id")).first()
     one = kept.groupBy("component_id").agg(F.min(F.struct("__id", "__key")).alias("k")).select("k.__id", "k.__key")
     nameless = kept.where("component_id IS NULL").groupBy("__id", "__key").count().drop("count")
     kept_rows = one.where("__id IS NOT NULL").unionByName(nameless)
-    return keep_rows(docs, kept_rows, id_col, text_key(text_col), unique=n == distinct)
+    dropped = rows.where(~stays).select("__id", "__key")
+    return drop_rows(docs, kept_rows, dropped, id_col, text_key(text_col), unique=n == distinct)

@@ -3,7 +3,7 @@
 Level-wise doubling.  Level 1 counts short windows (9 words); a window counted once
 is dropped, and only those that repeat are extended to twice their length (18) and
 counted again, and so on until the window's own length (35) or until no candidates
-survive.  A level never sees text that the level before found unique.
+survive: a level that leaves no candidate is the last.  A level never sees text that the level before found unique.
 
 * Level 1 does not count every start: of each run of short windows that fit into
   one full window, the least hash represents it.  Two equal full windows choose
@@ -22,13 +22,14 @@ Hashes: short levels use 64 bits and only choose candidates; the last level uses
 two independent 64-bit hashes.
 
 Defined results: null or word-less text has no words; fewer words than a window
-stay; repeated rows are copies of one another; other columns are never read.
+stay; repeated rows are copies of one another, whatever their ids; a very long text
+is a run of its own, of which a task holds a few numbers a word; equal hashes count as
+equal windows (128 bits decide); null ids are answered; other columns are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.rolling import BASES, Words, winnow
-from kestrel.llm.rows import text_key
-from kestrel.storage import materialize, release
+from kestrel.llm.rows import small_batches, text_key
+from kestrel.storage import Scratch, materialize, release, scratch
 
 WINDOW, FIRST = 35, 9
 #: Texts are handled in runs of about this many bytes (a longer text: alone).
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 
 def ladder(window: int, first: int) -> list[int]:
@@ -58,17 +59,17 @@ def ladder(window: int, first: int) -> list[int]:
     return out
 
 
-def _by_size(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about RUN_BYTES of text."""
+def _by_size(batch: pa.RecordBatch, column: str, run_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``run_bytes`` of text."""
     size = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], dtype=np.int64)
-    run, at = np.cumsum(size) // RUN_BYTES, 0
+    run, at = np.cumsum(size) // run_bytes, 0
     for end in [*(np.flatnonzero(np.diff(run)) + 1), batch.num_rows]:
         if end > at:
             yield batch.slice(at, end - at)
         at = end
 
 
-def distinct_texts(docs: DataFrame, text_col: str, table: str, parts: int) -> DataFrame:
+def distinct_texts(docs: DataFrame, text_col: str, out: Scratch, parts: int) -> DataFrame:
     """Table (rid, tag, text, copies) bucketed by rid, and the key of each."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     one = (
@@ -77,14 +78,7 @@ def distinct_texts(docs: DataFrame, text_col: str, table: str, parts: int) -> Da
         .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     )
     keyed = one.select(*_rid(F.col("key")), "text", "copies")
-    (
-        keyed.repartition(parts, "rid")
-        .write.format("parquet")
-        .option("compression", "zstd")
-        .bucketBy(parts, "rid")
-        .saveAsTable(table)
-    )
-    return docs.sparkSession.table(table)
+    return out.table(keyed.repartition(parts, "rid"), "rid", parts, "texts")
 
 
 def _rid(key):
@@ -114,8 +108,8 @@ def _level(window: int, lengths: list[int], level: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _by_size(whole, "text"):
-                words = Words(batch.column("text").to_pylist())
+            for batch in _by_size(whole, "text", RUN_BYTES):
+                words = Words([t.as_py() for t in batch.column("text")])
                 if len(words) < window:
                     continue
                 if level == 0:
@@ -165,6 +159,8 @@ def repeated(texts: DataFrame, window: int = WINDOW, first: int = FIRST) -> Data
         new, new_at = materialize(survivors, f"survivors{level}")
         release(spark, found_at, twice_at, *([state_at] if state_at else []))
         state, state_at = new, new_at
+        if not state.limit(1).count():  # no candidate survives
+            return state
     return state
 
 
@@ -178,10 +174,8 @@ def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def judged(docs: DataFrame, text_col: str = "text", window: int = WINDOW, first: int = FIRST, keep_text: bool = False):
     """One row per distinct text: rid, tag, n_words, n_removed, kept_sha256 (and kept, the text left)."""
     spark = docs.sparkSession
-    table = f"kestrel_texts_{uuid.uuid4().hex}"
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = distinct_texts(docs, text_col, table, parts)
-    gone = repeated(texts, window, first).select(F.col("rid").alias("r"), F.col("tag").alias("t"), "pos")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,13 +202,15 @@ def judged(docs: DataFrame, text_col: str = "text", window: int = WINDOW, first:
                 cols, names = [*cols, pa.array(left, pa.string())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    given = texts.join(gone, (F.col("rid") == F.col("r")) & (F.col("tag") - F.col("t") == 0), "left").select(
-        "rid", "tag", "text", "copies", "pos"
-    )
-    schema = "rid long, tag int, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    out, _ = materialize(given.mapInArrow(apply, schema), "judged")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    return out
+    with scratch(spark) as out:
+        texts = distinct_texts(docs, text_col, out, parts)
+        found = repeated(texts, window, first)
+        gone = found.select(F.col("rid").alias("r"), F.col("tag").alias("t"), "pos")
+        given = texts.join(gone, (F.col("rid") == F.col("r")) & (F.col("tag") - F.col("t") == 0), "left").select(
+            "rid", "tag", "text", "copies", "pos"
+        )
+        schema = "rid long, tag int, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
+        return materialize(given.mapInArrow(apply, schema), "judged")[0]
 
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -230,7 +226,7 @@ def clean(docs: DataFrame, text_col: str = "text", window: int = WINDOW, drop_em
     Rows that lose nothing keep their text as it is; from others the words left are
     joined by one space.  Rows that lose every word go if ``drop_emptied``.
     """
-    texts, _ = materialize(judged(docs, text_col, window, keep_text=True), "cleaned")
+    texts = judged(docs, text_col, window, keep_text=True)
     changed = texts.where("n_removed > 0").select(
         F.col("rid").alias("__r"),
         F.col("tag").alias("__t"),

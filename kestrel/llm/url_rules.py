@@ -4,25 +4,29 @@ Fixed rules win: a rule fits its host and all subdomains if the URL's path start
 with the rule's path; of several that fit the longest (host and path together) wins.
 
 Every other URL is judged by association rules.  A URL becomes a set of tokens (host
-labels, path words, query keys); FP-growth over the labelled URLs finds token sets
-frequent among the bad ones, and a rule {tokens} -> block is kept if enough URLs
-support it, a large enough share of the URLs holding its tokens is bad (confidence),
-and no rule with fewer of its tokens is as confident.  Rules are matched by an
+labels, path words, query keys).  The URLs that a fixed rule decides are the labelled
+ones - or those that the caller labels: FP-growth over them finds token sets
+frequent among the bad ones, and a rule {tokens} -> block is kept if at least
+``MIN_URLS`` URLs support it, a large enough share of the URLs holding its tokens is
+bad (confidence), and no rule with one token fewer is as confident.  The support is a
+number, not a share, so that more pages never remove a rule.  Tokens that every
+labelled URL holds are left out: they change no confidence.  Rules are matched by an
 inverted index: each rule is posted under its rarest token, a URL's tokens look up
 their postings, and only then are a candidate's other tokens compared.
 
-Mined rules are at most (token sets of a URL) / ``min_support`` and so bounded by the
-parameter, not by the data; their number is checked before they are broadcast.
+Mined rules are counted before they are broadcast; too many are joined by shuffle.
 
 Defined results: a null URL or one without ``://`` has empty host and path and is
 allowed; without labels no rule is mined and all else is allowed; repeated rows are
-judged alike.
+judged alike (and each counts as support); of rules equally confident any may match,
+the verdict is the same; a very long URL is a larger token set, read whole; null ids
+are answered; columns other than id and URL are never read.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.storage import materialize
@@ -36,8 +40,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 BAD = "\u0000bad"  # no token holds a NUL: URLs are split at everything but letters, digits, - and .
-#: Least share and number of labelled URLs behind a rule, and its least confidence.
-MIN_SUPPORT, MIN_URLS, MIN_CONFIDENCE = 0.002, 20, 0.6
+#: Least number of labelled URLs behind a rule, and its least confidence.
+MIN_URLS, MIN_CONFIDENCE = 5, 0.9
 #: Rules broadcast at most; more are joined by shuffle.
 MAX_RULES = 200_000
 
@@ -64,30 +68,40 @@ def fixed(host_col: Column, path_col: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: whole host and its labels, path words that are no numbers, query keys."""
+    """Distinct tokens: host labels, path words that are no numbers, query keys."""
     h, p = host(url), path(url)
     labels = F.transform(F.split(h, r"\."), lambda x: F.concat(F.lit("h:"), x))
     words = F.transform(F.regexp_extract_all(F.lower(p), F.lit(r"[\p{L}\p{N}-]*[\p{L}-][\p{L}\p{N}-]*"), 0), lambda x: F.concat(F.lit("p:"), x))
     keys = F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([\w-]+)="), 1), lambda x: F.concat(F.lit("q:"), x))
-    return F.when(h == "", F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.concat(F.array(F.concat(F.lit("s:"), h)), labels, words, keys))
-    )
+    return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(labels, words, keys)))
 
 
-def mine(
-    labelled: DataFrame,
-    min_support: float = MIN_SUPPORT,
-    min_urls: int = MIN_URLS,
-    min_confidence: float = MIN_CONFIDENCE,
-) -> DataFrame:
+def mine(labelled: DataFrame, min_urls: int = MIN_URLS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule_id, items, confidence, support) from ``labelled(tokens, bad)``."""
-    baskets = labelled.where(F.size("tokens") > 0).select(
-        F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")
-    )
-    support = min(1.0, max(min_support, min_urls / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    told = labelled.where(F.size("tokens") > 0)
+    n, bad = told.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0))).first()
+    if bad < min_urls:
+        return labelled.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double, support double")
+    # A bad URL can support a rule only through tokens that enough bad URLs hold.
+    held = told.select("bad", F.explode("tokens").alias("token")).groupBy("token")
+    held = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("b"))
+    useful, _ = materialize(held.where((F.col("b") >= min_urls) & (F.col("n") < n)).select("token"), "tokens")
+    # The id is given before the tokens are exploded, in a step of its own.
+    one = told.withColumn("u", F.monotonically_increasing_id()).select("u", "bad", F.explode("tokens").alias("token"))
+    if useful.count() <= MAX_RULES:
+        useful = F.broadcast(useful)
+    baskets, _ = materialize(
+        one.join(useful, "token").groupBy("u", "bad").agg(F.collect_list("token").alias("t"))
+        .select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")),
+        "baskets",
+    )
+    held = baskets.count()
+    if not held:
+        return labelled.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double, support double")
+    # Half an URL less, so that rounding of the share never asks for one more.
+    model = FPGrowth(itemsCol="items", minSupport=(min_urls - 0.5) / held, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(
-        F.array_sort("antecedent").alias("items"), "confidence", "support"
+        F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * held / n).alias("support")
     )
     return rules.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support")
 
@@ -106,7 +120,6 @@ def pruned(rules: DataFrame) -> DataFrame:
 
 def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(row, confidence): the strongest rule matching each row of ``pages(row, tokens)`` that any matches."""
-    rules, _ = materialize(rules, "rules")
     used = rules.select(F.explode("items").alias("token")).distinct()
     one = pages.select("row", F.explode("tokens").alias("token"))
     frequency = one.join(used, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
@@ -125,9 +138,13 @@ def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return found.groupBy("row").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
-    """__id, host, path, rule, verdict, confidence for ``pages(__id, url)``; ``labels(__id, bad)``."""
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules=RULES) -> DataFrame:
+    """__id, host, path, rule, verdict, confidence for ``pages(__id, url)``.
+
+    ``labels(__id, bad)`` name the pages to learn from; without them those decided by ``rules`` teach.
+    """
     url = F.col("url").cast("string")
+    rule, verdict = fixed(F.col("host"), F.col("path"), rules)
     rows, _ = materialize(
         pages.select(
             "__id",
@@ -135,14 +152,23 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
             path(url).alias("path"),
             F.coalesce(tokens(url), F.array().cast("array<string>")).alias("tokens"),
             F.monotonically_increasing_id().alias("row"),
-        ),
+        )
+        .withColumn("rule", rule)
+        .withColumn("fixed", verdict),
         "urls",
     )
-    found = pruned(mine(rows.select("__id", "tokens").join(labels, "__id").select("tokens", "bad")))
-    rule, verdict = fixed(F.col("host"), F.col("path"), rules)
-    told = rows.select("__id", "host", "path", "row", "tokens", rule.alias("rule"), verdict.alias("fixed"))
-    hit = matches(told.where("fixed IS NULL").select("row", "tokens"), found)
-    return told.join(hit, "row", "left").select(
+    if labels is None:
+        taught = rows.where("fixed IS NOT NULL").select("tokens", (F.col("fixed") == "block").alias("bad"))
+    else:
+        taught = rows.join(labels, "__id").select("tokens", "bad")
+    mined, _ = materialize(mine(taught), "mined")
+    found, _ = materialize(pruned(mined), "rules")
+    if found.limit(1).count():
+        hit = matches(rows.where("fixed IS NULL").select("row", "tokens"), found)
+        rows = rows.join(hit, "row", "left")
+    else:
+        rows = rows.withColumn("confidence", F.lit(None).cast("double"))
+    return rows.select(
         "__id",
         "host",
         "path",
@@ -152,14 +178,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def report(spark: SparkSession, pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of ``pages``.
-
-    A page is bad if its label (``doc_id`` = ``page_id``) is toxic or of low quality.
-    """
-    bad = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad")
+def report(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict for every row of ``pages``, learned from the fixed rules' verdicts."""
+    return judge(pages.select(F.col("page_id").alias("__id"), "url")).select(
+        F.col("__id").alias("page_id"), "host", "path", "rule", "verdict"
     )
-    return judge(
-        pages.select(F.col("page_id").alias("__id"), "url"), bad.select(F.col("doc_id").alias("__id"), "bad")
-    ).select(F.col("__id").alias("page_id"), "host", "path", "rule", "verdict")

@@ -163,6 +163,23 @@ def test_substrings(spark, window, first):
     assert got == [(i, *x) for i, x in enumerate(removed(texts, window))]
 
 
+def test_substrings_in_small_runs(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(map(tuple, substring_dedup.report(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "RUN_BYTES", 300)
+    assert sorted(map(tuple, substring_dedup.report(docs).collect())) == want
+
+
+def test_substrings_stop_when_no_candidate_is_left(spark, monkeypatch):
+    labels = []
+    write = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", lambda df, label: (labels.append(label), write(df, label))[1])
+    df = spark.range(20).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 60), i -> concat(id, '_', i)), ' ')").alias("text"))
+    got = substring_dedup.report(df).collect()
+    assert {r.n_removed for r in got} == {0} and {r.n_words for r in got} == {60}
+    assert "level0" in labels and "level1" not in labels
+
+
 def test_substring_edges(spark, docs):
     assert substring_dedup.report(empty(spark)).count() == 0
     assert substring_dedup.report(docs).count() == len(CASES)
@@ -206,3 +223,112 @@ def test_lines(spark):
         assert got[20]["__kept"] is None and got[20]["__n_lines"] == 0
         assert got[21]["__kept"] == "menu" and got[22]["__kept"] == "menu\nmenu"
     assert line_dedup.report(empty(spark)).count() == 0
+    clash = df.withColumns({c: F.lit("clash") for c in ("host", "line", "n", "pages")})
+    assert {r.doc_id: r["__kept"] for r in line_dedup.clean(clash, ratio=0.5).collect()} == {r.doc_id: r["__kept"] for r in line_dedup.clean(df, ratio=0.5).collect()}
+
+
+def test_shard_folders_hold_whole_rows(spark, docs, tmp_path):
+    clash = docs.withColumns({"shard": F.lit("own"), "size": F.lit(1), "slot": F.lit(None).cast("int")})
+    plan = sharding.write_shards(clash, f"{tmp_path}/out", 3, files=6)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(back.columns) == sorted([*clash.columns, "shard_"])
+    assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, clash.select("doc_id", "text").collect()))
+    assert Counter(r.shard_ for r in back.collect()) == Counter(r["shard"] for r in plan.collect())
+    assert {r["shard"] for r in back.collect()} == {"own"}
+
+
+def test_shards_of_equal_texts(spark):
+    rows = [(i, "same text" if i % 3 else f"text {i}") for i in range(300)]
+    got = sharding.spread(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {(r.copies, r.shards) for r in got} == {(200, 4), (1, 1)}  # the largest spread: every shard
+
+
+def test_sharding_does_not_gather_partitions(spark, docs):
+    plan = sharding.assign(docs, 4)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "Window" not in plan
+
+
+def test_index_batches_run_again(spark):
+    from kestrel.storage import scratch
+
+    index = exact_dedup.scratch_index(spark)
+    one = spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string")
+    two = spark.createDataFrame([(1, "a"), (2, "c"), (3, "c")], "doc_id long, text string")
+    exact_dedup.deduplicate(one, index=index, batch="one")
+    with scratch(spark) as out:  # a run that appends and then dies
+        index.ingest(two, out, "doc_id", "text", "two")
+    assert {r.doc_id for r in exact_dedup.deduplicate(two, index=index, batch="two").collect()} == {2}
+    assert {r.doc_id for r in exact_dedup.deduplicate(two, index=index, batch="three").collect()} == set()
+    before = sorted(map(tuple, index.read().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.read().collect())) == before and len(before) == 3
+    assert {r.doc_id for r in exact_dedup.deduplicate(one, index=index, batch="one").collect()} == {5, 6}
+    index.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_of_one_table_give_the_same_rows(spark, docs, batches):
+    def rows(n):
+        got = exact_dedup.judged(docs, "doc_id", "text", batches=n).collect()
+        return sorted((str(r["__id"]), bytes(r.digest), str(r.keep_id), r.group_size) for r in got), sum(r.kept for r in got)
+
+    assert rows(batches) == rows(1)
+
+
+def test_later_batches_meet_a_filled_index(spark):
+    df = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("text"))
+    got = exact_dedup.report(df).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {
+        (i, i % 7, len(range(i % 7, 40, 7)), i < 7) for i in range(40)
+    }
+
+
+def test_chain_prunes_before_the_whole_distance(spark):
+    rnd = random.Random(5)
+    fps = set()
+    for _ in range(40):
+        base = rnd.getrandbits(64)
+        two = [b for s in rnd.sample(range(6), 2) for b in range(simhash.EDGES[s], simhash.EDGES[s + 1])]
+        for _ in range(8):  # members differ within two segments of the ring
+            fps.add(base ^ sum(1 << b for b in rnd.sample(two, rnd.randint(0, 4))))
+    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    pairs = simhash.met(simhash.blocks(df)).distinct()
+    through = pairs.where(simhash.chained(F.col("a"), F.col("b")))
+    near = through.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    every = sorted(fps)
+    want = sum((x ^ y).bit_count() <= 2 for i, x in enumerate(every) for y in every[:i])
+    counts = pairs.count(), through.count(), near.count()
+    assert counts[0] > counts[1] > counts[2] == want, counts
+    print("met at a key, through the chain, within two bits:", counts)
+
+
+def test_very_long_texts_in_runs(spark, monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(300)}" for _ in range(n)) for n in (1, 50, 2000, 4999)]
+    whole = [fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "VOTES", 64)
+    assert [simhash.fingerprint(t.encode()) for t in texts] == whole
+
+
+def test_hot_node_joins_can_be_split(spark):
+    """A star of which one node holds nearly all links: the join is of two written tables."""
+    keys = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        from kestrel.storage import materialize
+
+        edges, _ = materialize(spark.range(20000).select(F.when(F.col("id") < 15000, 0).otherwise(F.col("id")).alias("b"), (F.col("id") + 100000).alias("a")).repartition(8))
+        least, _ = materialize(edges.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "u"))
+        df = edges.join(least, edges.b == least.u)
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+        assert components(edges).count() == 20000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

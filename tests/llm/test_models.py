@@ -1,9 +1,13 @@
 """Language ID, URL rules, top-k, BPE, packing and the pipeline."""
 
 import hashlib
+import re
+from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kestrel.llm import bpe, langid, packing, queries, topk, url_rules
@@ -31,6 +35,43 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.report(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def exact_rates(model_grams, text, false_rate):
+    """Shares of a text's n-grams in each language's set, found without filters."""
+    keys = langid.gram_keys(langid._squeezed(text))
+    return {lang: np.isin(keys, grams).mean() for lang, grams in model_grams.items()}
+
+
+def test_filters_against_exact_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {}
+    build = langid.Model.build.__func__
+    langid.Model.build = classmethod(lambda cls, grams, **kw: (kept.update(grams), build(cls, grams, **kw))[1])
+    try:
+        model = langid.fit(docs)
+    finally:
+        langid.Model.build = classmethod(build)
+    agreed = n = 0
+    for r in docs.where(F.col("text").isNotNull() & (F.length("text") > 200)).limit(200).collect():
+        rates = model.rates(r.text)
+        if rates is None:
+            continue
+        exact = exact_rates(kept, r.text, model.false_rate)
+        assert all(abs(rates[k] - exact[lang]) < 0.03 for k, lang in enumerate(model.languages))
+        n += 1
+        agreed += model.languages[int(rates.argmax())] == max(model.languages, key=exact.get)
+    assert n > 100 and agreed / n > 0.99
+
+
+def test_slices_of_very_long_texts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = langid.report(docs).collect()
+    monkeypatch.setattr(langid, "SLICE", 5_000)
+    model = langid.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    same = [model.predict(texts[r.doc_id])[0] == r.lang_pred for r in whole]
+    assert np.mean(same) > 0.995
+
+
 def brute_url(url):
     head, sep, rest = (url or "").partition("://")
     if not sep:
@@ -53,22 +94,68 @@ def test_urls(spark):
         "http://x.com/fr/?a://b/", "http://com/de/9", "ftp://y.com?x", "http://x.org", "http://É.org/a", "http://a\nb.org/c", "a://b://c/d",
     ]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("tokens", F.lit("clash"))
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = {r.page_id: r for r in url_rules.report(spark, df, none).collect()}
+    got = {r.page_id: r for r in url_rules.report(df).collect()}
     for i, u in enumerate(urls):
         host, path = brute_url(u)
         rule, verdict = brute_rule(host, path)
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict or "allow"), u
-    assert url_rules.report(spark, df.limit(0), none).count() == 0
+    assert url_rules.report(df.limit(0)).count() == 0
 
 
 def test_mined_rules_block_their_urls(spark):
     urls = [(i, f"http://shop.net/{'casino' if i % 2 else 'news'}/{i}") for i in range(100)] + [(200, "http://other.net/casino/x"), (201, "http://other.net/y")]
-    labels = [(i, 0 if i % 2 else 1, 0) for i in range(100)]
-    got = url_rules.report(
-        spark, spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    ).collect()
-    assert all((r.verdict == "block") == ("casino" in dict(urls)[r.page_id]) for r in got) and len(got) == len(urls)
+    pages = spark.createDataFrame(urls, "__id long, url string")
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(100)], "__id long, bad boolean")
+    got = url_rules.judge(pages, labels).collect()
+    assert all((r.verdict == "block") == ("casino" in dict(urls)[r["__id"]]) for r in got) and len(got) == len(urls)
+    # Thousands of other pages take nothing from a rule: its support is a number, not a share.
+    more = spark.createDataFrame([(1000 + i, f"http://site{i}.net/news") for i in range(3000)], "__id long, url string")
+    wide = labels.unionByName(more.select("__id", F.lit(False).alias("bad")))
+    few = pages.where("__id < 12 OR __id >= 200").unionByName(more)
+    assert {r["__id"] for r in url_rules.judge(few, wide).where("verdict = 'block'").collect()} == {1, 3, 5, 7, 9, 11, 200}
+
+
+def brute_tokens(url):
+    host, path = brute_url(url)
+    if not host:
+        return frozenset()
+    words = re.findall(r"[^\W_]*[-a-z][-a-z0-9]*|[-a-z0-9]+", path.lower())
+    words = [w for w in words if re.search("[a-z-]", w)]
+    return frozenset([f"h:{x}" for x in host.split(".")] + [f"p:{w}" for w in words] + [f"q:{k}" for k in re.findall(r"[?&](\w+)=", url)])
+
+
+def brute_mined(taught, min_urls, confidence):
+    """Rules by counting every token set of every bad URL."""
+    total = [t for t, _ in taught if t]
+    plain = {x for t, bad in taught if bad for x in t if not all(x in u for u in total)}
+    sets = {frozenset(c) for t, bad in taught if bad for n in range(1, len(t & plain) + 1) for c in combinations(sorted(t & plain), n)}
+    rules = {}
+    for s in sets:
+        holds = [bad for t, bad in taught if s <= t]
+        if sum(holds) >= min_urls and sum(holds) / len(holds) >= confidence:
+            rules[s] = sum(holds) / len(holds)
+    return {s: c for s, c in rules.items() if not any(rules.get(s - {x}, -1) >= c for x in s)}
+
+
+def test_rules_against_every_token_set(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    rows = pages.collect()
+    taught, rest = [], {}
+    for r in rows:
+        rule, verdict = brute_rule(*brute_url(r.url))
+        if verdict:
+            taught.append((brute_tokens(r.url), verdict == "block"))
+        else:
+            rest[r.page_id] = brute_tokens(r.url)
+    want = brute_mined(taught, url_rules.MIN_URLS, url_rules.MIN_CONFIDENCE)
+    url, host, path = F.col("url"), F.col("host"), F.col("path")
+    told = pages.select(url_rules.host(url).alias("host"), url_rules.path(url).alias("path"), url_rules.tokens(url).alias("tokens"))
+    told = told.withColumn("fixed", url_rules.fixed(host, path)[1]).where("fixed IS NOT NULL").select("tokens", (F.col("fixed") == "block").alias("bad"))
+    found = {frozenset(r["items"]): r.confidence for r in url_rules.pruned(url_rules.mine(told)).collect()}
+    assert want and found == want
+    got = {r.page_id: r.verdict for r in url_rules.report(pages).collect()}
+    judged = {i: "block" if any(s <= t for s in want) else "allow" for i, t in rest.items()}
+    assert {i: got[i] for i in judged} == judged and set(judged.values()) == {"allow", "block"}
 
 
 def brute_top(rows, k):
@@ -81,21 +168,37 @@ def brute_top(rows, k):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [40, 10_000])
-def test_topk(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, query_block", [(40, 2), (10_000, 4_096)])
+def test_topk(spark, shard_rows, query_block):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=4).astype(np.float32)]) for i in range(400)]
     rows += [(i + 1000, rows[i][1]) for i in range(30)]  # ties
     rows += [(5000, None), (5100, [1.0, None, 0.0, 0.0]), (5200, [float("nan"), 0.0, 0.0, 0.0]), (5300, [1.0, 2.0]), (5301, [0.0, 1.0]), (5400, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = {}
-    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, shard_rows=shard_rows, query_block=query_block).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = {q: v for q, v in brute_top(rows, 10).items() if v}
     assert got == want
     assert topk.report(df.limit(0)).count() == 0
 
 
+def test_topk_leaves_far_cells_out(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    places = rng.normal(size=(8, 6)) * 20
+    rows = [(i, [float(x) for x in (places[i % 8] + rng.normal(size=6) * 0.2)]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    written = []
+    monkeypatch.setattr(topk.Scratch, "write", lambda self, d, label, write=topk.Scratch.write: (written.append((label, write(self, d, label))), written[-1][1])[1])
+    counts = []
+    monkeypatch.setattr(topk, "materialize", lambda d, label, keep=topk.materialize: (counts.append(sum(t.count() for n, t in written if n == "sent")), keep(d, label))[1])
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 100 == 0, shard_rows=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_top(rows, 10)
+    assert counts[0] < 16 * 16 / 2  # of 16 queries and 16 cells, most pairs are never sent
+
+
 def test_bpe(spark):
     path = queries.tokenizer_path()
     t = tokenizers.Tokenizer.from_file(path)
@@ -116,6 +219,19 @@ def test_bpe(spark):
     assert bpe.report(df.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("words", [1, 7])
+def test_bpe_in_small_chunks(spark, words):
+    path = queries.tokenizer_path()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).select("doc_id", "text")
+    want = sorted(map(tuple, bpe.report(docs, path).collect()))
+    old = bpe.CHUNK_WORDS, bpe.BUCKET_BYTES, bpe.ENCODE_WORDS
+    bpe.CHUNK_WORDS, bpe.BUCKET_BYTES, bpe.ENCODE_WORDS = words * 100, 1000, words
+    try:
+        assert sorted(map(tuple, bpe.report(docs, path).collect())) == want
+    finally:
+        bpe.CHUNK_WORDS, bpe.BUCKET_BYTES, bpe.ENCODE_WORDS = old
+
+
 def test_bpe_refuses_tokenizers_that_look_across_words():
     import public_tokenizers
 
@@ -123,16 +239,80 @@ def test_bpe_refuses_tokenizers_that_look_across_words():
         bpe.check_tokenizer(f.read())
 
 
-def test_best_fit():
-    lengths = [9, 8, 7, 3, 2, 1, 1]
-    owner, offset, final = packing.best_fit(lengths, (4, 10), 1)
-    used = {b: sum(n for n, o in zip(lengths, owner, strict=True) if o == b) for b in set(owner)}
-    assert all(used[b] <= final[b] and final[b] == min(c for c in (4, 10) if c >= used[b]) for b in used)
-    assert sum(final) <= 40
+def brute_pack(lengths, capacities):
+    """The method in plain words: best fit, else the length whose trial filling costs least a token; then downsize."""
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    bins = []
+    for k, i in enumerate(order):
+        n = lengths[i]
+        fit = [b for b in bins if b["room"] >= n]
+        if fit:
+            b = min(fit, key=lambda b: (b["room"], bins.index(b)))
+        else:
+            trials = []
+            for c in capacities:
+                if c >= n:
+                    room = c
+                    for j in order[k:]:
+                        room -= lengths[j] if lengths[j] <= room else 0
+                    trials.append((packing.cost(c) / (c - room), c))
+            b = {"room": min(trials)[1], "items": []}
+            bins.append(b)
+        b["room"] -= n
+        b["items"].append(i)
+    used = [sum(lengths[i] for i in b["items"]) for b in bins]
+    return [sorted(b["items"]) for b in bins], [min(c for c in capacities if c >= u) for u in used]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=40))
+def test_best_fit(lengths):
+    sizes = (5, 11, 25, 40)
+    owner, offset, final = packing.best_fit(lengths, sizes)
+    items, want = brute_pack(lengths, sizes)
+    assert [sorted(i for i, b in enumerate(owner) if b == k) for k in range(len(final))] == items and final == want
     spans = sorted((owner[i], offset[i], lengths[i]) for i in range(len(lengths)))
     assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(spans[:-1], spans[1:], strict=True))
 
 
+def least_cost(lengths, sizes):
+    """Cost of the best packing of a few items, by every grouping."""
+    best = [float("inf")]
+
+    def go(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(min(packing.cost(c) for c in sizes if c >= u) for u in bins))
+            return
+        for b in range(len(bins)):
+            if bins[b] + lengths[k] <= max(sizes):
+                go(k + 1, [u + lengths[k] * (j == b) for j, u in enumerate(bins)])
+        go(k + 1, [*bins, lengths[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_cost_against_every_grouping():
+    rnd = np.random.default_rng(3)
+    ratios, opened = [], set()
+    for _ in range(40):
+        lengths = [int(x) for x in rnd.integers(40, 4096, size=7)]
+        _, _, final = packing.best_fit(lengths, packing.CAPACITIES)
+        opened |= set(final)
+        ratios.append(sum(map(packing.cost, final)) / least_cost(lengths, packing.CAPACITIES))
+    assert min(ratios) >= 1 - 1e-9 and np.mean(ratios) < 1.1 and max(ratios) < 1.5, (np.mean(ratios), max(ratios))
+    assert opened == set(packing.CAPACITIES)
+
+
+def test_several_lengths_occur_in_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bins = packing.pack(docs).groupBy("bin_id", "capacity").agg(F.sum("length").alias("used")).collect()
+    assert {r.capacity for r in bins} == set(packing.CAPACITIES)
+    words = sum(len((r.text or "").encode().split()) for r in docs.collect())
+    one = -(-words // 4096) * packing.cost(4096)
+    assert sum(r.used for r in bins) == words and sum(packing.cost(r.capacity) for r in bins) < one
+
+
 def test_packing(spark):
     texts = [None, "", "a b c", "w " * 25, "x " * 10, "y", "y"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"n": F.lit("clash"), "row": F.lit(0)})
@@ -152,6 +332,13 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_of_one_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 60_000), (2, "a b")], "doc_id long, text string")
+    got = packing.pack(df, capacities=(4, 10), group_items=1000).collect()
+    mine = sorted((r.start, r.length) for r in got if r.doc_id == 1)
+    assert mine == [(i, 10) for i in range(0, 60_000, 10)]
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from test_dedup import fingerprint, norm
+from test_dedup import norm
+from test_near import stays
 
 from kestrel.llm import langid
 
@@ -19,21 +20,6 @@ def by_id(df):
     return {r.doc_id: r.text for r in df.collect()}
 
 
-def near_classes(texts):
-    """Smallest id of each document's class, by all pairs."""
-    ids = sorted(texts)
-    fps = {i: fingerprint(texts[i]) for i in ids}
-    least = {i: i for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for a in ids:
-            for b in ids:
-                if least[b] < least[a] and (fps[a] ^ fps[b]).bit_count() <= 2:
-                    least[a], changed = least[b], True
-    return least
-
-
 def cut(texts, window=35):
     words = {i: WORD.findall(t or "") for i, t in texts.items()}
     starts = Counter(tuple(w[k : k + window]) for w in words.values() for k in range(len(w) - window + 1))
@@ -67,7 +53,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert exact == {i: language[i] for i in least.values()}
 
     near = by_id(kept["simhash_near_dedup"])
-    assert near == {i: exact[i] for i, first in near_classes(exact).items() if i == first}
+    assert near == {i: exact[i] for i in stays(exact)}
 
     cleaned = by_id(kept["substring_dedup"])
     assert cleaned == cut(near)
