@@ -19,8 +19,11 @@ Fingerprints alone cannot give right results here: at similarity 0.8 some ten of
 differ.
 
 Dense blocks.  Groups of near copies crowd a shingle's block, where pairs would be
-quadratic.  First each member is compared with one pivot of its block; after ``STARS``
-such rounds only pairs from different components are left to compare.
+quadratic.  First each member is compared with one pivot of its block - the member with
+the fewest rarer shingles, which stands nearest to all others; after ``STARS`` such
+rounds only pairs from different components are left.  Of those the join emits the ones
+that a parity bitmap lets through: each shingle flips one of 256 bits, so two sets differ
+in at least as many shingles as their bitmaps in bits, and a ninth of both is the most.
 
 Defined results: null and word-less texts have the empty set and are alike; fewer words
 than a shingle make one shingle; equal sets are one node, named by a 64-bit digest;
@@ -42,7 +45,7 @@ from kestrel.llm import simhash
 from kestrel.llm.components import components
 from kestrel.llm.rows import BROADCAST_ROWS, drop_rows, small_batches, text_key
 from kestrel.llm.simhash import SEED, shingle_hashes, voted
-from kestrel.storage import materialize, release
+from kestrel.storage import Scratch, materialize, release, scratch
 
 WORDS = 5
 #: Least similarity, as a fraction.
@@ -50,6 +53,7 @@ NUM, DEN = 4, 5
 #: One text in so many is sampled for the order; shingles of so many sampled texts go last, at most so many shingles.
 SAMPLE, OFTEN, LAST = 16, 3, 1 << 20
 STARS = 2
+BITS = ("b0", "b1", "b2", "b3")
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -89,7 +93,7 @@ def often(given: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(given: DataFrame, width: int, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """__id, __key, node, fp, n (its shingles) and the first of them in the common order, for every row."""
+    """__id, __key, node, fp, n (its shingles), bitmap and the first of them in the common order, for every row."""
     hashes = given.sparkSession.sparkContext.broadcast(last)
 
     def first(s: np.ndarray) -> np.ndarray:
@@ -102,7 +106,7 @@ def prefixes(given: DataFrame, width: int, last: tuple[np.ndarray, np.ndarray])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp, n, head = [], [], [], []
+            node, fp, n, head, bits = [], [], [], [], []
             for t in batch.column(2):
                 parts = list(shingle_hashes(t.as_py() or b"", width))
                 s = np.unique(np.concatenate(parts).view(np.int64)) if parts else np.empty(0, np.int64)
@@ -110,12 +114,14 @@ def prefixes(given: DataFrame, width: int, last: tuple[np.ndarray, np.ndarray])
                 fp.append(voted(parts))
                 n.append(len(s))
                 head.append(first(s))
+                bits.append(np.packbits(np.bincount(s & 255, minlength=256) & 1).view(np.int64))
             fps = pa.array(np.array(fp, dtype=np.uint64).view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), fps, pa.array(n, pa.int32()), _lists(head)]
-            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__key", "node", "fp", "n", "head"])
+            maps = [pa.array(b) for b in np.array(bits, dtype=np.int64).reshape(-1, 4).T.copy()]
+            columns = [batch.column(0), batch.column(1), pa.array(node, pa.int64()), fps, pa.array(n, pa.int32()), *maps, _lists(head)]
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "__key", "node", "fp", "n", *BITS, "head"])
 
     kind = given.schema["__id"].dataType.simpleString()
-    return given.mapInArrow(run, f"__id {kind}, __key binary, node long, fp long, n int, head array<long>")
+    return given.mapInArrow(run, f"__id {kind}, __key binary, node long, fp long, n int, {', '.join(f'{b} long' for b in BITS)}, head array<long>")
 
 
 def _fits(a: str, b: str) -> Column:
@@ -123,6 +129,14 @@ def _fits(a: str, b: str) -> Column:
     return F.least(f"{a}.n", f"{b}.n") * (NUM + DEN) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * NUM
 
 
+def _near(a: str, b: str) -> Column:
+    """The bitmaps of the two sets allow enough similarity."""
+    differ = F.lit(0)
+    for x in BITS:
+        differ = differ + F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}")))
+    return differ * (NUM + DEN) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (DEN - NUM)
+
+
 def _pairs(joined: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of ``joined`` - one row for each shingle that both have first - that can be similar enough."""
     na, nb = F.col("a.n"), F.col("b.n")
@@ -144,62 +158,62 @@ def similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return both.where(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b")
 
 
-def same_prints(rows: DataFrame) -> DataFrame:
+def same_prints(rows: DataFrame, out: Scratch) -> DataFrame:
     """Pairs (a, b) that connect the nodes of ``rows(node, fp)`` whose fingerprints are within two bits."""
-    nodes, _ = materialize(rows.select("node", "fp").distinct(), "prints")
-    least, _ = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    nodes = out.write(rows.select("node", "fp").distinct(), "prints")
+    least = out.write(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least")
     alike = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    linked, _ = materialize(simhash.links(least.select("fp")), "linked")
+    linked = out.write(simhash.links(least.select("fp")), "linked")
     one = linked.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a")
     both = one.join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     return alike.unionByName(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def links(blocks: DataFrame, whole: Callable[[DataFrame], DataFrame], first: DataFrame | None = None) -> DataFrame:
+def links(
+    blocks: DataFrame, whole: Callable[[DataFrame], DataFrame], out: Scratch, first: DataFrame | None = None
+) -> DataFrame:
     """(node, root) of the components of similar sets.
 
-    ``blocks(h, node, n, pos)`` by shared shingle; ``whole`` gives (node, s) of the nodes of a table;
-    ``first(a, b)`` are pairs to look at before.
+    ``blocks(h, node, n, pos, bitmap)`` by shared shingle; ``whole`` gives (node, s) of the
+    nodes of a table; ``first(a, b)`` are pairs to look at before.
     """
-    spark, found, roots = blocks.sparkSession, None, None
+    spark, found, roots, mixed_at = blocks.sparkSession, None, None, None
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Components after the pairs (a, b) that are similar have been linked as well."""
         nonlocal found
-        pairs, pairs_at = materialize(pairs, "pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        given, given_at = materialize(whole(nodes), "sets")
-        new, _ = materialize(similar(pairs, given), "similar")
-        release(spark, pairs_at, given_at)
+        with scratch(spark) as own:
+            pairs = own.write(pairs, "pairs")
+            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            new = out.write(similar(pairs, own.write(whole(nodes), "sets")), "similar")
         found = new if found is None else found.unionByName(new)
-        return materialize(components(found), "roots")[0]
+        return out.write(components(found), "roots")
 
     if first is not None:
         roots = linked(first)
     for r in range(STARS + 1):
         if roots is not None:
-            named = blocks.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            named, named_at = materialize(named, "named")
-            mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
-            mixed, mixed_at = materialize(mixed, "mixed")
-            blocks, _ = materialize(named.join(mixed, "h"), "blocks")
-            release(spark, named_at, mixed_at)
+            with scratch(spark) as own:
+                # All are written, so that a crowded block can be split in the joins.
+                named = own.write(blocks.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+                mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+                blocks, at = materialize(named.join(own.write(mixed, "mixed"), "h"), "blocks")
+                release(spark, *([mixed_at] if mixed_at else []))
+                mixed_at = at
         else:
             blocks = blocks.withColumn("root", F.col("node"))
         if r < STARS:
-            pivot = F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "n", "pos", "root")).alias("p")
-            pivots, _ = materialize(blocks.groupBy("h").agg(pivot).select("h", "p.node", "p.n", "p.pos", "p.root"), "pivots")
-            joined = blocks.alias("a").join(
-                pivots.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & _fits("a", "b")
-            )
+            pivot = F.min(F.struct("pos", F.xxhash64("node", F.lit(r)), "node", "n", "root", *BITS)).alias("p")
+            pivots = out.write(blocks.groupBy("h").agg(pivot).select("h", "p.node", "p.n", "p.root", *(f"p.{b}" for b in BITS)), "pivots")
+            apart = F.col("a.root") != F.col("b.root")
+            joined = blocks.alias("a").join(pivots.alias("b"), (F.col("a.h") == F.col("b.h")) & apart & _fits("a", "b") & _near("a", "b"))
+            pairs = joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         else:
-            in_block = blocks.select("h", "root").distinct()
-            two = in_block.select("h", F.col("root").alias("x")).join(in_block.select("h", F.col("root").alias("y")), "h").where("x < y")
-            left = two.alias("t").join(blocks.alias("a"), (F.col("t.h") == F.col("a.h")) & (F.col("t.x") == F.col("a.root")))
-            joined = left.join(
-                blocks.alias("b"), (F.col("t.h") == F.col("b.h")) & (F.col("t.y") == F.col("b.root")) & _fits("a", "b")
-            )
-        roots = linked(_pairs(joined))
+            apart = F.col("a.root") < F.col("b.root")
+            joined = blocks.alias("a").join(blocks.alias("b"), (F.col("a.h") == F.col("b.h")) & apart & _fits("a", "b") & _near("a", "b"))
+            pairs = _pairs(joined)
+        roots = linked(pairs)
+    release(spark, *([mixed_at] if mixed_at else []))
     return roots
 
 
@@ -211,21 +225,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         text_key(text_col).alias("__key"),
         F.col(text_col).cast("string").cast("binary").alias("__text"),
     )
-    rows, _ = materialize(prefixes(given, width, often(given, width)), "heads")
-    nodes = rows.select("node", "n", "head").dropDuplicates(["node"])
-    tokens, tokens_at = materialize(nodes.select("node", "n", F.posexplode("head").alias("pos", "h")), "tokens")
-    met, _ = materialize(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h"), "met")
-    blocks, _ = materialize(tokens.join(met, "h"), "blocks")
-    release(docs.sparkSession, tokens_at)
-
-    def whole(some: DataFrame) -> DataFrame:
-        keys, _ = materialize(rows.join(some, "node").groupBy("node").agg(F.min("__key").alias("__key")).select("__key"), "keys")
-        if keys.count() <= BROADCAST_ROWS:  # then the texts need not move
-            keys = F.broadcast(keys)
-        return sets(given.join(keys, "__key", "left_semi"), width).dropDuplicates(["node"])
-
-    roots = links(blocks, whole, same_prints(rows))
-    return rows.join(roots, "node", "left").select("__id", "__key", F.coalesce("root", "node").alias("root"))
+    with scratch(docs.sparkSession) as out:
+        rows = out.write(prefixes(given, width, often(given, width)), "heads")
+        with scratch(docs.sparkSession) as own:
+            nodes = rows.select("node", "n", "head").dropDuplicates(["node"])
+            tokens = own.write(nodes.select("node", "n", F.posexplode("head").alias("pos", "h")), "tokens")
+            met = own.write(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h"), "met")
+            maps = own.write(rows.select("node", *BITS).dropDuplicates(["node"]), "maps")
+            blocks = out.write(tokens.join(met, "h").join(maps, "node"), "blocks")
+
+        def whole(some: DataFrame) -> DataFrame:
+            keys = out.write(rows.join(some, "node").groupBy("node").agg(F.min("__key").alias("__key")).select("__key"), "keys")
+            if keys.count() <= BROADCAST_ROWS:  # then the texts need not move
+                keys = F.broadcast(keys)
+            return sets(given.join(keys, "__key", "left_semi"), width).dropDuplicates(["node"])
+
+        roots = links(blocks, whole, out, same_prints(rows, out))
+        named = rows.join(roots, "node", "left").select("__id", "__key", F.coalesce("root", "node").alias("root"))
+        return materialize(named, "classes")[0]
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
@@ -233,7 +250,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows of a class without any non-null id are one row per text.
     """
-    rows, _ = materialize(classes(docs, id_col, text_col, width), "classes")
+    rows = classes(docs, id_col, text_col, width)
     least = rows.where("__id IS NOT NULL").groupBy("root").agg(F.min(F.struct("__id", "__key")).alias("k"))
     nameless = rows.where("__id IS NULL").join(least, "root", "left_anti").select("__id", "__key").distinct()
     kept, _ = materialize(least.select("k.__id", "k.__key").unionByName(nameless), "kept")

@@ -144,7 +144,7 @@ def met(table: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, dense: int = 32) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints of ``fps(fp)``, distinct, within two bits."""
-    table, _ = materialize(blocks(fps), "blocks")
+    table, _ = materialize(blocks(fps), "prints")
     sparse, thick = table.where(F.col("n") <= dense), table.where(F.col("n") > dense)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
     pairs = met(sparse).where(chained(F.col("a"), F.col("b"))).where(near)
