@@ -9,7 +9,10 @@
    holds its distinct words; the number of buckets follows the bytes of the texts.
 3. Join back: each chunk's words return with their ids, and its documents - read by
    bucket of the table, not shuffled - look their ids up by position.
-4. Decode: ids join the id-to-piece table (one row of the vocabulary's size).
+4. Decode: ids join the id-to-piece table by position.  The table's size is the
+   vocabulary's, a parameter, so it goes to every task as one constant array in the plan
+   (a row joined to each document would be copied with it, and a join of exploded ids
+   would shuffle every token).
 
 Words and ids travel packed and compressed, one row per chunk and bucket: a row for
 each word of each chunk, or each occurrence, would be several times the input.
@@ -275,16 +278,9 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: st
     """``encoded`` with the text of its ids: each joins the id-to-piece table by position, in the JVM."""
     spec = _spec(tokenizer)
     check_tokenizer(spec)
-    # One row, of the vocabulary's size.
-    table = encoded.sparkSession.createDataFrame([(pieces(spec),)], "__pieces array<string>")
-    return (
-        encoded.crossJoin(F.broadcast(table))
-        .withColumn(
-            out_col,
-            F.array_join(F.transform(ids_col, lambda i: F.element_at("__pieces", (i + 1).cast("int"))), " "),
-        )
-        .drop("__pieces")
-    )
+    table = F.from_json(F.lit(json.dumps(pieces(spec))), "array<string>")  # folded to a constant before the plan runs
+    text = F.array_join(F.transform(ids_col, lambda i: F.element_at(table, (i + 1).cast("int"))), " ")
+    return encoded.withColumn(out_col, text)
 
 
 def report(docs: DataFrame, tokenizer: str) -> DataFrame:
