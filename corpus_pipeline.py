@@ -10,10 +10,13 @@ pass through; columns other than those named in a stage are carried along unread
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm import exact_dedup, langid, near_dedup, packing, substring_dedup
+from kestrel.session import ship
 from kestrel.storage import materialize
 
 
@@ -58,12 +61,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _with_code(stage):
+    """The stage, after its executors have been given the package."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", language),
-    ("exact_dedup", exact),
-    ("simhash_near_dedup", near),
-    ("substring_dedup", substrings),
-    ("best_fit_packing", packed),
+    ("language_id", _with_code(language)),
+    ("exact_dedup", _with_code(exact)),
+    ("simhash_near_dedup", _with_code(near)),
+    ("substring_dedup", _with_code(substrings)),
+    ("best_fit_packing", _with_code(packed)),
 ]
 
 #: Learned language ID, fingerprints and best-fit packing have no SQL form.
