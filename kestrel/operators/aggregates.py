@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kestrel.functions.numbers import ratio
 from kestrel.functions.text import contains_any
 from kestrel.operators.columns import c, numeric
+from kestrel.operators.ranks import quantiles
 
 # Parts of column names that decide how duplicates are merged.
 LAST_PARTS = (
@@ -46,6 +47,7 @@ MERGED_RATIOS = {
     "Standard_Sh/90": ("Standard_Sh", "Playing Time_90s", 1.0),
     "Standard_SoT/90": ("Standard_SoT", "Playing Time_90s", 1.0),
     "Playing Time_Mn/MP": ("Playing Time_Min", "Playing Time_MP", 1.0),
+    "Playing Time_Min%": ("Playing Time_Min", "Playing Time_MP", 100.0 / 90.0),
 }
 
 
@@ -134,24 +136,21 @@ def value_counts(df: DataFrame, name: str, digits: int = 4) -> DataFrame:
 
 def describe(df: DataFrame, names: Iterable[str], digits: int = 4) -> DataFrame:
     """One row per column: count, mean, std, min, exact quartiles, max."""
-    names = list(names)
-    one = df.agg(
-        *(
-            F.struct(
-                F.count(c(n)).alias("n"),
-                F.round(F.avg(c(n)), digits).alias("mean"),
-                F.round(F.stddev_samp(c(n)), digits).alias("std"),
-                F.min(c(n)).cast("double").alias("min"),
-                F.round(F.percentile(c(n), F.lit(0.25)), digits).alias("q1"),
-                F.round(F.percentile(c(n), F.lit(0.5)), digits).alias("median"),
-                F.round(F.percentile(c(n), F.lit(0.75)), digits).alias("q3"),
-                F.max(c(n)).cast("double").alias("max"),
-            ).alias(f"__{i}")
-            for i, n in enumerate(names)
-        )
-    )
-    rows = F.array(*(F.struct(F.lit(n).alias("column"), F.col(f"__{i}").alias("s")) for i, n in enumerate(names)))
-    return one.select(F.explode(rows).alias("r")).select("r.column", "r.s.*")
+    long = stacked(df, names)
+    r = lambda x: F.round(x, digits)
+    plain = long.groupBy("column").agg(
+        F.count("value").alias("n"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    q = quantiles(long, ["column"], "value", [0.25, 0.5, 0.75])
+    q = q.select("column", *(r(F.col("__q")[i]).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+    return plain.join(q, "column", "left").select("column", "n", "mean", "std", "min", "q1", "median", "q3", "max")
+
+
+def stacked(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """(column, value): the named columns of every row, one below the other, as doubles."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("column"), c(n).cast("double").alias("value")) for n in names))
+    return df.select(F.inline(pairs))
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence, agg: Column | None = None, fill: float | None = 0) -> DataFrame:
@@ -179,6 +178,24 @@ def min_max(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return wide.withColumns(scaled).drop(*(f"__{e}{i}" for i in range(len(names)) for e in ("lo", "hi")))
 
 
+def target_correlations(df: DataFrame, names: Sequence[str], target: str, n: int | None = None, digits: int = 6) -> DataFrame:
+    """(feature, r): Pearson of each column with the target, strongest first by absolute value; the first ``n``."""
+    one = df.agg(*(F.corr(c(x).cast("double"), c(target).cast("double")).alias(f"__{i}") for i, x in enumerate(names)))
+    rows = F.array(*(F.struct(F.lit(x).alias("feature"), F.round(F.col(f"__{i}"), digits).alias("r")) for i, x in enumerate(names)))
+    # One row a column of the table.
+    ranked = one.select(F.inline(rows)).where("r IS NOT NULL").orderBy(F.abs("r").desc(), "feature")
+    return ranked if n is None else ranked.limit(n)
+
+
+def noise_reduction(df: DataFrame, by: str, value: str, threshold: float, width: float = 100, digits: int = 4) -> DataFrame:
+    """One row: deviation of ``value`` below and from ``threshold`` of ``by``, and the reduction in per cent."""
+    low, high = F.stddev_samp(F.when(c(by) < threshold, c(value))), F.stddev_samp(F.when(c(by) >= threshold, c(value)))
+    return df.agg(
+        F.round(low, digits).alias("std_below"), F.round(high, digits).alias("std_from"),
+        F.round((1 - high / F.nullif(low, F.lit(0))) * 100, digits).alias("reduction_pct"),
+    )
+
+
 def correlations(df: DataFrame, names: Sequence[str], digits: int = 6) -> DataFrame:
     """(a, b, r): Pearson over rows where both are known, every pair in one pass."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
@@ -194,10 +211,12 @@ def correlations(df: DataFrame, names: Sequence[str], digits: int = 6) -> DataFr
 
 def profile(df: DataFrame, medians: Sequence[str], modes: Sequence[str]) -> DataFrame:
     """One row: medians of the first columns, most frequent values (smallest of ties) of the second; 0 if unknown."""
-    return df.agg(
-        *(F.coalesce(F.median(c(n)), F.lit(0.0)).alias(n) for n in medians),
-        *(F.coalesce(F.mode(c(n), True), F.lit(0)).alias(n) for n in modes),
-    )
+    out = df.agg(F.lit(1).alias("__one"), *(F.coalesce(F.mode(c(n), True), F.lit(0)).alias(n) for n in modes))
+    if medians:
+        q = quantiles(stacked(df, medians), ["column"], "value", [0.5])
+        one = q.agg(*(F.coalesce(F.max(F.when(F.col("column") == n, F.col("__q")[0])), F.lit(0.0)).alias(n) for n in medians))
+        out = out.join(F.broadcast(one))  # one row each
+    return out.select(*(c(n) for n in (*medians, *modes)))
 
 
 def sample_skewness(x: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators.columns import c
+from kestrel.operators.ranks import quantiles
+from kestrel.storage import materialize
 
 
 def learn_medians(train: DataFrame, keys: Sequence[str], value: str, least: int = 1) -> DataFrame:
@@ -19,14 +21,19 @@ def learn_medians(train: DataFrame, keys: Sequence[str], value: str, least: int
     known = train.where(c(value).isNotNull())
     for k in keys:
         known = known.where(c(k).isNotNull())
-    g = known.groupBy(*(c(k) for k in keys)).agg(F.median(c(value)).alias("__m"), F.count(c(value)).alias("__n"))
-    return g.where(F.col("__n") >= least).drop("__n")
+    medians = quantiles(known, keys, value, [0.5]).select(*(c(k) for k in keys), F.col("__q")[0].alias("__m"))
+    if least <= 1 or not keys:
+        return medians
+    enough = known.groupBy(*(c(k) for k in keys)).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).drop("__n")
+    return medians.join(enough, list(keys))
 
 
 def _look_up(df: DataFrame, table: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     t = table.select(*(c(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__m").alias(out))
     if not keys:
         return df.join(F.broadcast(t))  # one row: a global median
+    # Written on both sides of the join, so that a hot key can be split.
+    t, _ = materialize(t, "medians")
     on = [c(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]
     return df.join(t, on, "left").drop(*(f"__k{i}" for i in range(len(keys))))
 

@@ -137,18 +137,49 @@ def cascade(
     return out, left
 
 
-def diagnose(orphans: DataFrame, names: DataFrame, name: str, row: str, prefix: int | None = PREFIX) -> DataFrame:
-    """Nearest known name of each orphan over all seasons, and why it was not taken."""
-    pairs = candidates(orphans, names, [], name, prefix)
-    near = best_match(pairs, [], token_set_ratio(F.col("l"), F.col("r")), 0)
-    reason = F.when(F.col("score") >= 70, "close name, other season or club").when(
-        F.col("score") >= 50, "distant name"
-    ).otherwise("no similar name")
-    return (
-        orphans.join(near.withColumnRenamed("l", name), name, "left")
-        .select(c(row), c(name), F.col("r").alias("nearest"), "score")
-        .withColumn("reason", F.when(F.col("score").isNull(), "no similar name").otherwise(reason))
+# Reasons for a rejection.
+CLUB_TOO_WEAK, NAME_TOO_WEAK = "Score nom OK mais club trop faible", "Score nom trop faible"
+TO_VERIFY, NO_CANDIDATE = "Score nom + club OK — à vérifier manuellement", "Aucun résultat fuzzy"
+#: Parts that the orphans are dealt into against all names, which no block narrows.
+DEAL = 64
+
+
+def diagnose(orphans: DataFrame, names: DataFrame, name: str, row: str, club: str | None = None) -> DataFrame:
+    """Nearest known name of each orphan over all seasons, its name and club scores, and why it was not taken.
+
+    The nearest by token-set ratio, or by token-sort ratio if that one scores higher.
+    Distinct orphan names are compared with distinct names, dealt over ``DEAL`` parts.
+    """
+    known = names.where((c(name) != "") & c(name).isNotNull())
+    left = orphans.where((c(name) != "") & c(name).isNotNull()).select(c(name).alias("l")).distinct()
+    left = left.withColumn("__part", F.pmod(F.xxhash64("l"), F.lit(DEAL)))
+    right = known.select(c(name).alias("r")).distinct().withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEAL - 1).cast("long"))))
+    pairs = left.join(right, "__part").drop("__part")
+    by_set, _ = materialize(best_match(pairs, [], token_set_ratio(F.col("l"), F.col("r")), 0), "by_set")
+    by_sort = best_match(pairs, [], token_sort_ratio(F.col("l"), F.col("r")), 0)
+    by_sort, _ = materialize(by_sort.select("l", F.col("r").alias("r2"), F.col("score").alias("s2")), "by_sort")
+    higher = F.col("s2") > F.col("score")
+    near = by_set.join(by_sort, "l").select(
+        F.col("l").alias(name), F.when(higher, F.col("r2")).otherwise(F.col("r")).alias("nearest"), F.greatest("score", "s2").alias("score")
     )
+    out = orphans.join(near, name, "left")
+    if club is None:
+        out = out.withColumn("club_score", F.lit(0.0))
+    else:
+        of = known.groupBy(c(name).alias("nearest")).agg(F.min(c(club)).alias("__of"))
+        out = out.join(of, "nearest", "left").withColumn("club_score", F.coalesce(token_set_ratio(c(club), F.col("__of")), F.lit(0.0)))
+    weak_club = (F.col("score") < 90) & (F.col("club_score") < 70)
+    reason = (
+        F.when(F.col("score").isNull(), NO_CANDIDATE).when(weak_club, CLUB_TOO_WEAK).when(F.col("score") < 50, NAME_TOO_WEAK).otherwise(TO_VERIFY)
+    )
+    return out.select(c(row), c(name), "nearest", "score", "club_score", reason.alias("reason"))
+
+
+def reason_shares(diagnosed: DataFrame, digits: int = 2) -> DataFrame:
+    """(reason, n, pct): how the orphans' reasons are distributed."""
+    counts = diagnosed.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("__all"))
+    return counts.join(F.broadcast(whole)).select("reason", "n", F.round(F.col("n") * 100.0 / F.col("__all"), digits).alias("pct"))  # one row
 
 
 def fuzzy_dimension(df: DataFrame, dim: DataFrame, block: Sequence[str], name: str, take: Sequence[str], least: float = 80, prefix: int | None = PREFIX) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.numbers import band
 from kestrel.operators.columns import c
+from kestrel.operators.ranks import quantiles
 
 # Bands of the error reports.
 VALUE_EDGES = (0, 1e6, 5e6, 20e6, 50e6, float("inf"))
@@ -89,6 +90,13 @@ def yeo_johnson(y: Column, lam: float) -> Column:
     return F.when(y >= 0, up).otherwise(down)
 
 
+def from_yeo_johnson(z: Column, lam: float) -> Column:
+    """Inverse of :func:`yeo_johnson`."""
+    up = F.expm1(z) if abs(lam) < 1e-12 else F.pow(z * lam + 1, 1 / lam) - 1
+    down = -F.expm1(-z) if abs(lam - 2) < 1e-12 else 1 - F.pow(1 - z * (2 - lam), 1 / (2 - lam))
+    return F.when(z >= 0, up).otherwise(down)
+
+
 def fit_yeo_johnson(df: DataFrame, y: str, grid: Sequence[float] | None = None) -> float:
     """The lambda of greatest log-likelihood on a grid, all candidates in one pass."""
     grid = list(grid or [x / 10 for x in range(-20, 41)])
@@ -105,10 +113,30 @@ def fit_yeo_johnson(df: DataFrame, y: str, grid: Sequence[float] | None = None)
 
 def quantile_uniform(df: DataFrame, y: str, out: str, steps: int = 100) -> DataFrame:
     """Position of y on a grid of exact quantiles, linear between them: a map to [0, 1] of fixed size."""
-    at = F.array(*(F.lit(i / steps) for i in range(steps + 1)))
-    grid = df.agg(F.percentile(c(y), at).alias("__q"))
+    grid = quantiles(df, [], y, [i / steps for i in range(steps + 1)])
     k = F.greatest(F.least(F.size(F.filter("__q", lambda q: q <= c(y))), F.lit(steps)), F.lit(1))
     low, high = F.element_at("__q", k), F.element_at("__q", k + 1)
     part = F.coalesce((c(y) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
     position = F.when(c(y).isNotNull(), F.greatest(F.least((k - 1 + part) / steps, F.lit(1.0)), F.lit(0.0)))
     return df.join(F.broadcast(grid)).withColumn(out, position).drop("__q")  # one row
+
+
+def from_quantile_uniform(df: DataFrame, train: DataFrame, y: str, u: str, out: str, steps: int = 100) -> DataFrame:
+    """Inverse of :func:`quantile_uniform` learned on ``train``: the value at position ``u`` of the grid of quantiles."""
+    grid = quantiles(train, [], y, [i / steps for i in range(steps + 1)])
+    at = F.least(F.greatest(c(u), F.lit(0.0)), F.lit(1.0)) * steps
+    k = F.least(F.floor(at), F.lit(steps - 1)).cast("int")
+    low, high = F.element_at("__q", k + 1), F.element_at("__q", k + 2)
+    return df.join(F.broadcast(grid)).withColumn(out, low + (high - low) * (at - k)).drop("__q")  # one row
+
+
+def min_max_target(df: DataFrame, train: DataFrame, y: str, out: str) -> DataFrame:
+    """(y - min) / (max - min) with the bounds of ``train``; 0 where they are equal."""
+    span = train.agg(F.min(c(y)).alias("__lo"), F.max(c(y)).alias("__hi"))
+    scaled = F.coalesce((c(y) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0)), F.when(c(y).isNotNull(), 0.0))
+    return df.join(F.broadcast(span)).withColumn(out, scaled).drop("__lo", "__hi")  # one row
+
+
+def from_min_max(df: DataFrame, train: DataFrame, y: str, z: str, out: str) -> DataFrame:
+    span = train.agg(F.min(c(y)).alias("__lo"), F.max(c(y)).alias("__hi"))
+    return df.join(F.broadcast(span)).withColumn(out, F.col("__lo") + c(z) * (F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")  # one row

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators.columns import c
+from kestrel.operators.ranks import quantiles
 
 # Seasons of the temporal split.
 SEASON_SPLIT = {"train": (2020, 2021, 2022), "validation": (2023,), "test": (2024,), "in_progress": (2025,)}
@@ -37,8 +38,8 @@ def hashed(df: DataFrame, key: Sequence[str], shares: Mapping[str, float], seed:
 
 def iqr_limit(train: DataFrame, value: str, factor: float = 1.5) -> DataFrame:
     """One row: Q3 + factor * IQR."""
-    q = F.percentile(c(value), F.array(F.lit(0.25), F.lit(0.75)))
-    return train.agg(q.alias("q")).select((F.col("q")[1] + factor * (F.col("q")[1] - F.col("q")[0])).alias("__limit"))
+    q = F.col("__q")
+    return quantiles(train, [], value, [0.25, 0.75]).select((q[1] + factor * (q[1] - q[0])).alias("__limit"))
 
 
 def below_limit(df: DataFrame, train: DataFrame, value: str, factor: float = 1.5) -> DataFrame:
@@ -48,7 +49,7 @@ def below_limit(df: DataFrame, train: DataFrame, value: str, factor: float = 1.5
 
 def clip_quantiles(df: DataFrame, train: DataFrame, value: str, low: float, high: float, out: str) -> DataFrame:
     """Values held within two exact quantiles of ``train``."""
-    q = train.agg(F.percentile(c(value), F.array(F.lit(low), F.lit(high))).alias("__q"))
+    q = quantiles(train, [], value, [low, high])
     clipped = F.when(c(value).isNotNull(), F.least(F.greatest(c(value), F.col("__q")[0]), F.col("__q")[1]))
     return df.join(F.broadcast(q)).withColumn(out, clipped).drop("__q")  # one row
 

@@ -16,7 +16,9 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.operators.aggregates import stacked
 from kestrel.operators.columns import c
+from kestrel.operators.ranks import quantiles
 from kestrel.operators.splits import sample
 
 Score = Callable[[DataFrame], DataFrame]
@@ -104,12 +106,11 @@ def surrogate(
     """
     spark = train.sparkSession
     known = {f: float(row.get(f) or 0.0) for f in features}
-    wide = train.agg(
-        *(F.percentile(c(f).cast("double"), F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0))).alias(f"q{i}") for i, f in enumerate(features))
-    ).first()
+    # One row for each input.
+    wide = {r[0]: r[1] for r in quantiles(stacked(train, features), ["column"], "value", [0, 0.25, 0.5, 0.75, 1]).collect()}
     cuts, ends = [], []
-    for i in range(len(features)):
-        q = wide[i] or [0.0] * 5
+    for f in features:
+        q = wide.get(f) or [0.0] * 5
         cuts.append(sorted(set(q[1:4])))
         ends.append((q[0], q[4]))
 

@@ -49,8 +49,8 @@ def engineer(df: DataFrame, player: str = PLAYER, season: str = SEASON, team: st
     positions = with_prefix(df, "pos_")
     if positions:
         new["est_polyvalent"] = sum((c(n) for n in positions), F.lit(0)) - 1
-    if needs("Starts_Compl", "Starts_Starts"):
-        new["taux_matchs_termines"] = ratio_or(c("Starts_Compl"), c("Starts_Starts"))
+    if needs("Starts_Compl", "Playing Time_Starts"):
+        new["taux_matchs_termines"] = ratio_or(c("Starts_Compl"), c("Playing Time_Starts"))
     if needs("age"):
         new |= {
             "pic_distance": c("age") - 25,

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions import seasons, text
-from kestrel.functions.numbers import first_int
+from kestrel.functions.numbers import first_int, leading_int
 from kestrel.operators import aggregates, encode, impute, linkage, splits, windows
 from kestrel.operators.columns import c
 from kestrel.plans.features import engineer
+from kestrel.storage import materialize
 
 
 def valuations_by_season(players: DataFrame, valuations: DataFrame, start_month: int = seasons.SEPTEMBER) -> DataFrame:
@@ -83,6 +84,22 @@ def link(performance: DataFrame, mapping: DataFrame, values: DataFrame, score_mi
     return left.join(found, "row_id"), orphans
 
 
+def encoded(df: DataFrame) -> DataFrame:
+    """Nation flags and ranks, confederations, positions and one column a category; the schema follows the whole table."""
+    out = df.withColumn("est_anglais", F.coalesce(F.lower(F.trim(c("nation"))) == "eng", F.lit(False)).cast("int"))
+    out = encode.rank_dummies(out, "rank", 10, "classement_FIFA")
+    out = encode.one_hot(out, "confederation", [*encode.CONFEDERATIONS, "Inconnu"])
+    if "pos" in df.columns:
+        parts = df.select(F.explode(F.split("pos", ",")).alias("label")).select(F.trim("label").alias("label")).where("label <> ''")
+        labels = encode.categories(parts, "label", 50)
+        out = encode.multi_label(out, "pos", labels, "pos") if len(labels) > 1 else out
+        out = out.drop("pos")
+    for name in ("sub_position", "league", "foot"):
+        if name in df.columns:
+            out = encode.one_hot(out, name, encode.categories(df, name))
+    return out
+
+
 def build(
     performance: DataFrame, mapping: DataFrame, players: DataFrame, valuations: DataFrame, injuries: DataFrame,
     standings: DataFrame, ranking: DataFrame,
@@ -110,9 +127,12 @@ def build(
     ranks = nation_rank(ranking).select(c("country_abrv").alias("nation"), "season_year", "rank")
     known = merged.where("market_value_in_eur IS NOT NULL").join(ranks, ["nation", "season_year"], "left")
     known = known.fillna(999, ["rank"]).withColumn("confederation", encode.confederation(c("nation")))
-    born = F.year("date_of_birth")
-    known = known.withColumn("age", (c("season_year") - born).cast("double"))
-    known = encode.rank_dummies(known, "rank", 10, "classement_FIFA")
+    age = c("season_year") - F.year("date_of_birth")
+    if "age" in known.columns:  # the source's own age ("23-328") where the birth date is unknown
+        age = F.coalesce(age, leading_int(c("age")))
+    known = known.withColumn("age", age.cast("double"))
+    known, _ = materialize(known, "known")  # its categories are counted before it is encoded
+    known = encoded(known)
     known = splits.temporal(known, "season_year")
     train = known.where("split = 'train'")
     known = impute.hierarchical(known, train, "age", [()], 25.0)
@@ -120,6 +140,7 @@ def build(
     known = windows.lagged(known, ["player"], "season_year", "market_value_in_eur", "prev_value", False)
     known = known.withColumn("log_prev_value", F.log1p("prev_value")).drop("prev_value")
     known = impute.hierarchical(
-        known, known.where("split = 'train'"), "log_prev_value", [["position", "league"], ["position"], ()], 0.0
+        known, known.where("split = 'train'"), "log_prev_value",
+        [["league", "position", "season_year"], ["league", "position"], ["position"], ()], 0.0,
     )
     return engineer(known), orphans

@@ -5,11 +5,13 @@ Only model state (coefficients, trees, a few sums) reaches the driver, never row
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -63,13 +65,9 @@ def scored(model: Model, df: DataFrame, out: str) -> DataFrame:
 
 
 def contiguous_folds(df: DataFrame, order: Sequence[str], folds: int, out: str = "fold") -> DataFrame:
-    """Fold numbers in unshuffled blocks of rows, as equal as ``folds`` quantiles of the order key allow.
-
-    Block edges are exact quantiles of the first order column, so no task sees all rows.
-    """
-    first = order[0]
-    cuts = df.agg(F.percentile(c(first), F.array(*(F.lit(i / folds) for i in range(1, folds)))).alias("__cuts"))
-    return df.join(F.broadcast(cuts)).withColumn(out, F.size(F.filter("__cuts", lambda x: x < c(first)))).drop("__cuts")
+    """Fold numbers in unshuffled blocks of rows, at most one row apart in size; ties and nulls in the order key are rows too."""
+    placed, _ = materialize(_indexed(df, [c(o) for o in order], "__i"), "folds")
+    return placed.withColumn(out, F.floor((F.col("__i") - 1) * folds / F.lit(max(1, placed.count()))).cast("int")).drop("__i")
 
 
 def out_of_fold(df: DataFrame, learners: Mapping[str, Estimator], fold: str, folds: int) -> DataFrame:
@@ -164,6 +162,91 @@ def ranking(df: DataFrame, y: str, predictions: Sequence[str]) -> DataFrame:
     return errors(long, y, "p", ["model"]).orderBy("mae", "model")
 
 
+def mean_blend(df: DataFrame, predictions: Sequence[str], out: str = "predicted") -> DataFrame:
+    """The mean of the predictions that are known."""
+    known = sum((F.coalesce(c(p), F.lit(0.0)) for p in predictions), F.lit(0.0))
+    n = sum((c(p).isNotNull().cast("int") for p in predictions), F.lit(0))
+    return df.withColumn(out, known / F.nullif(n, F.lit(0)))
+
+
+def best_transform(
+    train: DataFrame, test: DataFrame, target: str, features: Sequence[str], transforms: Mapping[str, tuple], learner: Callable[[], Estimator]
+) -> DataFrame:
+    """Error metrics of one learner fitted on each transform of the target and scored on its own scale, best MAE first.
+
+    The first row names the transform to stack on again.
+    """
+    made = None
+    for name, (forward, back) in transforms.items():
+        ready = prepare(train, target, features).withColumn("label", forward(c(target)))
+        model = learner().fit(ready.where(F.col("label").isNotNull()))
+        done = model.transform(prepare(test, target, features)).withColumn("p", F.greatest(back(F.col("prediction")), F.lit(0.0)))
+        own = done.select(F.lit(name).alias("model"), c(target).cast("double").alias("y"), "p")
+        made = own if made is None else made.unionByName(own)
+    return errors(made, "y", "p", ["model"]).withColumnRenamed("model", "transform").orderBy("mae", "transform")
+
+
+def gain_importance(spark: SparkSession, model: Model, features: Sequence[str]) -> DataFrame:
+    """(feature, gain): a tree model's importances, strongest first; one row an input."""
+    rows = [(n, float(v)) for n, v in zip(features, model.featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
+
+
+def chosen(importance: DataFrame, value: str, threshold: float, least: int = 5) -> list[str]:
+    """Inputs whose importance exceeds ``threshold``, strongest first; at least the ``least`` strongest."""
+    ranked = [(r.feature, r[value]) for r in importance.orderBy(F.desc(value), "feature").collect()]  # one row an input
+    above = [f for f, v in ranked if v is not None and v > threshold]
+    return above if len(above) >= least else [f for f, _ in ranked[:least]]
+
+
+def select_by_threshold(
+    importance: DataFrame, value: str, thresholds: Sequence[float], train: DataFrame, test: DataFrame, target: str,
+    learner: Callable[[], Estimator], least: int = 5,
+) -> DataFrame:
+    """(threshold, features, mae, rmse, r2): a model on the inputs above each threshold, best MAE first."""
+    out = []
+    for t in thresholds:
+        names = chosen(importance, value, t, least)
+        done = scored(learner().fit(prepare(train, target, names)), prepare(test, target, names), "p")
+        r = errors(done, target, "p").first()
+        out.append((float(t), len(names), r.mae, r.rmse, r.r2))
+    spark = train.sparkSession
+    return spark.createDataFrame(out, "threshold double, features int, mae double, rmse double, r2 double").orderBy("mae", "features")
+
+
+def specialised(
+    train: DataFrame, test: DataFrame, target: str, features: Sequence[str], group: str, learner: Callable[[], Estimator]
+) -> DataFrame:
+    """Per group of rows: MAE of the model of all rows and of the group's own, and the gain of the latter.
+
+    ``group`` holds a few labels, as goalkeepers and outfield players.
+    """
+    whole = learner().fit(prepare(train, target, features))
+    made = None
+    for r in train.select(c(group).alias("g")).where("g IS NOT NULL").distinct().orderBy("g").collect():
+        own = learner().fit(prepare(train.where(c(group) == r.g), target, features))
+        rows = prepare(test.where(c(group) == r.g), target, features)
+        done = scored(own, scored(whole, rows, "p_all"), "p_own").select(F.lit(r.g).alias("group"), c(target).alias("y"), "p_all", "p_own")
+        made = done if made is None else made.unionByName(done)
+    return made.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("p_all"))).alias("mae_all"), F.avg(F.abs(F.col("y") - F.col("p_own"))).alias("mae_own")
+    ).withColumn("gain", F.col("mae_all") - F.col("mae_own"))
+
+
+def champion(df: DataFrame, y: str, predictions: Sequence[str]) -> DataFrame:
+    """Final comparison: metrics of every approach on the same rows, clipped at zero, best MAE first and marked.
+
+    Raises if an approach lacks a prediction for a row that another has.
+    """
+    counts = df.agg(*(F.count(c(p)).alias(p) for p in predictions)).first().asDict()
+    if len(set(counts.values())) > 1:
+        raise ValueError(f"approaches predict different numbers of rows: {counts}")
+    clipped = df.withColumns({p: F.when(c(p).isNotNull(), F.greatest(c(p), F.lit(0.0))) for p in predictions})
+    table = ranking(clipped, y, predictions)
+    best = table.select(F.min(F.struct("mae", "model")).alias("b"))
+    return table.join(F.broadcast(best)).withColumn("champion", F.col("model") == F.col("b.model")).drop("b").orderBy("mae", "model")  # one row
+
+
 def permutation_importance(
     score: Callable[[DataFrame], DataFrame], df: DataFrame, features: Sequence[str], target: str, repeats: int = 3
 ) -> DataFrame:
@@ -284,6 +367,30 @@ def sensitivity(reference: DataFrame, grids: Mapping[str, Sequence[float]]) -> D
     return out
 
 
+# Choices of the manual entry and the model's columns they set.
+CHOICES = {
+    "poste": {"Gardien": "pos_GK", "Défenseur": "pos_DF", "Milieu": "pos_MF", "Attaquant": "pos_FW"},
+    "pied": {"Droit": "foot_right", "Gauche": "foot_left", "Ambidextre": "foot_both"},
+    "championnat": {
+        "Premier League": "league_ENG-Premier League", "La Liga": "league_ESP-La Liga", "Ligue 1": "league_FRA-Ligue 1",
+        "Bundesliga": "league_GER-Bundesliga", "Serie A": "league_ITA-Serie A",
+    },
+}
+
+
+def entered(choices: Mapping[str, object]) -> dict[str, float]:
+    """A manual entry in business terms as values of the model's columns; unknown fields keep their names."""
+    out: dict[str, float] = {}
+    for field_, value in choices.items():
+        if field_ in CHOICES:
+            out |= {column: int(label == value) for label, column in CHOICES[field_].items()}
+        elif field_ == "age":
+            out |= {"age": value, "age_sq": value * value}
+        else:
+            out["height_in_cm" if field_ == "taille_cm" else field_] = value
+    return out
+
+
 def manual_row(profile: DataFrame, given: Mapping[str, float]) -> DataFrame:
     """The default profile with known fields overridden; unknown fields are ignored."""
     return profile.withColumns({n: F.lit(v) for n, v in given.items() if n in profile.columns})
@@ -295,6 +402,29 @@ def export(df: DataFrame, y: str, p: str, keep: Sequence[str]) -> DataFrame:
     return df.select(*(c(n) for n in keep), c(y).alias("vm_reelle_euros"), F.round(c(p), 0).alias("vm_predite_euros"), F.round(gap, 2).alias("ecart_pct"))
 
 
+def suggestions(df: DataFrame, name: str, text: str, n: int = 5, cutoff: float = 0.5) -> DataFrame:
+    """The ``n`` distinct names most like ``text`` by the ratio of matching blocks (difflib's), from ``cutoff``; ties as difflib orders them."""
+
+    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = SequenceMatcher()
+        match.set_seq2(text)
+        for batch in batches:
+            out = []
+            for x in batch.column(0).to_pylist():
+                match.set_seq1(x)
+                out.append(match.ratio())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["name", "score"])
+
+    names = df.select(c(name).cast("string").alias("name")).where("name IS NOT NULL").distinct()
+    return names.mapInArrow(ratio, "name string, score double").where(F.col("score") >= cutoff).orderBy(F.desc("score"), F.desc("name")).limit(n)
+
+
+def nth_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The ``n``-th row (from 1) of every group in the given order, descending."""
+    w = Window.partitionBy(*(c(k) for k in keys)).orderBy(*(c(o).desc() for o in order))
+    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == n).drop("__n")
+
+
 def search(df: DataFrame, name: str, text: str, season: str, wanted: int | None = None) -> DataFrame:
     """Rows whose name contains ``text`` (any case): the wanted season, or each player's latest."""
     hit = df.where(F.coalesce(F.contains(F.lower(c(name)), F.lit(text.lower())), F.lit(False)))

@@ -131,10 +131,28 @@ def fuzzy_token_set_cascade(t: Tables) -> DataFrame:
 def orphan_diagnostics(t: Tables) -> DataFrame:
     players, mapping, clean = corrupted_names(t)
     _, orphans = linkage.cascade(players, mapping, clean.where("tm_id % 2 = 0"))
-    return linkage.diagnose(orphans, clean, "name_clean", "row_id")
+    return linkage.diagnose(orphans, clean, "name_clean", "row_id", "club_clean")
 
 
-@query()
+@query("""
+WITH d AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS n, s_suppkey FROM supplier WHERE s_suppkey <= 40)
+SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'Score nom OK mais club trop faible' ELSE 'Score nom + club OK — à vérifier manuellement' END AS reason,
+       count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM d), 2) AS pct FROM d GROUP BY 1
+""")
+def orphan_reason_shares(t: Tables) -> DataFrame:
+    """Orphans whose nearest name is the same, and those with a name and club of their own."""
+    s = t.supplier.where("s_suppkey <= 40").select(F.col("s_suppkey").alias("row_id"))
+    word = F.translate(F.col("row_id").cast("string"), "0123456789", "abcdefghij")
+    known = s.select(F.concat(F.lit("player "), word).alias("name_clean"), F.lit("alpha").alias("club_clean"))
+    odd = F.col("row_id") % 4 == 0
+    lost = s.select("row_id", F.when(odd, F.concat(F.lit("zzqq xxww "), word, word)).otherwise(F.concat(F.lit("player "), word)).alias("name_clean"),
+                    F.when(odd, F.lit("zeta")).otherwise(F.lit("alpha")).alias("club_clean"))
+    return linkage.reason_shares(linkage.diagnose(lost, known, "name_clean", "row_id", "club_clean"))
+
+
+@query("""
+SELECT 1 AS block, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE lower(n_name) || ' fc' END AS name, n_nationkey FROM nation
+""")
 def fuzzy_dimension_fallback(t: Tables) -> DataFrame:
     """Exact join of a dimension, similar names for rows without a partner."""
     n = t.nation.select(F.lit(1).alias("block"), F.lower("n_name").alias("name"), "n_nationkey")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.numbers import floor_bin
-from kestrel.operators import aggregates, encode, impute, metrics, splits
+from kestrel.operators import aggregates, encode, impute, metrics, ranks, splits
 from kestrel.operators.columns import at_least_known
 from kestrel.queries.registry import Tables, query
 
@@ -270,8 +270,8 @@ def rows_with_enough_known(t: Tables) -> DataFrame:
 SELECT o_orderkey, round(percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice), 8) AS pct FROM orders
 """)
 def percentile_rank(t: Tables) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice")
-    return t.orders.select("o_orderkey", F.round(F.percent_rank().over(w), 8).alias("pct"))
+    ranked = ranks.percent_ranks(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", "pct")
+    return ranked.select("o_orderkey", F.round("pct", 8).alias("pct"))
 
 
 @query("""
