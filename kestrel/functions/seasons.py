@@ -13,6 +13,19 @@ def season_year(date: Column, start_month: int = JULY) -> Column:
     return F.year(date) - (F.month(date) < start_month).cast("int")
 
 
+# Labels of the twelve months.
+MONTHS = ("Jan", "Fév", "Mar", "Avr", "Mai", "Juin", "Juil", "Août", "Sep", "Oct", "Nov", "Déc")
+
+
+def month_label(date: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(m) for m in MONTHS)), F.month(date))
+
+
+def age_at(birth_year: Column, reference_year: Column | int) -> Column:
+    """Full years by calendar year; the reference is given, never the clock's."""
+    return (reference_year if isinstance(reference_year, Column) else F.lit(reference_year)) - birth_year
+
+
 def season_label(year: Column) -> Column:
     """2020 -> "2020/2021"."""
     return F.concat_ws("/", year.cast("string"), (year + 1).cast("string"))

@@ -148,6 +148,16 @@ def contains_any(x: Column, keywords: list[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def thousands(x: Column, sep: str = " ", unit: str = "") -> Column:
+    """12345.6 -> "12 346" (half-even), with a unit behind."""
+    return F.concat(F.replace(F.format_number(x, 0), F.lit(","), F.lit(sep)), F.lit(unit))
+
+
+def per_cent(share: Column, digits: int = 2) -> Column:
+    """0.1234 -> "12.34%"."""
+    return F.when(share.isNotNull(), F.format_string(f"%.{digits}f%%", share.cast("double") * 100))
+
+
 def strip_parentheses(x: Column) -> Column:
     return squeeze(F.regexp_replace(x, r"\([^)]*\)", " "))
 

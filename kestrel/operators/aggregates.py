@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.numbers import ratio
@@ -160,6 +160,16 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence, agg: Column
     return out if fill is None else out.fillna(fill)
 
 
+def rows_by_median(cells: DataFrame, keys: Sequence[str], values: Sequence[str], out: str) -> DataFrame:
+    """Rows of a heatmap numbered by the median of their cells, highest first, ties by key.
+
+    A heatmap has a row for each category, so one task may order them.
+    """
+    ordered, n = F.array_sort(F.array(*(c(v) for v in values))), len(values)
+    middle = (F.element_at(ordered, (n + 1) // 2) + F.element_at(ordered, n // 2 + 1)) / 2
+    return cells.withColumn(out, F.row_number().over(Window.orderBy(middle.desc(), *(c(k) for k in keys))))
+
+
 def median_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
     return df.groupBy(*(c(k) for k in keys)).agg(F.median(c(value)).alias(out))
 

@@ -103,6 +103,13 @@ def test_learning_table_end_to_end(spark):
     assert one.injury_days_total == 5 and one.log_prev_value == pytest.approx(np.log1p(1e6)) and one.confederation == "UEFA"
     assert rows["Kévin Un", 2020].classement_FIFA_3 == 1 and rows["Kévin Un", 2023].split == "validation"
     assert rows["Kévin Un", 2023].delta_minutes_jouees == 0.0
+    assert {
+        "est_anglais", "classement_FIFA_10", "confederation_UEFA", "confederation_Inconnu", "pos_MF", "pos_FW", "sub_position_CM", "league_L1", "foot_left",
+        "age", "log_prev_value", "est_polyvalent", "pic_distance", "age_sq", "pic_age", "competition_internationale", "delta_minutes_jouees", "delta_xg",
+        "taux_indisponibilite", "taux_indisponibilite_prec", "fragilite_chronique", "contribution_offensive_equipe", "rentabilite_buts_minutes",
+        "efficacite_devant_but", "score_hype_nation",
+    } <= set(table.columns)
+    assert one.pos_MF == 1 and one.foot_right == 1 and one.est_polyvalent == 0 and one.age == 26.0
 
 
 def test_files(spark, tmp_path):
