@@ -58,6 +58,16 @@ def base_learners() -> dict[str, Estimator]:
     }
 
 
+def boosted_learners() -> dict[str, Estimator]:
+    """Three boosted regressors of different depth, pace and sampling."""
+    tree = {"labelCol": "label", "featuresCol": "features", "weightCol": "weight", "seed": SEED}
+    return {
+        "boosted": GBTRegressor(maxIter=30, maxDepth=4, stepSize=0.1, **tree),
+        "boosted_deep": GBTRegressor(maxIter=20, maxDepth=7, stepSize=0.15, subsamplingRate=0.8, **tree),
+        "boosted_slow": GBTRegressor(maxIter=60, maxDepth=3, stepSize=0.05, featureSubsetStrategy="onethird", **tree),
+    }
+
+
 def scored(model: Model, df: DataFrame, out: str) -> DataFrame:
     """``df`` with the model's prediction on the target's own scale, not below zero."""
     done = model.transform(df).withColumn(out, F.greatest(F.expm1("prediction"), F.lit(0.0)))
