@@ -154,7 +154,8 @@ def diagnose(orphans: DataFrame, names: DataFrame, name: str, row: str, club: st
     left = orphans.where((c(name) != "") & c(name).isNotNull()).select(c(name).alias("l")).distinct()
     left = left.withColumn("__part", F.pmod(F.xxhash64("l"), F.lit(DEAL)))
     right = known.select(c(name).alias("r")).distinct().withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEAL - 1).cast("long"))))
-    pairs = left.join(right, "__part").drop("__part")
+    # A stated number of partitions is kept: the names are few bytes, their comparisons much work.
+    pairs = left.repartition(DEAL, "__part").join(right.repartition(DEAL, "__part").hint("merge"), "__part").drop("__part")
     by_set, _ = materialize(best_match(pairs, [], token_set_ratio(F.col("l"), F.col("r")), 0), "by_set")
     by_sort = best_match(pairs, [], token_sort_ratio(F.col("l"), F.col("r")), 0)
     by_sort, _ = materialize(by_sort.select("l", F.col("r").alias("r2"), F.col("score").alias("s2")), "by_sort")
