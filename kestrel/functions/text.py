@@ -199,6 +199,20 @@ def sorted_tokens(x: Column) -> Column:
     return F.array_sort(F.filter(F.split(x, r"\s+"), lambda t: t != ""))
 
 
+def letter_mask(x: Column) -> Column:
+    """64 bits: which of a-z occur, which occur twice or more, and which of twelve classes the other characters fall in.
+
+    Two texts' masks differ in no more bits than letters must be put in or taken out to turn one into the other.
+    """
+    letters = F.split(x, "")
+    again = F.array_distinct(F.filter(letters, lambda a: F.size(F.filter(letters, lambda b: b == a)) > 1))
+    latin = lambda a: (a >= "a") & (a <= "z") & (F.octet_length(a) == 1)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+    first = F.transform(F.array_distinct(F.filter(letters, lambda a: a != "")), lambda a: bit(F.when(latin(a), F.ascii(a) - 97).otherwise(52 + F.pmod(F.ascii(a), F.lit(12)))))
+    second = F.transform(F.filter(again, latin), lambda a: bit(F.ascii(a) - 97 + 26))
+    return F.aggregate(F.concat(first, second), F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(b))
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     return indel_ratio(F.array_join(sorted_tokens(a), " "), F.array_join(sorted_tokens(b), " "))
 

@@ -40,17 +40,16 @@ def exact_valuation_step(t: Tables) -> DataFrame:
 def _juniors(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Names with a token more: their token sets nest, so each is nearest to its own name with a score of 100."""
     _, _, clean = corrupted_names(t)
-    few = clean.where("tm_id <= 400")
-    return few.select(F.col("tm_id").alias("row_id"), "season", F.concat("name_clean", F.lit(" jr")).alias("name_clean"), "club_clean"), few
+    return clean.select(F.col("tm_id").alias("row_id"), "season", F.concat("name_clean", F.lit(" jr")).alias("name_clean"), "club_clean"), clean
 
 
-@query("SELECT p_partkey AS row_id, p_partkey AS tm_id, 'fuzzy_mapping' AS match_method, 100.0::DOUBLE AS score FROM part WHERE p_partkey <= 400")
+@query("SELECT p_partkey AS row_id, p_partkey AS tm_id, 'fuzzy_mapping' AS match_method, 100.0::DOUBLE AS score FROM part")
 def fuzzy_nested_names(t: Tables) -> DataFrame:
     left, right = _juniors(t)
     return linkage.fuzzy_step(left, right, ["season"], "name_clean", "row_id", "fuzzy_mapping", ["tm_id"])
 
 
-@query("SELECT p_partkey AS row_id, p_partkey AS tm_id, 'fuzzy_valuation' AS match_method, 100.0::DOUBLE AS score FROM part WHERE p_partkey <= 400")
+@query("SELECT p_partkey AS row_id, p_partkey AS tm_id, 'fuzzy_valuation' AS match_method, 100.0::DOUBLE AS score FROM part")
 def fuzzy_nested_names_with_club(t: Tables) -> DataFrame:
     left, right = _juniors(t)
     return linkage.fuzzy_club_step(left, right, ["season"], "name_clean", "club_clean", "row_id", "fuzzy_valuation", ["tm_id"])

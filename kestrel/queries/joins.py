@@ -135,13 +135,13 @@ def orphan_diagnostics(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS n, s_suppkey FROM supplier WHERE s_suppkey <= 40)
+WITH d AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS n, s_suppkey FROM supplier)
 SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'Score nom OK mais club trop faible' ELSE 'Score nom + club OK — à vérifier manuellement' END AS reason,
        count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM d), 2) AS pct FROM d GROUP BY 1
 """)
 def orphan_reason_shares(t: Tables) -> DataFrame:
     """Orphans whose nearest name is the same, and those with a name and club of their own."""
-    s = t.supplier.where("s_suppkey <= 40").select(F.col("s_suppkey").alias("row_id"))
+    s = t.supplier.select(F.col("s_suppkey").alias("row_id"))
     word = F.translate(F.col("row_id").cast("string"), "0123456789", "abcdefghij")
     known = s.select(F.concat(F.lit("player "), word).alias("name_clean"), F.lit("alpha").alias("club_clean"))
     odd = F.col("row_id") % 4 == 0
