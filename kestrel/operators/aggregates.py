@@ -171,7 +171,15 @@ def rows_by_median(cells: DataFrame, keys: Sequence[str], values: Sequence[str],
 
 
 def median_by(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    return df.groupBy(*(c(k) for k in keys)).agg(F.median(c(value)).alias(out))
+    """Exact median per key, null for a key without values; no task holds a key's values."""
+    found = quantiles(df, keys, value, [0.5]).select(*(c(k) for k in keys), F.col("__q")[0].alias(out))
+    every = df.select(*(c(k) for k in keys), F.lit(None).cast("double").alias(out)).distinct()
+    return found.unionByName(every).groupBy(*(c(k) for k in keys)).agg(F.max(c(out)).alias(out))
+
+
+def median_pivot(df: DataFrame, row: str, column: str, values: Sequence, value: str, fill: float | None = 0) -> DataFrame:
+    """Cross-tab of exact medians."""
+    return crosstab(median_by(df, [row, column], value, "__median"), row, column, values, F.max("__median"), fill)
 
 
 def min_max(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -7,7 +7,9 @@ it when it is small by its own size check, and shuffles it otherwise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,6 @@ def _look_up(df: DataFrame, table: DataFrame, keys: Sequence[str], out: str) ->
     t = table.select(*(c(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__m").alias(out))
     if not keys:
         return df.join(F.broadcast(t))  # one row: a global median
-    # Written on both sides of the join, so that a hot key can be split.
-    t, _ = materialize(t, "medians")
     on = [c(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]
     return df.join(t, on, "left").drop(*(f"__k{i}" for i in range(len(keys))))
 
@@ -49,8 +49,16 @@ def hierarchical(
     known = c(value) if where is None else F.when(~F.coalesce(where, F.lit(False)), c(value))
     work, names = df.withColumn("__known", known), []
     clean = train if where is None else train.where(~F.coalesce(where, F.lit(False)))
-    for i, keys in enumerate(levels):
-        work = _look_up(work, learn_medians(clean, keys, value), keys, f"__l{i}")
+
+    def learn(keys: Sequence[str]) -> DataFrame:
+        # Written, so that both sides of the look-up are read tables and a hot key can be split.
+        return materialize(learn_medians(clean, keys, value), "medians")[0]
+
+    # The levels do not depend on each other: their small jobs run side by side.
+    with ThreadPoolExecutor(max(len(levels), 1)) as pool:
+        tables = list(pool.map(inheritable_thread_target(df.sparkSession)(learn), levels))
+    for i, (keys, table) in enumerate(zip(levels, tables, strict=True)):
+        work = _look_up(work, table, keys, f"__l{i}")
         names.append(f"__l{i}")
     filled = F.coalesce(F.col("__known"), *(F.col(n) for n in names), F.lit(default))
     return work.withColumn(out or value, filled).drop("__known", *names)

@@ -114,7 +114,10 @@ def fit_yeo_johnson(df: DataFrame, y: str, grid: Sequence[float] | None = None)
 def quantile_uniform(df: DataFrame, y: str, out: str, steps: int = 100) -> DataFrame:
     """Position of y on a grid of exact quantiles, linear between them: a map to [0, 1] of fixed size."""
     grid = quantiles(df, [], y, [i / steps for i in range(steps + 1)])
-    k = F.greatest(F.least(F.size(F.filter("__q", lambda q: q <= c(y))), F.lit(steps)), F.lit(1))
+    # Grid values up to y, by halving: a long grid takes few steps a row.
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range((steps + 1).bit_length()))))
+    upto = F.aggregate(halves, F.lit(0), lambda n, h: F.when(F.get("__q", n + h - 1) <= c(y), n + h).otherwise(n))
+    k = F.greatest(F.least(upto, F.lit(steps)), F.lit(1))
     low, high = F.element_at("__q", k), F.element_at("__q", k + 1)
     part = F.coalesce((c(y) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
     position = F.when(c(y).isNotNull(), F.greatest(F.least((k - 1 + part) / steps, F.lit(1.0)), F.lit(0.0)))

@@ -8,7 +8,8 @@ range-partitioned by key and value, and running sums within each partition plus
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,19 +30,16 @@ def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [*names, "__v"]
     placed, _ = materialize(counts.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "counts")
-    # One row per partition reaches the driver.
-    before, n = [], 0
-    for p, size in sorted(placed.groupBy("__p").agg(F.sum("__n")).collect()):
-        before.append((p, n))
-        n += size
-    offsets = spark.createDataFrame(before or [(0, 0)], "__p int, __o long")
+    # One row per partition reaches the driver and goes back as a constant array.
+    sizes = dict(placed.groupBy("__p").agg(F.sum("__n")).collect())
+    before = accumulate((sizes.get(p, 0) for p in range(parts)), initial=0)
+    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
     running = F.sum("__n").over(Window.partitionBy("__p").orderBy(*order)) - F.col("__n")
-    ranked = placed.withColumn("__at", running).join(F.broadcast(offsets), "__p")
-    ranked = ranked.select(*order, "__n", (F.col("__at") + F.col("__o")).alias("__at"))
+    ranked = placed.withColumn("__at", running).select(*order, "__n", (F.col("__at") + F.get(offsets, F.col("__p"))).alias("__at"))
     if not names:
         first = ranked.agg(F.min("__at").alias("__first"), F.sum("__n").alias("__all"))
         return ranked.join(F.broadcast(first)).select("__v", "__n", (F.col("__at") - F.col("__first")).alias("__lo"), "__all")  # one row
-    ranked, _ = materialize(ranked, "ranked")
+    # Written, so that the join reads no aggregate on this side and a hot key of the other can be split.
     first, _ = materialize(
         ranked.groupBy(*(F.col(x).alias(f"{x}_") for x in names)).agg(F.min("__at").alias("__first"), F.sum("__n").alias("__all")), "first"
     )
@@ -50,23 +48,34 @@ def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, at: Sequence[float], out: str = "__q") -> DataFrame:
-    """``keys`` and an array of the exact quantiles ``at`` of ``value``, linear between neighbours; null without values."""
-    ranked = counted(df, keys, value)
-    x = F.col("__v").cast("double")
-    picks, found = [], []
-    for i, q in enumerate(at):
-        place = F.lit(float(q)) * (F.col("__all") - 1)
-        holds = lambda row: (F.col("__lo") <= row) & (row < F.col("__lo") + F.col("__n"))
-        picks += [
-            F.max(F.when(holds(F.floor(place)), x)).alias(f"__a{i}"),
-            F.max(F.when(holds(F.ceil(place)), x)).alias(f"__b{i}"),
-            F.max(place - F.floor(place)).alias(f"__f{i}"),
-        ]
-        low, high, part = F.col(f"__a{i}"), F.col(f"__b{i}"), F.col(f"__f{i}")
-        found.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high))
+    """``keys`` and an array of the exact quantiles ``at`` of ``value``, linear between neighbours; null without values.
+
+    Of a key's values only those that hold one of the two places beside a quantile are grouped: two a quantile.
+    A value finds its places among the ordered quantiles by halving.
+    """
+    ranked, ordered = counted(df, keys, value), sorted(map(float, at))
+    shares, halves = F.lit(ordered), F.lit([1 << i for i in reversed(range(len(at).bit_length()))])
+    exact = lambda i: F.get(shares, i) * (F.col("__all") - 1)
+
+    def before(row: Column, near: Callable[[Column], Column]) -> Column:
+        """How many of the places come before a row."""
+        return F.aggregate(halves, F.lit(0), lambda n, h: F.when(near(exact(n + h - 1)) < row, n + h).otherwise(n))
+
     names = [f"__k{i}" for i in range(len(keys))]
-    wide = ranked.groupBy(*names).agg(*picks) if names else ranked.agg(*picks)
-    return wide.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), F.array(*found).alias(out))
+    end = F.col("__lo") + F.col("__n")
+    spans = {f"__{e}{k}": before(row, near) for k, near in enumerate((F.floor, F.ceil)) for e, row in (("a", F.col("__lo")), ("b", end))}
+    held = ranked.withColumns(spans).where("__b0 > __a0 OR __b1 > __a1")
+    points = F.concat(*(F.slice(F.lit([2 * i + k for i in range(len(at))]), F.col(f"__a{k}") + 1, F.col(f"__b{k}") - F.col(f"__a{k}")) for k in (0, 1)))
+    beside = held.select(*names, "__all", F.col("__v").cast("double").alias("__x"), F.explode(points).alias("__j"))
+    wide = beside.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("__j", "__x"))).alias("__beside"), F.max("__all").alias("__all"))
+
+    def found(i: Column) -> Column:
+        low, high = F.get("__beside", 2 * i)["__x"], F.get("__beside", 2 * i + 1)["__x"]
+        part = exact(i) - F.floor(exact(i))
+        return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
+
+    values = F.transform(F.lit([ordered.index(float(q)) for q in at]), found)
+    return wide.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), values.alias(out))
 
 
 def percent_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -8,6 +8,7 @@ only the background rows (a parameter) and the surrogate's coefficients.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -146,21 +147,22 @@ def surrogate(
     return sorted(found, key=lambda r: -r[1])
 
 
+#: A condition on a 0/1 input: one feature, no second bound.
+BINARY = re.compile(r"(?P<feature>(?:(?! < ).)+) (?P<sign><=|>) 0\.00")
+
+
 def readable(condition: str, row: Mapping[str, float], families: Mapping[str, str]) -> str:
     """A surrogate's condition in words: of a 0/1 input the row's own category, else yes or no.
 
     ``families`` gives the display name of every one-hot prefix.
     """
-    for sign, holds in ((" <= 0.00", False), (" > 0.00", True)):
-        if not condition.endswith(sign):
-            continue
-        feature = condition.removesuffix(sign)
-        if " < " in feature:
-            return condition
-        prefix = next((p for p in families if feature.startswith(p)), None)
-        if prefix is None:
-            return f"{'Oui' if holds else 'Non'} : {feature}"
-        word = lambda name: name.removeprefix(prefix).replace("_", " ").strip().capitalize()
-        own = next((word(n) for n, v in row.items() if n.startswith(prefix) and v == 1), "Inconnu")
-        return f"{families[prefix]} : {own}" + ("" if holds else f" (≠ {word(feature)})")
-    return condition
+    parsed = BINARY.fullmatch(condition)
+    if parsed is None:  # a bound of a number says what it means
+        return condition
+    feature, holds = parsed["feature"], parsed["sign"] == ">"
+    prefix = next(filter(feature.startswith, families), None)
+    if prefix is None:
+        return f"{'Oui' if holds else 'Non'} : {feature}"
+    word = lambda name: name.removeprefix(prefix).replace("_", " ").strip().capitalize()
+    own = next((word(n) for n, v in row.items() if n.startswith(prefix) and v == 1), "Inconnu")
+    return f"{families[prefix]} : {own}" + ("" if holds else f" (≠ {word(feature)})")

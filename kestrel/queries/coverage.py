@@ -174,7 +174,7 @@ SIZES = ("1-URGENT", "3-MEDIUM", "5-LOW")
 )
 def ordered_heatmap(t: Tables) -> DataFrame:
     """Medians of status by priority; rows numbered by the median of their cells, highest first."""
-    cells = aggregates.crosstab(t.orders, "o_orderstatus", "o_orderpriority", SIZES, F.median("o_totalprice"))
+    cells = aggregates.median_pivot(t.orders, "o_orderstatus", "o_orderpriority", SIZES, "o_totalprice")
     return aggregates.rows_by_median(cells, ["o_orderstatus"], SIZES, "place")
 
 

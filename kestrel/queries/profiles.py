@@ -116,7 +116,7 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
     + " FROM customer GROUP BY 1"
 )
 def median_heatmap_pivot(t: Tables) -> DataFrame:
-    return aggregates.crosstab(t.customer, "c_nationkey", "c_mktsegment", SEGMENTS, F.median("c_acctbal"))
+    return aggregates.median_pivot(t.customer, "c_nationkey", "c_mktsegment", SEGMENTS, "c_acctbal")
 
 
 @query(
@@ -256,7 +256,8 @@ WITH m AS (SELECT p_size, median(p_retailprice) AS m, count(*) AS n FROM part GR
 SELECT arg_max(p_size, (m, -p_size)) AS peak_size, max(m) AS peak FROM m WHERE n >= 10
 """)
 def peak_of_group_medians(t: Tables) -> DataFrame:
-    m = t.part.groupBy("p_size").agg(F.median("p_retailprice").alias("m"), F.count(F.lit(1)).alias("n")).where("n >= 10")
+    sizes = t.part.groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    m = aggregates.median_by(t.part, ["p_size"], "p_retailprice", "m").join(sizes, "p_size")
     return m.agg(F.max_by("p_size", F.struct("m", (-F.col("p_size")).alias("s"))).alias("peak_size"), F.max("m").alias("peak"))
 
 
@@ -280,10 +281,12 @@ SELECT year(o_orderdate)::INT AS year, median(o_totalprice / 1e6) AS median_m, r
 """)
 def season_value_summary(t: Tables) -> DataFrame:
     o = splits.elite(t.orders.withColumn("m", F.col("o_totalprice") / 1e6), "o_totalprice", 200_000)
-    return o.groupBy(F.year("o_orderdate").alias("year")).agg(
-        F.median("m").alias("median_m"), F.round(F.avg("m"), 6).alias("mean_m"), F.count(F.lit(1)).alias("n"),
+    o = o.withColumn("year", F.year("o_orderdate"))
+    rest = o.groupBy("year").agg(
+        F.round(F.avg("m"), 6).alias("mean_m"), F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("group") == "elite").alias("elite"),
     )
+    return aggregates.median_by(o, ["year"], "m", "median_m").join(rest, "year")
 
 
 @query("""

@@ -29,6 +29,15 @@ def test_quantiles(spark, table):
     assert ranks.quantiles(table.limit(0), ["k"], "x", [0.5]).count() == 0
 
 
+def test_many_unordered_quantiles_and_medians(spark, table):
+    at = [0.9, 0.1, 0.1, *(i / 40 for i in range(41))]
+    got = {r.k: r["__q"] for r in ranks.quantiles(table, ["k"], "x", at).collect()}
+    want = {r.k: r.q for r in table.where("x IS NOT NULL").groupBy("k").agg(F.percentile("x", F.array(*map(F.lit, at))).alias("q")).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    got = {r.k: r["median"] for r in aggregates.median_by(table, ["k"], "x").collect()}
+    assert got == {r.k: r.m for r in table.groupBy("k").agg(F.median("x").alias("m")).collect()} and got["d"] is None
+
+
 def test_percent_ranks(spark, table):
     rows = table.withColumn("i", F.monotonically_increasing_id())
     rows = spark.createDataFrame(rows.collect(), rows.schema)
