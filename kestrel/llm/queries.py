@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kestrel.llm import (
     bpe,
     exact_dedup,
+    filter_audit,
     langid,
     line_dedup,
     packing,
@@ -71,6 +72,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 ALL = (
     op1_simhash_near_dedup,
     op2_prefix_sum_sharding,
@@ -82,6 +87,7 @@ ALL = (
     op8_bpe_distinct_words,
     op9_substring_dedup,
     op10_best_fit_packing,
+    op12_filter_interaction_audit,
 )
 
 
@@ -166,10 +172,63 @@ GROUP BY d.doc_id
 """
 
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         len(words) < 100 AS a,
+         100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS e
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id
+), fails AS (
+  SELECT part, good, toxic,
+         (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END)
+         || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS f
+  FROM flags
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT p.x || q.x || r.x || s.x || u.x AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters u
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before
+  FROM orders, range(1, 6) AS k(step)
+), kinds AS (
+  SELECT part, good, toxic, f, count(*) AS n FROM fails GROUP BY part, good, toxic, f
+), counted AS (
+  SELECT part, filter_order, step, own,
+         n, good, toxic, f, contains(f, own) AS failing,
+         len(list_intersect(string_split(f, ''), string_split(before, ''))) > 0 AND before <> '' AND f <> '' AS gone
+  FROM kinds, steps
+), summed AS (
+  SELECT part, filter_order, step::INT AS step, own,
+         coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (f = own), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (NOT gone AND failing AND good), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (NOT gone AND failing AND toxic), 0)::BIGINT AS toxic_lost
+  FROM counted GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM summed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": OP3_SQL,
         "op6_line_dedup": OP6_SQL,
         "op7_ball_tree_topk": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
+        "op12_filter_interaction_audit": OP12_SQL,
     }
