@@ -12,6 +12,7 @@ from kestrel.llm import (
     filter_audit,
     langid,
     line_dedup,
+    minhash,
     packing,
     sharding,
     simhash,
@@ -76,6 +77,10 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(_table(spark, sf_dir, "documents"))
+
+
 ALL = (
     op1_simhash_near_dedup,
     op2_prefix_sum_sharding,
@@ -88,6 +93,7 @@ ALL = (
     op9_substring_dedup,
     op10_best_fit_packing,
     op12_filter_interaction_audit,
+    op13_minhash_near_dedup,
 )
 
 
@@ -224,6 +230,40 @@ FROM summed
 """
 
 
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+                      WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                      ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))))
+                 END AS s
+  FROM w
+), nodes AS (
+  SELECT min(doc_id) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), tokens AS (
+  SELECT node, n, unnest(s) AS t FROM nodes
+), links AS (
+  SELECT a.node AS a, b.node AS b
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, other) AS (
+  SELECT node, node FROM nodes
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a
+), roots AS (
+  SELECT node, min(other) AS root FROM reach GROUP BY node
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS component_id, s.doc_id = coalesce(r.root, s.doc_id) AS kept
+FROM sets s LEFT JOIN nodes m ON s.s = m.s AND len(s.s) > 0 LEFT JOIN roots r ON m.node = r.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": OP3_SQL,
@@ -231,4 +271,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ball_tree_topk": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
         "op12_filter_interaction_audit": OP12_SQL,
+        "op13_minhash_near_dedup": OP13_SQL,
     }
