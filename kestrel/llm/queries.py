@@ -16,6 +16,7 @@ from kestrel.llm import (
     packing,
     sharding,
     simhash,
+    spelling,
     substring_dedup,
     topk,
     url_rules,
@@ -73,6 +74,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -92,6 +97,7 @@ ALL = (
     op8_bpe_distinct_words,
     op9_substring_dedup,
     op10_best_fit_packing,
+    op11_spelling_variants,
     op12_filter_interaction_audit,
     op13_minhash_near_dedup,
 )
@@ -178,6 +184,60 @@ GROUP BY d.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE bits(b, c, k) AS (
+  SELECT b, b, 0 FROM range(256) t(b)
+  UNION ALL
+  SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY b) AS crcs FROM bits WHERE k = 8
+), found AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents
+), lowered AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM found
+), occurring AS (
+  SELECT doc_id, r, count(*) AS n FROM lowered GROUP BY doc_id, r
+), coded AS (
+  SELECT doc_id, r, n,
+         flatten(list_transform(string_split(doc_id || ':' || r, ''),
+                 lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END)) AS bytes
+  FROM occurring
+), hashed AS (
+  SELECT r, n,
+         xor(list_reduce(bytes, lambda h, b: xor(h // 256, crcs[xor(h % 256, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM (SELECT r, n, list_transform(bytes, lambda b: b::BIGINT) AS bytes FROM coded) CROSS JOIN crc_table
+), runs AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substring(r, 1, (h % length(r))::INT) || substring(r, (h % length(r))::INT + 2) ELSE r END AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM runs WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cuts AS (
+  SELECT word, i, substring(word, 1, i::INT - 1) || substring(word, i::INT + 1) AS cut
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION
+  SELECT c.word, w.word FROM cuts c JOIN words w ON c.cut = w.word
+  UNION
+  SELECT w.word, c.word FROM cuts c JOIN words w ON c.cut = w.word
+), ranked AS (
+  SELECT p.a, p.b, w.n AS b_n, count(*) OVER (PARTITION BY p.a) AS n_near,
+         row_number() OVER (PARTITION BY p.a ORDER BY w.n DESC, encode(p.b)) AS k
+  FROM near p JOIN words w ON p.b = w.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0)::BIGINT AS n_near,
+         CASE WHEN r.b_n >= 2 * w.n THEN r.b END AS form, CASE WHEN r.b_n >= 2 * w.n THEN r.b_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.a AND r.k = 1
+), chain(word, last) AS (
+  SELECT word, word FROM formed
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN formed f ON c.last = f.word WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT c.word, c.last AS root FROM chain c JOIN formed f ON c.last = f.word WHERE f.form IS NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r ON f.word = r.word
+"""
+
+
 OP12_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
@@ -270,6 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_line_dedup": OP6_SQL,
         "op7_ball_tree_topk": OP7_SQL,
         "op9_substring_dedup": OP9_SQL,
+        "op11_spelling_variants": OP11_SQL,
         "op12_filter_interaction_audit": OP12_SQL,
         "op13_minhash_near_dedup": OP13_SQL,
     }
