@@ -1,73 +1,33 @@
 """Record linkage: an exact-then-fuzzy cascade in which each step sees only what is still unmatched.
 
-Fuzzy steps compare the distinct names within a block (the season).  The blocked join emits
-only pairs whose scores can reach the step's bounds: enough common tokens, or lengths and
-letters that differ by no more than the bound lets them, which loses no match.  Arrow batches score
-what is left and an aggregation keeps the best.  A ``prefix`` leaves only pairs in which some
-token of each begins with the same letters, and loses matches whose heads differ.
+Fuzzy steps look up the distinct names of a block (the season) in an inverted index of letter
+pairs, letters and tokens (:mod:`kestrel.operators.similarity`), which loses no match; Arrow
+batches score the candidates and an aggregation keeps the best.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.text import CLUB_ALIASES, letter_mask, map_or_self, sorted_tokens, token_set_ratio, token_sort_ratio
+from kestrel.functions.text import CLUB_ALIASES, map_or_self, token_set_ratio, token_sort_ratio
+from kestrel.operators import similarity
 from kestrel.operators.columns import c
-from kestrel.storage import materialize
+from kestrel.operators.similarity import distinct_names
+from kestrel.storage import materialize, scratch
 
-PREFIX: int | None = None
 
+def block_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], name: str) -> DataFrame:
+    """(block, l, r): all pairs of distinct names of a block."""
+    a, b = distinct_names(left, block, name), distinct_names(right, block, name)
+    sides = (df.select(*(c(k) for k in block), F.col("x").alias(side)) for df, side in ((a, "l"), (b, "r")))
+    return next(sides).join(next(sides), list(block))
 
-def _names(df: DataFrame, block: Sequence[str], name: str, out: str, prefix: int | None = None) -> DataFrame:
-    """Distinct (block, name) with what the bounds need: tokens, letters and lengths with and without repeats."""
-    one = df.where((c(name) != "") & c(name).isNotNull()).select(*(c(b) for b in block), c(name).alias(out)).distinct()
-    tokens = sorted_tokens(F.col(out))
-    one = one.withColumn(f"__t{out}", F.array_distinct(tokens))
-    for kind, text in (("set", F.array_join(f"__t{out}", " ")), ("sort", F.array_join(tokens, " "))):
-        one = one.withColumn(f"__{kind}_m{out}", letter_mask(text)).withColumn(f"__{kind}_n{out}", F.length(text))
-    heads = F.array(F.lit("")) if prefix is None else F.array_distinct(F.transform(tokens, lambda t: F.substring(t, 1, prefix)))
-    return one.withColumn("__head", F.explode(heads))
 
-
-def _reaches(kind: str, least: float) -> Column:
-    """Whether an alignment can score ``least``: it costs at least the lengths' difference and the letters'."""
-    of = lambda part: (F.col(f"__{kind}_{part}l"), F.col(f"__{kind}_{part}r"))
-    (n, m), (a, b) = of("n"), of("m")
-    cost = F.greatest(F.abs(n - m), F.bit_count(a.bitwiseXOR(b)))
-    return cost * 100.0 <= (n + m) * (100.0 - least) + 1e-6
-
-
-def _can_reach(least_set: float | None, least_sort: float | None) -> Column:
-    """Whether the token-set or the token-sort ratio of a pair can reach its bound (None: not asked for)."""
-    ways = []
-    if least_set is not None:
-        # The common tokens alone against either whole name: exact, and 100 where one holds the other.
-        n, fewer = F.length(F.array_join(F.array_intersect("__tl", "__tr"), " ")), F.least("__set_nl", "__set_nr")
-        ways += [_reaches("set", least_set), (n > 0) & (n * 200.0 + 1e-6 >= (n + fewer) * least_set)]
-    if least_sort is not None:
-        ways.append(_reaches("sort", least_sort))
-    return reduce(Column.__or__, ways, F.lit(not ways))
-
-
-def candidates(
-    left: DataFrame, right: DataFrame, block: Sequence[str], name: str, prefix: int | None = PREFIX,
-    least_set: float | None = None, least_sort: float | None = None,
-) -> DataFrame:
-    """Pairs of distinct (block, name) of both sides: columns of the block, ``l`` and ``r``.
-
-    With bounds, all pairs whose token-set ratio reaches ``least_set`` or whose token-sort ratio reaches
-    ``least_sort``, and some that reach neither; without, all pairs of a block.
-    """
-    a, b = _names(left, block, name, "l", prefix).alias("a"), _names(right, block, name, "r", prefix).alias("b")
-    on = _can_reach(least_set, least_sort)
-    for k in (*block, "__head"):
-        on = on & (F.col(f"a.`{k}`") == F.col(f"b.`{k}`"))
-    pairs = a.join(b, on).select(*(F.col(f"a.`{k}`").alias(k) for k in block), "l", "r")
-    return pairs.distinct() if prefix is not None else pairs
+def _scores() -> dict[str, Column]:
+    return {"__set": token_set_ratio(F.col("l"), F.col("r")), "__sort": token_sort_ratio(F.col("l"), F.col("r"))}
 
 
 def _best(score: Column, least: float) -> Column:
@@ -75,12 +35,6 @@ def _best(score: Column, least: float) -> Column:
     return F.min(F.when(score >= least, F.struct((-score).alias("s"), "r")))
 
 
-def best_match(pairs: DataFrame, block: Sequence[str], score: Column, least: float) -> DataFrame:
-    """Best right name of each left name at or above ``least``: score, then the right name's order."""
-    top = pairs.withColumn("score", score).groupBy(*(c(b) for b in block), "l").agg(_best(F.col("score"), least).alias("b"))
-    return top.where("b IS NOT NULL").select(*(c(b) for b in block), "l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
-
-
 def exact_step(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, method: str, take: Sequence[str]) -> DataFrame:
     """Matches by equal keys; of several right rows the smallest ``take`` wins."""
     one = right.groupBy(*(c(k) for k in keys)).agg(F.min(F.struct(*(c(t) for t in take))).alias("__t"))
@@ -91,13 +45,14 @@ def exact_step(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str,
 
 def fuzzy_step(
     left: DataFrame, right: DataFrame, block: Sequence[str], name: str, row: str, method: str, take: Sequence[str],
-    score_min: float = 90, sort_min: float = 75, prefix: int | None = PREFIX,
+    score_min: float = 90, sort_min: float = 75,
 ) -> DataFrame:
     """Token-set ratio of at least ``score_min`` - 5, else token-sort ratio of at least ``sort_min``."""
-    pairs = candidates(left, right, block, name, prefix, score_min - 5, sort_min)
-    scored = pairs.withColumn("__set", token_set_ratio(F.col("l"), F.col("r"))).withColumn("__sort", token_sort_ratio(F.col("l"), F.col("r")))
     best = F.coalesce(_best(F.col("__set"), score_min - 5), _best(F.col("__sort"), sort_min))
-    found = scored.groupBy(*(c(b) for b in block), "l").agg(best.alias("b")).where("b IS NOT NULL")
+    with scratch(left.sparkSession) as own:
+        pairs = similarity.candidates(distinct_names(left, block, name), distinct_names(right, block, name), block, own, score_min - 5, sort_min)
+        scored = pairs.withColumns(_scores())
+        found, _ = materialize(scored.groupBy(*(c(b) for b in block), "l").agg(best.alias("b")).where("b IS NOT NULL"), "fuzzy")
     found = found.select(*(c(b) for b in block), "l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
     one = right.groupBy(*(c(b) for b in block), c(name).alias("r")).agg(F.min(F.struct(*(c(t) for t in take))).alias("__t"))
     named = found.join(one, [*block, "r"]).withColumnRenamed("l", name)
@@ -122,12 +77,12 @@ def accept_with_club(name_score: Column, club: Column) -> Column:
 
 def fuzzy_club_step(
     left: DataFrame, right: DataFrame, block: Sequence[str], name: str, club: str, row: str, method: str,
-    take: Sequence[str], prefix: int | None = PREFIX,
+    take: Sequence[str],
 ) -> DataFrame:
     """Best name by the better of set and sort ratio, accepted by the club rule."""
-    pairs = candidates(left, right, block, name, prefix, 50, 50)
-    score = F.greatest(token_set_ratio(F.col("l"), F.col("r")), token_sort_ratio(F.col("l"), F.col("r")))
-    found = best_match(pairs, block, score, 50)
+    a, b = distinct_names(left, block, name), distinct_names(right, block, name)
+    found = similarity.best_by_rounds(a, b, block, lambda least: _best(F.greatest("__set", "__sort"), least), _scores(), (75, 50))
+    found = found.select(*(c(k) for k in block), "l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
     one = right.groupBy(*(c(b) for b in block), c(name).alias("r")).agg(
         F.min(F.struct(*(c(t) for t in take), c(club).alias("__club"))).alias("__t")
     )
@@ -145,7 +100,6 @@ def remaining(left: DataFrame, matched: DataFrame, row: str) -> DataFrame:
 def cascade(
     players: DataFrame, mapping: DataFrame, valuations: DataFrame, row: str = "row_id", season: str = "season",
     name: str = "name_clean", club: str = "club_clean", ident: str = "tm_id", score_min: float = 90,
-    prefix: int | None = PREFIX,
 ) -> tuple[DataFrame, DataFrame]:
     """(matches, orphans): exact mapping, fuzzy mapping, exact valuations, fuzzy valuations checked by club.
 
@@ -157,9 +111,9 @@ def cascade(
     left, out = players, None
     steps = (
         lambda rest: exact_step(rest, seasonal, [season, name], row, "exact_mapping", [ident]),
-        lambda rest: fuzzy_step(rest, seasonal, [season], name, row, "fuzzy_mapping", [ident], score_min, prefix=prefix),
+        lambda rest: fuzzy_step(rest, seasonal, [season], name, row, "fuzzy_mapping", [ident], score_min),
         lambda rest: exact_step(rest, valuations, [season, name], row, "exact_valuation", [ident]),
-        lambda rest: fuzzy_club_step(rest, valuations, [season], name, club, row, "fuzzy_valuation", [ident], prefix),
+        lambda rest: fuzzy_club_step(rest, valuations, [season], name, club, row, "fuzzy_valuation", [ident]),
     )
     for k, step in enumerate(steps):
         found, _ = materialize(step(left), f"match{k}")
@@ -171,41 +125,32 @@ def cascade(
 # Reasons for a rejection.
 CLUB_TOO_WEAK, NAME_TOO_WEAK = "Score nom OK mais club trop faible", "Score nom trop faible"
 TO_VERIFY, NO_CANDIDATE = "Score nom + club OK — à vérifier manuellement", "Aucun résultat fuzzy"
-#: Parts that the orphans are dealt into against all names, which no block narrows.
-DEAL = 64
-#: Scores asked for round by round: an orphan whose nearest name reaches one is not compared further.
-ROUNDS = (75, 50, 0)
 
 
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, score): the best of ``right``'s names ``r`` for each of ``left``'s names ``l``, both distinct.
+    """(l, r, score): the best of ``right``'s names ``r`` for each of ``left``'s names ``l``.
 
     By token-set ratio, or by token-sort ratio if that one scores higher; ties to the smaller name.
-    Each round asks for pairs that can reach its score, so a best one found there is the best of all;
-    names that found none go to the next round, the last of which compares them with all names.
+    A name that shares no letter with any scores 0 with all, so the smallest name is its nearest.
     """
-    parts = F.sequence(F.lit(0).cast("long"), F.lit(DEAL - 1).cast("long"))
-    rest = _names(left, [], "l", "l").drop("__head").withColumn("__part", F.pmod(F.xxhash64("l"), F.lit(DEAL)))
-    # A stated number of partitions is kept: the names are few bytes, their comparisons much work.
-    known = _names(right, [], "r", "r").drop("__head").withColumn("__part", F.explode(parts)).repartition(DEAL, "__part")
-    out = None
-    for least in ROUNDS:
-        on = _can_reach(least, least) if least else F.lit(True)
-        pairs = rest.repartition(DEAL, "__part").alias("a").join(known.hint("merge").alias("b"), (F.col("a.__part") == F.col("b.__part")) & on)
-        scored = pairs.select("l", "r", token_set_ratio(F.col("l"), F.col("r")).alias("__set"), token_sort_ratio(F.col("l"), F.col("r")).alias("__sort"))
-        best = scored.groupBy("l").agg(_best(F.col("__set"), least).alias("s"), _best(F.col("__sort"), least).alias("t"))
+
+    def choose(least: float) -> Column:
+        s, t = _best(F.col("__set"), least), _best(F.col("__sort"), least)
         # The smaller first field is the higher score; of equal ones the token-set ratio's name stays.
-        take = F.when(F.col("s").isNull() | (F.col("t.s") < F.col("s.s")), F.col("t")).otherwise(F.col("s"))
-        found, _ = materialize(best.select("l", take.alias("b")).where("b IS NOT NULL").select("l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score")), "nearest")
-        out = found if out is None else out.unionByName(found)
-        rest, _ = materialize(rest.join(found.select("l"), "l", "left_anti"), "rest")
-    return out
+        return F.when(s.isNull() | (t.getField("s") < s.getField("s")), t).otherwise(s)
+
+    a, b = distinct_names(left, [], "l"), distinct_names(right, [], "r")
+    a, _ = materialize(a, "names")
+    found = similarity.best_by_rounds(a, b, [], choose, _scores()).select("l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
+    rest = a.select(F.col("x").alias("l")).join(found.select("l"), "l", "left_anti")
+    smallest = b.agg(F.min("x").alias("r")).where("r IS NOT NULL")  # one row
+    return found.unionByName(rest.join(F.broadcast(smallest)).select("l", "r", F.lit(0.0).alias("score")))
 
 
 def diagnose(orphans: DataFrame, names: DataFrame, name: str, row: str, club: str | None = None) -> DataFrame:
     """Nearest known name of each orphan over all seasons, its name and club scores, and why it was not taken.
 
-    Distinct orphan names are compared with distinct names, dealt over ``DEAL`` parts.
+    Distinct orphan names are looked up among the distinct names, which no block narrows.
     """
     known = names.where((c(name) != "") & c(name).isNotNull())
     near = nearest(orphans.select(c(name).alias("l")), names.select(c(name).alias("r")))
@@ -230,12 +175,16 @@ def reason_shares(diagnosed: DataFrame, digits: int = 2) -> DataFrame:
     return counts.join(F.broadcast(whole)).select("reason", "n", F.round(F.col("n") * 100.0 / F.col("__all"), digits).alias("pct"))  # one row
 
 
-def fuzzy_dimension(df: DataFrame, dim: DataFrame, block: Sequence[str], name: str, take: Sequence[str], least: float = 80, prefix: int | None = PREFIX) -> DataFrame:
+def fuzzy_dimension(df: DataFrame, dim: DataFrame, block: Sequence[str], name: str, take: Sequence[str], least: float = 80) -> DataFrame:
     """Left join on (block, name); rows without an exact partner take the best similar name's values."""
     exact = dim.select(*(c(b) for b in block), c(name), *(c(t) for t in take)).dropDuplicates([*block, name])
     joined = df.join(exact.withColumn("__hit", F.lit(1)), [*block, name], "left")
     hit, missed = joined.where("__hit = 1").drop("__hit"), joined.where("__hit IS NULL").drop("__hit", *take)
-    best = best_match(candidates(missed, exact, block, name, prefix, least), block, token_set_ratio(F.col("l"), F.col("r")), least)
+    with scratch(df.sparkSession) as own:
+        pairs = similarity.candidates(distinct_names(missed, block, name), distinct_names(exact, block, name), block, own, least)
+        scored = pairs.withColumn("__set", token_set_ratio(F.col("l"), F.col("r")))
+        best, _ = materialize(scored.groupBy(*(c(b) for b in block), "l").agg(_best(F.col("__set"), least).alias("b")).where("b IS NOT NULL"), "similar")
+    best = best.select(*(c(b) for b in block), "l", F.col("b.r").alias("r"))
     found = best.join(exact.withColumnRenamed(name, "r"), [*block, "r"]).select(
         *(c(b) for b in block), F.col("l").alias(name), *(c(t) for t in take)
     )

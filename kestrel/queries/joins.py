@@ -97,7 +97,7 @@ FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE levensh
 """)
 def fuzzy_levenshtein_block(t: Tables) -> DataFrame:
     p = t.part.select("p_brand", "p_name").distinct()
-    pairs = linkage.candidates(p, p, ["p_brand"], "p_name", prefix=None).where("l < r")
+    pairs = linkage.block_pairs(p, p, ["p_brand"], "p_name").where("l < r")
     return pairs.withColumn("distance", F.levenshtein("l", "r")).where("distance <= 6")
 
 

@@ -1,12 +1,14 @@
 """Fuzzy steps against every pair of names, in plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import letter_mask
-from kestrel.operators import linkage
+from kestrel.operators import linkage, similarity
+from kestrel.storage import scratch
 
 
 def lcs(a: str, b: str) -> int:
@@ -71,14 +73,53 @@ def test_fuzzy_step_against_every_pair(spark, names):
     assert 0 < len(got) < len(names[0])
 
 
-@pytest.mark.parametrize("bounds", [(50, 50), (85, 75), (80, None), (None, 75)])
+def found(left, right, *bounds):
+    with scratch(left.sparkSession) as out:
+        sides = (similarity.distinct_names(df, ["season"], "name") for df in (left, right))
+        return Counter((r.l, r.r) for r in similarity.candidates(*sides, ["season"], out, *bounds).collect())
+
+
+@pytest.mark.parametrize("bounds", [(85, 75), (80, None), (None, 75), (50, 50), (25, 25), (1e-6, 1e-6)])
 def test_candidates_lose_no_pair_and_leave_some_out(spark, names, bounds):
     left, right = frames(spark, names)
-    got = {(r.l, r.r) for r in linkage.candidates(left, right, ["season"], "name", None, *bounds).collect()}
+    got = found(left, right, *bounds)
     of_set, of_sort = (101 if b is None else b for b in bounds)
     want = {(a, b) for a in names[0] for b in names[1] if set_ratio(a, b) >= of_set or sort_ratio(a, b) >= of_sort}
-    assert want <= got and len(got) < len(names[0]) * len(names[1])
-    assert linkage.candidates(left, right, ["season"], "name").count() == len(names[0]) * len(names[1])
+    assert want <= set(got) and set(got.values()) == {1}
+    assert len(got) < len(names[0]) * len(names[1])
+    assert linkage.block_pairs(left, right, ["season"], "name").count() == len(names[0]) * len(names[1])
+
+
+def test_candidates_are_few_among_many_names(spark):
+    """Of 2,000 x 2,000 names that share frequent tokens and letters, few pairs are compared, and all that matter."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4)))
+    known = sorted({f"{word()} {rnd.choice(['de', 'van', 'silva', word()])} {word()}" for _ in range(2000)})
+    spelt = sorted({n[:k] + n[k + 1 :] for n in known for k in [rnd.randrange(len(n))]})
+    right = spark.createDataFrame([(1, n) for n in known], "season int, name string")
+    left = spark.createDataFrame([(1, n) for n in spelt], "season int, name string")
+    got = found(left, right, 85, 75)
+    assert len(got) < len(known) * len(spelt) / 25
+    sample = rnd.sample(spelt, 40)
+    want = {(a, b) for a in sample for b in known if set_ratio(a, b) >= 85 or sort_ratio(a, b) >= 75}
+    assert want <= set(got) and len(want) >= 40
+
+
+def test_every_join_has_an_equality_on_content(spark, names):
+    left, right = frames(spark, names)
+    sides = [similarity.distinct_names(df, ["season"], "name") for df in (left, right)]
+    with scratch(spark) as out:
+        pairs = similarity.candidates(*sides, ["season"], out, 85, 75)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and all("gram" in line or "form" in line or "x#" in line for line in joins)
+    assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_kept_apart(spark):
+    left = spark.createDataFrame([(1, "ana silva"), (2, "ana silva")], "season int, name string")
+    right = spark.createDataFrame([(1, "ana silvo"), (3, "ana silva")], "season int, name string")
+    assert found(left, right, 85, 75) == Counter({("ana silva", "ana silvo"): 1})
 
 
 def test_nearest_of_all_names(spark, names):
