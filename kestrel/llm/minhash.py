@@ -183,8 +183,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         rows = out.write(signed(given, width), "signed")
         nodes = out.write(rows.where("n > 0").select("node", "n", *BITS, "sig").dropDuplicates(["node"]), "nodes")
 
+        # One text for each node, chosen before any join, so that a set of many copies is combined first.
+        texts_of = out.write(rows.where("n > 0").groupBy("node").agg(F.min("__key").alias("__key")), "texts")
+
         def whole(some: DataFrame) -> DataFrame:
-            keys = out.write(rows.join(some, "node").groupBy("node").agg(F.min("__key").alias("__key")).select("__key"), "keys")
+            keys = out.write(texts_of.join(some, "node").select("__key"), "keys")
             if keys.count() <= BROADCAST_ROWS:  # then the texts need not move
                 keys = F.broadcast(keys)
             texts = given.join(keys, "__key", "left_semi").select("__text")
