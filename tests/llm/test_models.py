@@ -1,8 +1,9 @@
 """Language ID, URL rules, top-k, BPE, packing and the pipeline."""
 
 import hashlib
+import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -137,6 +138,51 @@ def brute_mined(taught, min_urls, confidence):
     return {s: c for s, c in rules.items() if not any(rules.get(s - {x}, -1) >= c for x in s)}
 
 
+def spelt_out(rules, classes):
+    """Rules with every choice of a token for each class."""
+    of = {}
+    for r in classes.collect():
+        of.setdefault(r.cls, []).append(r.token)
+    return {frozenset(choice): r.confidence for r in rules.collect() for choice in product(*(of[c] for c in r["items"]))}
+
+
+@pytest.mark.parametrize("longest", [12, 0])
+def test_minimal_rules_by_either_way(spark, monkeypatch, longest):
+    """FP-growth and growing by levels give the confident sets without a confident part."""
+    monkeypatch.setattr(url_rules, "LONGEST", longest)
+    rnd = random.Random(6)
+    taught = []
+    for _ in range(250):
+        words = {f"p:{x}" for x in "abcdefgh" if rnd.random() < 0.45}
+        words |= {"p:twin", "q:twin"} if "p:a" in words else set()
+        bad = {"p:b", "p:c"} <= words or {"p:d", "p:e", "p:f"} <= words or rnd.random() < 0.05
+        taught.append((frozenset(words), bool(bad)))
+    sets = {frozenset(c) for t, bad in taught if bad for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}
+    confident = {}
+    for s in sets:
+        holds = [bad for t, bad in taught if s <= t]
+        if sum(holds) >= 5 and sum(holds) / len(holds) >= 0.9:
+            confident[s] = sum(holds) / len(holds)
+    want = {s: c for s, c in confident.items() if not any(r < s for r in confident)}
+    df = spark.createDataFrame([(sorted(t), bad) for t, bad in taught], "tokens array<string>, bad boolean").repartition(3)
+    mined, classes = url_rules.mine(df)
+    got = spelt_out(url_rules.pruned(mined), classes)
+    assert len(want) > 3 and max(map(len, want)) >= 3
+    assert got == {s: pytest.approx(c) for s, c in want.items()}
+
+
+def test_long_and_repeated_urls(spark):
+    """Subsets of a long URL's words are not enumerated, however often it is repeated or parts of it occur elsewhere."""
+    long = "/".join(f"word{k}x" for k in range(40))
+    urls = [f"http://a.example.org/es/{long}"] * 6 + [f"http://b.org/word{k}x" for k in range(40)] + [f"http://c{k}.net/{long}" for k in range(3)]
+    urls += ["http://d.example.org/es/" + "/".join(f"many{k % 5000}y" for k in range(20_000))] * 4 + ["http://e.net/plain", None, "x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.report(pages).collect()}
+    assert [got[k] for k in range(len(urls))] == ["block"] * 6 + ["allow"] * 40 + ["block"] * 3 + ["block"] * 4 + ["allow"] * 3
+    pages = spark.createDataFrame([(k, urls[0]) for k in range(10_000)] + [(-1, "http://c.net/word3x"), (-2, "http://b.org/")], "page_id long, url string")
+    assert url_rules.report(pages).where("verdict = 'block'").count() == 10_001
+
+
 def test_rules_against_every_token_set(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
     rows = pages.collect()
@@ -151,7 +197,8 @@ def test_rules_against_every_token_set(spark):
     url, host, path = F.col("url"), F.col("host"), F.col("path")
     told = pages.select(url_rules.host(url).alias("host"), url_rules.path(url).alias("path"), url_rules.tokens(url).alias("tokens"))
     told = told.withColumn("fixed", url_rules.fixed(host, path)[1]).where("fixed IS NOT NULL").select("tokens", (F.col("fixed") == "block").alias("bad"))
-    found = {frozenset(r["items"]): r.confidence for r in url_rules.pruned(url_rules.mine(told)).collect()}
+    mined, classes = url_rules.mine(told)
+    found = spelt_out(url_rules.pruned(mined), classes)
     assert want and found == want
     got = {r.page_id: r.verdict for r in url_rules.report(pages).collect()}
     judged = {i: "block" if any(s <= t for s in want) else "allow" for i, t in rest.items()}
