@@ -1,10 +1,14 @@
 """Deduplication, sharding and line filters against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -266,6 +270,70 @@ def test_index_batches_run_again(spark):
     index.drop()
 
 
+SESSION = """
+import sys
+from pyspark.sql import SparkSession
+from kestrel.llm import exact_dedup
+folder, ids, texts = sys.argv[1], sys.argv[2].split(","), sys.argv[3].split(",")
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config(
+    "spark.sql.warehouse.dir", f"{folder}/warehouse").config("spark.checkpoint.dir", f"{folder}/shared").getOrCreate()
+index = exact_dedup.DigestIndex(spark, "seen", 4, f"{folder}/the index's files")
+docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string")
+print("KEPT", *sorted(r.doc_id for r in exact_dedup.deduplicate(docs, index=index).collect()))
+if len(sys.argv) > 4:
+    index.compact()
+print("HELD", index.read().count(), index.buckets)
+"""
+
+
+def test_index_lasts_longer_than_a_session(tmp_path):
+    """Processes without a metastore, one after another, on one folder."""
+    root = Path(__file__).resolve().parents[2]
+    env = os.environ | {"PYTHONPATH": str(root)}
+    run = lambda *args: subprocess.run([sys.executable, "-c", SESSION, str(tmp_path), *args], env=env, capture_output=True, text=True, check=True, cwd=tmp_path).stdout
+    assert re.findall("(?:KEPT|HELD).*", run("x1,x2,x3", "a,b,a", "compact")) == ["KEPT x1 x2", "HELD 2 4"]
+    assert re.findall("(?:KEPT|HELD).*", run("w0,w1", "a,c")) == ["KEPT w1", "HELD 3 4"]
+    folders = sorted(p.name for p in (tmp_path / "the index's files").iterdir() if not p.name.startswith("."))
+    assert folders == ["g1", "index.json"]
+
+
+def test_index_survives_a_change_of_state_that_died(spark):
+    index = exact_dedup.scratch_index(spark)
+    exact_dedup.deduplicate(spark.createDataFrame([(5, "a")], "doc_id long, text string"), index=index)
+    fs, at = index._file("index.json")
+    fs.rename(at, index._file("next.json")[1])  # the old file is gone, the new one not yet named
+    again = exact_dedup.DigestIndex(spark, f"{index.table}_again", 99, index.path)
+    assert again.buckets == index.buckets and again.read().count() == 1
+    assert exact_dedup.deduplicate(spark.createDataFrame([(1, "a")], "doc_id long, text string"), index=again).count() == 0
+    again.drop()
+
+
+def test_index_side_is_read_by_bucket(spark):
+    index = exact_dedup.scratch_index(spark)
+    exact_dedup.deduplicate(spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string"), index=index)
+    new = spark.createDataFrame([(b"x" * 32,)], "digest binary")
+    plan = new.join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # of the new digests alone
+    index.drop()
+
+
+def test_string_ids_pass_in_batches(spark):
+    rows = [(f"doc-{k:04d}", f"text {k % 70}") for k in range(200)] + [(None, "text 3"), ("doc-", "text 199"), ("doc-0199é", "text 4")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    seen = df.select(F.col("doc_id").alias("__id"))
+    parts = [sorted(str(r["__id"]) for r in p.collect()) for p in exact_dedup._in_order(seen, 3)]
+    assert len(parts) == 3 and all(len(p) > 50 for p in parts)
+    known = [[i for i in p if i != "None"] for p in parts]
+    assert all(known[k][-1] < known[k + 1][0] for k in range(2)) and "None" in parts[-1]
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[t] = min(least.get(t, i), i)
+    got = exact_dedup.report(df).collect()
+    assert sorted((str(r.doc_id), r.keep_id) for r in got) == sorted((str(i), least[t]) for i, t in rows)
+    assert sum(r.kept for r in got) == len(least)
+
+
 @pytest.mark.parametrize("batches", [1, 2, 5])
 def test_batches_of_one_table_give_the_same_rows(spark, docs, batches):
     def rows(n):
