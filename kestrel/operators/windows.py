@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.operators import runs
 from kestrel.operators.columns import c
 
 
@@ -57,8 +58,15 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, o
     return ranked(df, keys, order, out).where(c(out) <= n)
 
 
-def lagged(df: DataFrame, keys: Sequence[str], period: str, value: str, out: str, consecutive: bool) -> DataFrame:
-    """Value of the group's row before; null if ``consecutive`` and a period lies between."""
+def lagged(df: DataFrame, keys: Sequence[str], period: str, value: str, out: str, consecutive: bool, spread: bool = False) -> DataFrame:
+    """Value of the group's row before; null if ``consecutive`` and a period lies between.
+
+    ``spread`` is for groups of any size: each lies over as many tasks as it needs, at the cost of two written tables.
+    """
+    if spread:
+        told = runs.lagged(df, keys, [period], {out: value, "__period": period})
+        near = c(period) - F.col("__period") == 1
+        return told.withColumn(out, F.when(near, c(out)) if consecutive else c(out)).drop("__period")
     w = Window.partitionBy(*_keys(keys)).orderBy(c(period))
     before = F.lag(c(value)).over(w)
     if consecutive:
@@ -67,10 +75,10 @@ def lagged(df: DataFrame, keys: Sequence[str], period: str, value: str, out: str
 
 
 def delta(
-    df: DataFrame, keys: Sequence[str], period: str, value: str, out: str, otherwise: float | None = 0.0
+    df: DataFrame, keys: Sequence[str], period: str, value: str, out: str, otherwise: float | None = 0.0, spread: bool = False
 ) -> DataFrame:
     """Change against the period just before; ``otherwise`` where there is none."""
-    step = lagged(df, keys, period, value, "__before", True)
+    step = lagged(df, keys, period, value, "__before", True, spread)
     fallback = F.lit(otherwise).cast("double")
     return step.withColumn(out, F.coalesce(c(value) - F.col("__before"), fallback)).drop("__before")
 
@@ -90,13 +98,8 @@ def chronic(df: DataFrame, keys: Sequence[str], period: str, value: str, above:
 
 
 def fill_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Nulls take the last known value before them in their group, else the first one after."""
-    w = Window.partitionBy(*_keys(keys)).orderBy(*_order(order))
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns(
-        {v: F.coalesce(F.last(c(v), True).over(back), F.first(c(v), True).over(ahead)) for v in values}
-    )
+    """Nulls take the last known value before them in their group, else the first one after; a group may hold any share of the rows."""
+    return runs.filled(df, keys, order, values)
 
 
 def share_of_group(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
