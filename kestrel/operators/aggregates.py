@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -227,14 +228,33 @@ def correlations(df: DataFrame, names: Sequence[str], digits: int = 6) -> DataFr
     return one.select(F.inline(rows))
 
 
-def profile(df: DataFrame, medians: Sequence[str], modes: Sequence[str]) -> DataFrame:
+def modes(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row: the most frequent known value of every column, the smallest of ties; null for a column without values.
+
+    Values are counted first, all columns in one pass over one row per column and value, and only then
+    compared, so no task holds a column's values.
+    """
+    kinds = {n: df.select(c(n)).schema[0].dataType for n in names}
+    fields = [f"__v{j}" for j in range(len(names))]
+    own = lambda i: [(c(n) if j == i else F.lit(None).cast(kinds[n])).alias(f) for j, (n, f) in enumerate(zip(names, fields, strict=True))]
+    rows = df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("__at"), *own(i)) for i in range(len(names))))))
+    counts = rows.groupBy("__at", *fields).agg(F.count(F.lit(1)).alias("__n"))
+    known = reduce(Column.__or__, (F.col(f).isNotNull() for f in fields))
+    best = counts.where(known).groupBy("__at").agg(F.min(F.struct((-F.col("__n")).alias("n"), *fields)).alias("__m"))
+    return best.agg(*(F.max(F.when(F.col("__at") == i, F.col("__m").getField(f))).alias(n) for i, (n, f) in enumerate(zip(names, fields, strict=True))))
+
+
+def profile(df: DataFrame, medians: Sequence[str], frequent: Sequence[str]) -> DataFrame:
     """One row: medians of the first columns, most frequent values (smallest of ties) of the second; 0 if unknown."""
-    out = df.agg(F.lit(1).alias("__one"), *(F.coalesce(F.mode(c(n), True), F.lit(0)).alias(n) for n in modes))
+    out = df.sparkSession.range(1).select(F.lit(1).alias("__one"))
+    if frequent:
+        found = modes(df, frequent)
+        out = out.join(F.broadcast(found.select(*(F.coalesce(c(n), F.lit(0)).alias(n) for n in frequent))))  # one row each
     if medians:
         q = quantiles(stacked(df, medians), ["column"], "value", [0.5])
         one = q.agg(*(F.coalesce(F.max(F.when(F.col("column") == n, F.col("__q")[0])), F.lit(0.0)).alias(n) for n in medians))
         out = out.join(F.broadcast(one))  # one row each
-    return out.select(*(c(n) for n in (*medians, *modes)))
+    return out.select(*(c(n) for n in (*medians, *frequent)))
 
 
 def sample_skewness(x: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Regression on a log target, out-of-fold stacking, explanation and trajectories, on MLlib.
+"""Regression on a transformed target, out-of-fold stacking, explanation and trajectories, on MLlib.
 
 Only model state (coefficients, trees, a few sums) reaches the driver, never rows.
 """
@@ -15,15 +15,19 @@ import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, Imputer, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.operators.columns import c, numeric
-from kestrel.operators.metrics import errors, weights
-from kestrel.operators.splits import clip_quantiles
+from kestrel.operators.aggregates import stacked
+from kestrel.operators.metrics import TRANSFORMS, errors, weights
+from kestrel.operators.ranks import quantiles
+from kestrel.operators.splits import below_limit, clip_quantiles
+from kestrel.operators.windows import base_100
+from kestrel.plans.growth import DepthwiseTrees, ExtraTrees, ForestModel, LeafwiseTrees, SymmetricTrees
 from kestrel.sources.files import read_params, write_params
 from kestrel.storage import materialize
 
@@ -38,9 +42,9 @@ def inputs(df: DataFrame, target: str, exclude: Sequence[str] = NOT_INPUTS) -> l
     return [n for n in numeric(df) if n not in out]
 
 
-def prepare(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    """Rows with a target, with log1p label, weight and feature vector (missing inputs are 0)."""
-    rows = weights(df.where(c(target).isNotNull()), target, "weight").withColumn("label", F.log1p(c(target)))
+def prepare(df: DataFrame, target: str, features: Sequence[str], transform: str = "log1p") -> DataFrame:
+    """Rows with a target, with its transform as label, weight and feature vector (missing inputs are 0)."""
+    rows = weights(df.where(c(target).isNotNull()), target, "weight").withColumn("label", TRANSFORMS[transform][0](c(target)))
     rows = rows.fillna(0, list(features))
     safe = rows.withColumns({f"__x{i}": c(n).cast("double") for i, n in enumerate(features)})
     names = [f"__x{i}" for i in range(len(features))]
@@ -58,19 +62,24 @@ def base_learners() -> dict[str, Estimator]:
     }
 
 
-def boosted_learners() -> dict[str, Estimator]:
-    """Three boosted regressors of different depth, pace and sampling."""
-    tree = {"labelCol": "label", "featuresCol": "features", "weightCol": "weight", "seed": SEED}
+def boosted_learners(rounds: int = 30, valid: str | None = None) -> dict[str, DepthwiseTrees]:
+    """Three boosters that grow their trees in different ways; with a validation column they stop early."""
     return {
-        "boosted": GBTRegressor(maxIter=30, maxDepth=4, stepSize=0.1, **tree),
-        "boosted_deep": GBTRegressor(maxIter=20, maxDepth=7, stepSize=0.15, subsamplingRate=0.8, **tree),
-        "boosted_slow": GBTRegressor(maxIter=60, maxDepth=3, stepSize=0.05, featureSubsetStrategy="onethird", **tree),
+        "depthwise": DepthwiseTrees(rounds=rounds, depth=5, rate=0.2, valid=valid, sample=0.8),
+        "leafwise": LeafwiseTrees(rounds=rounds, leaves=24, depth=7, rate=0.15, valid=valid, inputs=0.8),
+        "symmetric": SymmetricTrees(rounds=rounds, depth=5, rate=0.25, l2=3.0, valid=valid),
     }
 
 
-def scored(model: Model, df: DataFrame, out: str) -> DataFrame:
+def forest_learners(trees: int = 30) -> dict[str, object]:
+    """Averaged trees: a random forest and extremely random trees."""
+    tree = {"labelCol": "label", "featuresCol": "features", "weightCol": "weight", "seed": SEED}
+    return {"forest": RandomForestRegressor(numTrees=trees, maxDepth=8, **tree), "extra": ExtraTrees(trees=trees, depth=9)}
+
+
+def scored(model: Model, df: DataFrame, out: str, transform: str = "log1p") -> DataFrame:
     """``df`` with the model's prediction on the target's own scale, not below zero."""
-    done = model.transform(df).withColumn(out, F.greatest(F.expm1("prediction"), F.lit(0.0)))
+    done = model.transform(df).withColumn(out, F.greatest(TRANSFORMS[transform][1](F.col("prediction")), F.lit(0.0)))
     return done.drop("prediction")
 
 
@@ -80,14 +89,14 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], folds: int, out: str =
     return placed.withColumn(out, F.floor((F.col("__i") - 1) * folds / F.lit(max(1, placed.count()))).cast("int")).drop("__i")
 
 
-def out_of_fold(df: DataFrame, learners: Mapping[str, Estimator], fold: str, folds: int) -> DataFrame:
-    """Each row predicted by models that never saw its fold: a column ``p_<learner>`` each."""
+def out_of_fold(df: DataFrame, learners: Mapping[str, Estimator], fold: str, folds: int, transform: str = "log1p") -> DataFrame:
+    """Each row predicted by models that never saw its fold: a column ``p_<learner>`` each.  Every fold is written when it is scored."""
     parts = []
     for k in range(folds):
         part = df.where(c(fold) == k)
         for name, learner in learners.items():
-            part = scored(learner.fit(df.where(c(fold) != k)), part, f"p_{name}")
-        parts.append(part)
+            part = scored(learner.fit(df.where(c(fold) != k)), part, f"p_{name}", transform)
+        parts.append(materialize(part.drop("features"), "fold")[0])
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -123,18 +132,19 @@ def nnls(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[float, dict[str, flo
 
 @dataclass
 class Stack:
-    """Base models and the linear blend of their predictions, in the target's own scale."""
+    """Base models of the transformed target and the linear blend of their predictions, in the target's own scale."""
 
     features: list[str]
     target: str
+    transform: str = "log1p"
     models: dict[str, Model] = field(default_factory=dict)
     intercept: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
 
     def fit(self, df: DataFrame, order: Sequence[str], folds: int = 5, learners: Mapping[str, Estimator] | None = None) -> Stack:
         learners = dict(learners or base_learners())
-        ready, _ = materialize(contiguous_folds(prepare(df, self.target, self.features), order, folds), "train")
-        oof, _ = materialize(out_of_fold(ready, learners, "fold", folds).drop("features"), "oof")
+        ready, _ = materialize(contiguous_folds(prepare(df, self.target, self.features, self.transform), order, folds), "train")
+        oof = out_of_fold(ready, learners, "fold", folds, self.transform)
         self.intercept, found = nnls(oof, self.target, [f"p_{n}" for n in learners])
         self.weights = {n: found[f"p_{n}"] for n in learners}
         self.models = {n: e.fit(ready) for n, e in learners.items()}
@@ -145,25 +155,30 @@ class Stack:
         ready = prepare(df.withColumn(self.target, F.coalesce(c(self.target), F.lit(0.0))), self.target, self.features)
         total = F.lit(self.intercept)
         for name, model in self.models.items():
-            ready = scored(model, ready, f"p_{name}")
+            ready = scored(model, ready, f"p_{name}", self.transform)
             total = total + F.lit(self.weights[name]) * F.col(f"p_{name}")
         return ready.withColumn(out, F.greatest(total, F.lit(0.0))).drop("features", "label", "weight")
 
     def params(self) -> dict:
-        return {"features": self.features, "target": self.target, "intercept": self.intercept, "weights": self.weights}
+        kinds = {n: "forest" if isinstance(model, ForestModel) else "mllib" for n, model in self.models.items()}
+        return {"features": self.features, "target": self.target, "transform": self.transform, "intercept": self.intercept, "weights": self.weights, "kinds": kinds}
 
     def save(self, path: str) -> None:
-        """Models as MLlib pipelines; blend as JSON, on any store Spark writes."""
+        """Models as MLlib pipelines or forests; blend as JSON, on any store Spark writes."""
         spark = SparkSession.getActiveSession()
         for name, model in self.models.items():
-            PipelineModel([model]).write().overwrite().save(f"{path}/models/{name}")
+            if isinstance(model, ForestModel):
+                model.save(spark, f"{path}/models/{name}")
+            else:
+                PipelineModel([model]).write().overwrite().save(f"{path}/models/{name}")
         write_params(spark, self.params(), f"{path}/params")
 
     @classmethod
     def load(cls, spark, path: str) -> Stack:
         p = read_params(spark, f"{path}/params")
-        models = {n: PipelineModel.load(f"{path}/models/{n}") for n in p["weights"]}
-        return cls(p["features"], p["target"], models, p["intercept"], p["weights"])
+        load = {"forest": lambda at: ForestModel.load(spark, at), "mllib": PipelineModel.load}
+        models = {n: load[kind](f"{path}/models/{n}") for n, kind in p["kinds"].items()}
+        return cls(p["features"], p["target"], p["transform"], models, p["intercept"], p["weights"])
 
 
 def ranking(df: DataFrame, y: str, predictions: Sequence[str]) -> DataFrame:
@@ -180,22 +195,48 @@ def mean_blend(df: DataFrame, predictions: Sequence[str], out: str = "predicted"
 
 
 def best_transform(
-    train: DataFrame, test: DataFrame, target: str, features: Sequence[str], transforms: Mapping[str, tuple], learner: Callable[[], Estimator]
+    train: DataFrame, test: DataFrame, target: str, features: Sequence[str], transforms: Sequence[str], learner: Callable[[], Estimator]
 ) -> DataFrame:
-    """Error metrics of one learner fitted on each transform of the target and scored on its own scale, best MAE first.
-
-    The first row names the transform to stack on again.
-    """
+    """Error metrics of one learner fitted on each transform of the target and scored on its own scale, best MAE first."""
     made = None
-    for name, (forward, back) in transforms.items():
-        ready = prepare(train, target, features).withColumn("label", forward(c(target)))
-        model = learner().fit(ready.where(F.col("label").isNotNull()))
-        done = model.transform(prepare(test, target, features)).withColumn("p", F.greatest(back(F.col("prediction")), F.lit(0.0)))
+    for name in transforms:
+        model = learner().fit(prepare(train, target, features, name).where(F.col("label").isNotNull()))
+        done = scored(model, prepare(test, target, features, name), "p", name)
         own = done.select(F.lit(name).alias("model"), c(target).cast("double").alias("y"), "p")
         made = own if made is None else made.unionByName(own)
     return errors(made, "y", "p", ["model"]).withColumnRenamed("model", "transform").orderBy("mae", "transform")
 
 
+def restacked(
+    train: DataFrame, test: DataFrame, target: str, features: Sequence[str], order: Sequence[str], learner: Callable[[], Estimator],
+    learners: Mapping[str, Estimator] | None = None, transforms: Sequence[str] = tuple(TRANSFORMS), folds: int = 5,
+) -> tuple[Stack, DataFrame]:
+    """(the stack on the transform chosen, its errors on ``test`` beside those of the log1p stack).
+
+    ``learner`` chooses the transform, by MAE on the last fold of ``train`` after fitting on the others, so that ``test`` stays unseen.
+    """
+    placed, _ = materialize(contiguous_folds(train, order, folds, "__fold"), "placed")
+    fit, watch = placed.where(F.col("__fold") < folds - 1).drop("__fold"), placed.where(F.col("__fold") == folds - 1).drop("__fold")
+    name = best_transform(fit, watch, target, features, transforms, learner).first()["transform"]  # a row a transform
+    made, chosen = None, None
+    for transform in dict.fromkeys(("log1p", name)):
+        chosen = Stack(list(features), target, transform).fit(train, order, folds, learners)
+        own = chosen.predict(test).select(F.lit(transform).alias("model"), c(target).cast("double").alias("y"), F.col("predicted").alias("p"))
+        made = own if made is None else made.unionByName(own)
+    return chosen, errors(made, "y", "p", ["model"]).withColumnRenamed("model", "transform").orderBy("mae", "transform")
+
+
+def trimmed_errors(train: DataFrame, test: DataFrame, target: str, features: Sequence[str], learner: Callable[[], Estimator]) -> DataFrame:
+    """(model, n_train, errors on all of ``test``) of a model of all rows and of one of the rows below the target's outlier limit."""
+    made = None
+    for name, rows in (("all", train), ("trimmed", below_limit(train, train, target))):
+        ready, _ = materialize(prepare(rows, target, features), "train")
+        done = scored(learner().fit(ready), prepare(test, target, features), "p")
+        own = done.select(F.lit(name).alias("model"), F.lit(ready.count()).alias("n_train"), c(target).cast("double").alias("y"), "p")
+        made = own if made is None else made.unionByName(own)
+    return errors(made, "y", "p", ["model", "n_train"]).orderBy("mae", "model")
+
+
 def gain_importance(spark: SparkSession, model: Model, features: Sequence[str]) -> DataFrame:
     """(feature, gain): a tree model's importances, strongest first; one row an input."""
     rows = [(n, float(v)) for n, v in zip(features, model.featureImportances.toArray(), strict=True)]
@@ -309,21 +350,49 @@ def linear_shap(df: DataFrame, features: Sequence[str], coefficients: Sequence[f
     ).drop(*(f"__m{i}" for i in range(len(features))))
 
 
-def reduced(df: DataFrame, features: Sequence[str], share: float) -> tuple[DataFrame, int]:
-    """Median-imputed, standardised principal components that explain ``share`` of the variance."""
-    doubles = df.withColumns({f"__x{i}": c(n).cast("double") for i, n in enumerate(features)})
+def quartiles(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float, float]]:
+    """Exact lower quartile, median and upper quartile of every column, all placed in one pass; 0 for a column without values."""
+    found = {r["column"]: r["__q"] for r in quantiles(stacked(df, names), ["column"], "value", [0.25, 0.5, 0.75]).collect()}  # a row a column
+    return {n: tuple(found[n]) if n in found else (0.0, 0.0, 0.0) for n in names}
+
+
+def imputed(df: DataFrame, names: Sequence[str], learned: Mapping[str, tuple[float, float, float]]) -> DataFrame:
+    """Unknown values take the column's median."""
+    return df.withColumns({n: F.coalesce(c(n).cast("double"), F.lit(learned[n][1])) for n in names})
+
+
+def robust_scaled(df: DataFrame, names: Sequence[str], learned: Mapping[str, tuple[float, float, float]], out: Sequence[str]) -> DataFrame:
+    """(x - median) / (upper - lower quartile); only centred where the quartiles are equal."""
+    return df.withColumns({o: (c(n).cast("double") - learned[n][1]) / ((learned[n][2] - learned[n][0]) or 1.0) for n, o in zip(names, out, strict=True)})
+
+
+def plane(df: DataFrame, features: Sequence[str], k: int | None = None) -> tuple[DataFrame, list[float]]:
+    """``df`` with ``components`` (the first ``k``) of its standardised inputs, and the share of variance of each component.
+
+    Unknown values count as the median.  A component's largest loading is positive (of equal ones the first), so its sign is defined.
+    """
     names = [f"__x{i}" for i in range(len(features))]
+    doubles = df.withColumns({x: c(n).cast("double") for x, n in zip(names, features, strict=True)})
+    doubles = imputed(doubles, names, quartiles(doubles, names))
     steps = [
-        Imputer(strategy="median", inputCols=names, outputCols=names),
         VectorAssembler(inputCols=names, outputCol="__raw"),
         StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True),
         PCA(k=len(features), inputCol="__scaled", outputCol="components"),
     ]
     model = Pipeline(stages=steps).fit(doubles)
-    k = int(np.searchsorted(np.cumsum(model.stages[-1].explainedVariance.toArray()), share - 1e-12) + 1)
-    k = min(k, len(features))
-    out = model.transform(doubles).withColumn("components", F.slice(vector_to_array("components"), 1, k))
-    return out.drop("__raw", "__scaled", *names), k
+    loadings = model.stages[-1].pc.toArray()
+    largest = [int(np.argmax(np.abs(col) >= np.abs(col).max() - 1e-9)) for col in loadings.T]
+    signs = F.array(*(F.lit(1.0 if loadings[at, i] > 0 else -1.0) for i, at in enumerate(largest)))
+    whole = F.zip_with(vector_to_array("components"), signs, lambda x, s: x * s)
+    out = model.transform(doubles).withColumn("components", F.slice(whole, 1, k or len(features)))
+    return out.drop("__raw", "__scaled", *names), model.stages[-1].explainedVariance.toArray().tolist()
+
+
+def reduced(df: DataFrame, features: Sequence[str], share: float) -> tuple[DataFrame, int]:
+    """Median-imputed, standardised principal components that explain ``share`` of the variance."""
+    out, parts = plane(df, features)
+    k = min(int(np.searchsorted(np.cumsum(parts), share - 1e-12) + 1), len(features))
+    return out.withColumn("components", F.slice("components", 1, k)), k
 
 
 def trajectory_stats(df: DataFrame, player: str, season: str, value: str, least: int = 3) -> DataFrame:
@@ -347,17 +416,34 @@ def trajectories(stats: DataFrame, k: int = 4, names: Sequence[str] = ("mean_val
     work = stats.fillna(0.0, list(names))
     for n in names:
         work = clip_quantiles(work, work, n, 0.01, 0.99, f"__c_{n}")
-    steps = [
-        VectorAssembler(inputCols=[f"__c_{n}" for n in names], outputCol="__raw"),
-        RobustScaler(inputCol="__raw", outputCol="features", withCentering=True),
-        KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="__cluster"),
-    ]
-    done, _ = materialize(Pipeline(stages=steps).fit(work).transform(work).drop("__raw", "features"), "clusters")
+    work, _ = materialize(work, "clipped")
+    clipped = [f"__c_{n}" for n in names]
+    work = robust_scaled(work, clipped, quartiles(work, clipped), clipped)
+    steps = [VectorAssembler(inputCols=clipped, outputCol="features"), KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="__cluster")]
+    done, _ = materialize(Pipeline(stages=steps).fit(work).transform(work).drop("features"), "clusters")
     order = Window.orderBy("__m", "__cluster")  # k rows
     named = done.groupBy("__cluster").agg(F.avg("mean_value").alias("__m")).withColumn("cluster", F.row_number().over(order))
     return done.join(F.broadcast(named.drop("__m")), "__cluster").drop("__cluster", *(f"__c_{n}" for n in names))
 
 
+def with_history(clusters: DataFrame, history: DataFrame, player: str) -> DataFrame:
+    """``history`` with the ``cluster`` of its player; players without one are left out."""
+    return history.join(clusters.select(c(player), "cluster"), player)
+
+
+def cluster_plane(clusters: DataFrame, names: Sequence[str] = ("mean_value", "mean_delta", "std_delta")) -> DataFrame:
+    """``clusters`` with their players' places x, y in the plane of the first two components of the clustered inputs."""
+    out, _ = plane(clusters.fillna(0.0, list(names)), names, 2)
+    return out.withColumns({"x": F.col("components")[0], "y": F.col("components")[1]}).drop("components")
+
+
+def cluster_courses(history: DataFrame, player: str, season: str, value: str, least: int = 30) -> DataFrame:
+    """(cluster, season rank, mean of the value in per cent of the player's first, players), where ``least`` players are behind it."""
+    based = base_100(history.where(c(value).isNotNull()), [player], season, value, "__base")
+    means = based.groupBy("cluster", F.col(f"{season}_rank").alias("rank")).agg(F.avg("__base").alias("base_100"), F.count(F.lit(1)).alias("n"))
+    return means.where(F.col("n") >= least)
+
+
 def silhouettes(vectors: DataFrame, ks: Sequence[int] = tuple(range(2, 9))) -> dict[int, float]:
     """Silhouette of k-means on ``features`` for every k."""
     out = {}

@@ -17,6 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.plans.kernel import KernelSVR
 from kestrel.plans.modelling import SEED
 
 
@@ -115,3 +116,30 @@ def scaled(learner: Estimator) -> Pipeline:
 def robust_linear(epsilon: float = 1.35, reg: float = 0.01) -> Pipeline:
     """Linear regression on standardised inputs whose loss is linear in large errors."""
     return scaled(LinearRegression(featuresCol="scaled", labelCol="label", loss="huber", epsilon=epsilon, regParam=reg))
+
+
+@dataclass
+class Chain:
+    """Transformers one after another, as one model."""
+
+    steps: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = step.transform(df)
+        return df
+
+
+@dataclass
+class KernelOnScaled:
+    """Support vector regression with a Gaussian kernel on standardised inputs."""
+
+    svr: KernelSVR
+
+    def fit(self, df: DataFrame) -> Chain:
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(df)
+        return Chain([scaler, self.svr.fit(scaler.transform(df))])
+
+
+def kernel_svr(c: float = 1.0, epsilon: float = 0.1, gamma: float | None = None, landmarks: int = 256) -> KernelOnScaled:
+    return KernelOnScaled(KernelSVR(c, epsilon, gamma, landmarks, features="scaled"))

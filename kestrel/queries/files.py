@@ -69,12 +69,19 @@ def json_records(t: Tables) -> DataFrame:
     return files.read_records(t.spark, path, schema, "members", ["region"])
 
 
-@query("SELECT 'é' AS name, 3::BIGINT AS folds, 0.5::DOUBLE AS weight")
+@query("""
+SELECT o_orderpriority, 'é' AS name, count(*) AS n, round(sum(o_totalprice * 0.5), 2) AS half FROM orders
+WHERE year(o_orderdate) IN (1996, 1997) AND o_totalprice >= 50000 GROUP BY 1
+""")
 def json_parameters(t: Tables) -> DataFrame:
+    """Parameters written and read again steer a report on orders."""
     path = _place(t, "params")
-    files.write_params(t.spark, {"name": "é", "folds": 3, "weight": 0.5}, path)
+    files.write_params(t.spark, {"name": "é", "years": [1996, 1997], "least": 50_000, "weight": 0.5}, path)
     p = files.read_params(t.spark, path)
-    return t.spark.createDataFrame([(p["name"], p["folds"], p["weight"])], "name string, folds long, weight double")
+    told = t.orders.where(F.year("o_orderdate").isin(p["years"]) & (F.col("o_totalprice") >= p["least"]))
+    return told.groupBy("o_orderpriority").agg(
+        F.lit(p["name"]).alias("name"), F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("o_totalprice") * p["weight"]), 2).alias("half")
+    )
 
 
 @query("SELECT 1::BIGINT AS files, true AS dated, true AS sized")

@@ -44,7 +44,7 @@ def test_folds_are_contiguous_and_equal(spark):
 
 
 def test_transforms_are_ranked_and_the_log_wins(data):
-    found = m.best_transform(data.where("id % 2 = 0"), data.where("id % 2 = 1"), "y", ["a", "b"], metrics.TRANSFORMS, learner).collect()
+    found = m.best_transform(data.where("id % 2 = 0"), data.where("id % 2 = 1"), "y", ["a", "b"], tuple(metrics.TRANSFORMS), learner).collect()
     assert found[0]["transform"] == "log1p" and [r.mae for r in found] == sorted(r.mae for r in found)
 
 
@@ -108,3 +108,51 @@ def test_a_table_is_never_lost_while_replaced(spark, tmp_path):
     (tmp_path / "t").rename(tmp_path / "t.old")  # a run that died between the two renames
     files.replace_table(spark.range(5), path)
     assert spark.read.parquet(path).count() == 5 and not (tmp_path / "t.old").exists()
+
+
+def test_stack_on_the_transform_chosen(spark, data):
+    """The target grows with the logarithm's inverse, so log1p is chosen; on squares the root is, and its stack is better."""
+    squares = data.withColumn("y", (F.col("a") * 3 + F.col("b")) ** 2)
+    train, test = squares.where("id % 3 > 0"), squares.where("id % 3 = 0")
+    stack, found = m.restacked(train, test, "y", ["a", "b"], ["id"], learner, {"ols": learner()}, folds=3)
+    rows = found.collect()
+    assert stack.transform == "sqrt" and [r.transform for r in rows] == ["sqrt", "log1p"]
+    assert rows[0].mae < 0.2 * rows[1].mae and rows[0].n == test.count()
+    stack, found = m.restacked(data.where("id % 3 > 0"), data.where("id % 3 = 0"), "y", ["a", "b"], ["id"], learner, {"ols": learner()}, folds=3)
+    assert stack.transform == "log1p" and found.count() == 1
+
+
+def test_stack_of_own_trees_is_saved_too(spark, data, tmp_path):
+    from kestrel.plans.growth import DepthwiseTrees
+
+    stack = m.Stack(["a", "b"], "y").fit(data, ["id"], 2, {"ols": learner(), "own": DepthwiseTrees(rounds=2, depth=2, rate=0.7)})
+    stack.save(f"{tmp_path}/stack")
+    again = m.Stack.load(spark, f"{tmp_path}/stack")
+    one, two = ({r.id: r.predicted for r in s.predict(data).collect()} for s in (stack, again))
+    assert one == pytest.approx(two)
+    assert set(m.boosted_learners()) == {"depthwise", "leafwise", "symmetric"} and set(m.forest_learners(2)) == {"forest", "extra"}
+
+
+def test_quartiles_and_scaling_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = rng.lognormal(size=(1001, 2))
+    df = spark.createDataFrame([(float(a), float(b) if i % 7 else None, None, 4.0) for i, (a, b) in enumerate(x)], "a double, b double, none double, same double").repartition(5)
+    names = ["a", "b", "none", "same"]
+    got = m.quartiles(df, names)
+    assert got["a"] == pytest.approx(tuple(np.quantile(x[:, 0], [0.25, 0.5, 0.75])))
+    assert got["b"] == pytest.approx(tuple(np.quantile(x[np.arange(1001) % 7 != 0, 1], [0.25, 0.5, 0.75])))
+    assert got["none"] == (0.0, 0.0, 0.0) and got["same"] == (4.0, 4.0, 4.0)
+    r = m.robust_scaled(m.imputed(df, names, got), names, got, names).agg(F.max("b").alias("b"), F.max("none").alias("none"), F.max("same").alias("same")).first()
+    assert (r.none, r.same) == (0.0, 0.0) and r.b == pytest.approx((x[np.arange(1001) % 7 != 0, 1].max() - got["b"][1]) / (got["b"][2] - got["b"][0]))
+
+
+def test_modes_count_before_they_compare(spark):
+    from kestrel.operators.aggregates import modes, profile
+
+    rows = [(10, "b", True, None), (-2, "a", True, None), (10, "a", False, None), (-2, "b", None, None), (3, None, False, None)]
+    df = spark.createDataFrame(rows, "n int, s string, `a.b` boolean, none double")
+    assert tuple(modes(df, ["n", "s", "a.b", "none"]).first()) == (-2, "a", False, None)
+    plan = modes(df, ["n", "s"])._jdf.queryExecution().executedPlan().toString()
+    assert "mode(" not in plan and "partial_count" in plan
+    assert tuple(profile(df.withColumn("k", F.col("n") + 1), ["n"], ["k"]).first()) == (3.0, -1)
+    assert tuple(profile(df.withColumn("k", F.col("n") + 1).limit(0), ["n"], ["k"]).first()) == (0.0, 0)
