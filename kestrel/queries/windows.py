@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.numbers import half_even
 from kestrel.functions.seasons import JULY, SEPTEMBER, is_world_cup_season, season_label, season_year
+from kestrel.operators import runs
 from kestrel.operators import windows as w
 from kestrel.plans.modelling import trajectory_stats as _trajectory_stats
 from kestrel.queries.registry import Tables, query
@@ -304,3 +305,14 @@ SELECT o_orderkey, o_custkey FROM (SELECT *, count(*) OVER (PARTITION BY o_custk
 """)
 def large_groups_only(t: Tables) -> DataFrame:
     return w.in_large_groups(t.orders.select("o_orderkey", "o_custkey"), ["o_custkey"], 15)
+
+
+@query("""
+SELECT event_id, lag(value) OVER w AS before, round(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) AS total FROM events
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
+""")
+def running_values_of_few_keys(t: Tables) -> DataFrame:
+    """Value before and sum so far within event types: few keys, each over many partitions."""
+    e = t.events.select("event_id", "event_type", "ts", F.col("value").cast("double").alias("value"))
+    out = runs.running_sum(runs.lagged(e, ["event_type"], ["ts", "event_id"], {"before": "value"}), ["event_type"], ["ts", "event_id"], {"total": "value", "n": F.lit(1)})
+    return out.select("event_id", "before", F.when(F.col("n") > 0, F.round("total", 4)).alias("total"))
