@@ -1,9 +1,9 @@
 """Exact ranks and quantiles of columns of any size.
 
 ``percentile`` and unpartitioned windows hold all distinct values of a key in one task.
-Here equal values are counted first (partial sums before the shuffle), the counts are
-range-partitioned by key and value, and running sums within each partition plus offsets
-(one row per partition) place every value in its key's order.
+Here equal values are counted first (partial sums before the shuffle).  Up to ``ONE_TASK`` counts
+are placed by a window per key; more are range-partitioned by key and value, and running sums
+within each partition plus offsets (one row per partition) place every value in its key's order.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from kestrel.operators.columns import c
 from kestrel.storage import materialize
 
 
+#: Distinct (key, value) pairs that may meet in one task.
+ONE_TASK = 1 << 17
+
+
 def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """__k0.., __v, __n (rows), __lo (rows of the key below), __all (rows of the key) for every known value."""
     spark = df.sparkSession
@@ -27,9 +31,14 @@ def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         .groupBy(*(c(k).alias(n) for k, n in zip(keys, names, strict=True)), c(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [*names, "__v"]
-    placed, _ = materialize(counts.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "counts")
+    counts, _ = materialize(counts, "counts")
+    if counts.count() <= ONE_TASK:
+        whole = Window.partitionBy(*names)
+        below = F.sum("__n").over(whole.orderBy("__v")) - F.col("__n")
+        return counts.select(*order, "__n", below.alias("__lo"), F.sum("__n").over(whole).alias("__all"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed, _ = materialize(counts.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "placed")
     # One row per partition reaches the driver and goes back as a constant array.
     sizes = dict(placed.groupBy("__p").agg(F.sum("__n")).collect())
     before = accumulate((sizes.get(p, 0) for p in range(parts)), initial=0)

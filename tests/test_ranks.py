@@ -18,6 +18,12 @@ def table(spark):
     return spark.createDataFrame(rows, "k string, x double").withColumn("__v", F.lit("clash")).drop("__v")
 
 
+@pytest.fixture(params=[ranks.ONE_TASK, 0], autouse=True)
+def way(request, monkeypatch):
+    """Every test by the window of few counts and by range partitions."""
+    monkeypatch.setattr(ranks, "ONE_TASK", request.param)
+
+
 def test_quantiles(spark, table):
     at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     got = {r.k: r["__q"] for r in ranks.quantiles(table, ["k"], "x", at).collect()}
@@ -48,8 +54,9 @@ def test_percent_ranks(spark, table):
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
 
 
-def test_no_task_holds_a_column(spark, table):
-    """Quantiles and ranks use no percentile aggregate, and no window over all rows or over a caller's key."""
+def test_no_task_holds_a_column(spark, table, monkeypatch):
+    """Beyond few counts, quantiles and ranks use no percentile aggregate, and no window over all rows or over a caller's key."""
+    monkeypatch.setattr(ranks, "ONE_TASK", 0)
     for df in (ranks.quantiles(table, [], "x", [0.5]), splits.iqr_limit(table, "x"), aggregates.describe(table, ["x"])):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "percentile(" not in plan and "median(" not in plan
