@@ -23,8 +23,9 @@ def temporal(df: DataFrame, period: str, parts: Mapping[str, Sequence[int]] = SE
 
 
 def hashed(df: DataFrame, key: Sequence[str], shares: Mapping[str, float], seed: int = 1308, out: str = "split") -> DataFrame:
-    """A random split that depends on a row's key alone, not on partitions or order."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *(c(k) for k in key)), F.lit(1_000_000)) / 1_000_000.0
+    """A random split that depends on a row's key alone, not on partitions or order: the MD5 of "seed|key|..." as a share of its range."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(c(k).cast("string"), F.lit("\x00")) for k in key))
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / float(1 << 32)
     names, total = list(shares), 0.0
     name = F.lit(names[-1])
     edges = []

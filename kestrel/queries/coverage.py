@@ -302,6 +302,10 @@ def importance_thresholds(t: Tables) -> DataFrame:
     return found.where("mae > 0").select("threshold", "features")
 
 
-@query()
+#: SQL of the share of its range that the MD5 of an order's key takes.
+SHARE = "('0x' || substr(md5('1308|' || o_orderkey), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {SHARE} < 0.7 THEN 'train' WHEN {SHARE} < 0.85 THEN 'validation' ELSE 'test' END AS split FROM orders")
 def hashed_three_way_split(t: Tables) -> DataFrame:
     return hashed(t.orders.select("o_orderkey"), ["o_orderkey"], {"train": 0.7, "validation": 0.15, "test": 0.15})

@@ -307,8 +307,14 @@ def distinct_counts(t: Tables) -> DataFrame:
     )
 
 
-@query()
+@query("""
+WITH g AS (SELECT quantile_cont(o_totalprice, list_transform(range(101), lambda i: i / 100.0)) AS q FROM orders),
+k AS (SELECT o_orderkey, o_totalprice AS y, q, ('0x' || substr(md5('1308|' || o_orderkey), 1, 8))::BIGINT / 4294967296.0 AS s,
+             greatest(least(len(list_filter(q, lambda x: x <= o_totalprice)), 100), 1) AS k FROM orders, g)
+SELECT o_orderkey, CASE WHEN s < 0.7 THEN 'train' WHEN s < 0.85 THEN 'validation' ELSE 'test' END AS split,
+       round(greatest(least((k - 1 + coalesce((y - q[k]) / nullif(q[k + 1] - q[k], 0), 0)) / 100, 1), 0), 6) AS u FROM k
+""")
 def quantile_target(t: Tables) -> DataFrame:
     """Target mapped to [0, 1] by exact quantiles, and the split its key's hash gives it."""
     o = splits.hashed(t.orders, ["o_orderkey"], {"train": 0.7, "validation": 0.15, "test": 0.15})
-    return metrics.quantile_uniform(o, "o_totalprice", "u").select("o_orderkey", "split", F.round("u", 8).alias("u"))
+    return metrics.quantile_uniform(o, "o_totalprice", "u").select("o_orderkey", "split", F.round("u", 6).alias("u"))

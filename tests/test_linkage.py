@@ -145,3 +145,47 @@ def test_empty_sides(spark, names):
     assert linkage.nearest(left.limit(0).select(F.col("name").alias("l")), right.select(F.col("name").alias("r"))).count() == 0
     assert linkage.nearest(left.select(F.col("name").alias("l")), right.limit(0).select(F.col("name").alias("r"))).count() == 0
     assert linkage.fuzzy_step(left, right.limit(0), ["season"], "name", "row_id", "m", ["tm_id"]).count() == 0
+
+
+def test_cascade_and_diagnosis_against_plain_python(spark):
+    """All four steps and the diagnosis of what they leave, on the misspelt names of the queries."""
+    from kestrel.queries.joins import corrupted_names
+    from kestrel.queries.registry import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    players, mapping, clean = (df.cache() for df in corrupted_names(tables))
+    known = clean.where("tm_id % 2 = 0")
+    matched, orphans = linkage.cascade(players, mapping, known)
+    rows, offered = players.collect(), {r.name_clean: r.tm_id for r in mapping.collect()}
+    pool = [(r.season, r.name_clean, r.club_clean, r.tm_id) for r in known.collect()]
+    seasonal = {s: {r.name_clean: offered[r.name_clean] for r in rows if r.season == s and r.name_clean in offered} for s in {r.season for r in rows}}
+    want = {}
+    for r in rows:
+        names = seasonal[r.season]
+        here = {}
+        for s, n, club, i in pool:
+            if s == r.season:
+                here[n] = min(here.get(n, (i, club)), (i, club))
+        own = r.name_clean
+        if own in names:
+            want[r.row_id] = (names[own], "exact_mapping")
+            continue
+        best = nearest(set_ratio, own, names, 85) or nearest(sort_ratio, own, names, 75)
+        if best:
+            want[r.row_id] = (names[best[1]], "fuzzy_mapping")
+        elif own in here:
+            want[r.row_id] = (here[own][0], "exact_valuation")
+        elif best := nearest(lambda a, b: max(set_ratio(a, b), sort_ratio(a, b)), own, here, 50):
+            i, club = here[best[1]]
+            near = set_ratio(r.club_clean.lower(), club.lower()) if r.club_clean.lower() != club.lower() else 100.0
+            if -best[0] >= 95 or (-best[0] >= 75 and near >= 65) or near >= 80:
+                want[r.row_id] = (i, "fuzzy_valuation")
+    assert {r.row_id: (r.tm_id, r.match_method) for r in matched.collect()} == want
+    assert {r.row_id for r in orphans.collect()} == {r.row_id for r in rows} - set(want)
+    assert Counter(m for _, m in want.values()).keys() >= {"exact_mapping", "fuzzy_mapping", "fuzzy_valuation"}
+    told = linkage.diagnose(orphans, clean, "name_clean", "row_id", "club_clean").collect()
+    every = sorted({r.name_clean for r in clean.collect()})
+    for r in told:
+        (s, a), (t, b) = nearest(set_ratio, r.name_clean, every, 0), nearest(sort_ratio, r.name_clean, every, 0)
+        assert (r.nearest, r.score) == ((b, pytest.approx(-t)) if t < s else (a, pytest.approx(-s)))
+    assert len(told) == len(rows) - len(want)
