@@ -50,7 +50,8 @@ def fuzzy_step(
     """Token-set ratio of at least ``score_min`` - 5, else token-sort ratio of at least ``sort_min``."""
     best = F.coalesce(_best(F.col("__set"), score_min - 5), _best(F.col("__sort"), sort_min))
     with scratch(left.sparkSession) as own:
-        pairs = similarity.candidates(distinct_names(left, block, name), distinct_names(right, block, name), block, own, score_min - 5, sort_min)
+        a, b = (own.write(distinct_names(df, block, name), "names") for df in (left, right))
+        pairs = similarity.candidates(a, b, block, own, score_min - 5, sort_min)
         scored = pairs.withColumns(_scores())
         found, _ = materialize(scored.groupBy(*(c(b) for b in block), "l").agg(best.alias("b")).where("b IS NOT NULL"), "fuzzy")
     found = found.select(*(c(b) for b in block), "l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
@@ -80,8 +81,9 @@ def fuzzy_club_step(
     take: Sequence[str],
 ) -> DataFrame:
     """Best name by the better of set and sort ratio, accepted by the club rule."""
-    a, b = distinct_names(left, block, name), distinct_names(right, block, name)
-    found = similarity.best_by_rounds(a, b, block, lambda least: _best(F.greatest("__set", "__sort"), least), _scores(), (75, 50))
+    with scratch(left.sparkSession) as own:
+        a, b = (own.write(distinct_names(df, block, name), "names") for df in (left, right))
+        found = similarity.best_by_rounds(a, b, block, lambda least: _best(F.greatest("__set", "__sort"), least), _scores(), (75, 50))
     found = found.select(*(c(k) for k in block), "l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
     one = right.groupBy(*(c(b) for b in block), c(name).alias("r")).agg(
         F.min(F.struct(*(c(t) for t in take), c(club).alias("__club"))).alias("__t")
@@ -107,7 +109,10 @@ def cascade(
     The mapping only offers names that occur among the players of that season.  Each
     step's matches are written, so later steps read them instead of computing them again.
     """
-    seasonal = players.select(c(season), c(name)).distinct().join(mapping, name)
+    # Written once: later steps read names that were normalised once.
+    players, _ = materialize(players, "players")
+    valuations, _ = materialize(valuations.select(c(season), c(name), c(club), c(ident)), "pool")
+    seasonal, _ = materialize(players.select(c(season), c(name)).distinct().join(mapping, name), "seasonal")
     left, out = players, None
     steps = (
         lambda rest: exact_step(rest, seasonal, [season, name], row, "exact_mapping", [ident]),
@@ -139,8 +144,7 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
         # The smaller first field is the higher score; of equal ones the token-set ratio's name stays.
         return F.when(s.isNull() | (t.getField("s") < s.getField("s")), t).otherwise(s)
 
-    a, b = distinct_names(left, [], "l"), distinct_names(right, [], "r")
-    a, _ = materialize(a, "names")
+    a, b = (materialize(distinct_names(df, [], n), "names")[0] for df, n in ((left, "l"), (right, "r")))
     found = similarity.best_by_rounds(a, b, [], choose, _scores()).select("l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
     rest = a.select(F.col("x").alias("l")).join(found.select("l"), "l", "left_anti")
     smallest = b.agg(F.min("x").alias("r")).where("r IS NOT NULL")  # one row
@@ -181,7 +185,8 @@ def fuzzy_dimension(df: DataFrame, dim: DataFrame, block: Sequence[str], name: s
     joined = df.join(exact.withColumn("__hit", F.lit(1)), [*block, name], "left")
     hit, missed = joined.where("__hit = 1").drop("__hit"), joined.where("__hit IS NULL").drop("__hit", *take)
     with scratch(df.sparkSession) as own:
-        pairs = similarity.candidates(distinct_names(missed, block, name), distinct_names(exact, block, name), block, own, least)
+        a, b = (own.write(distinct_names(side, block, name), "names") for side in (missed, exact))
+        pairs = similarity.candidates(a, b, block, own, least)
         scored = pairs.withColumn("__set", token_set_ratio(F.col("l"), F.col("r")))
         best, _ = materialize(scored.groupBy(*(c(b) for b in block), "l").agg(_best(F.col("__set"), least).alias("b")).where("b IS NOT NULL"), "similar")
     best = best.select(*(c(b) for b in block), "l", F.col("b.r").alias("r"))

@@ -64,86 +64,71 @@ def forms(names: DataFrame, of_set: bool, of_sort: bool) -> DataFrame:
     return rows.withColumn("n", F.length("form")).withColumn("mask", letter_mask(F.col("form")))
 
 
-def _ordered(rows: DataFrame, key: Sequence[str], frequency: DataFrame) -> DataFrame:
-    """``rows(key, grams)`` with their grams rarest first."""
-    told = rows.select(*(c(k) for k in key), F.explode("grams").alias("gram")).join(frequency, "gram")
-    lists = told.groupBy(*(c(k) for k in key)).agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("order"))
-    return lists.select(*(c(k) for k in key), F.col("order.gram").alias("grams"))
+def _letters(tokens: Column) -> Column:
+    """Length of tokens joined by spaces."""
+    return F.aggregate(tokens, F.lit(-1), lambda s, t: s + F.length(t) + 1)
 
 
-def _frequency(left: DataFrame, right: DataFrame) -> DataFrame:
-    every = left.select("grams").unionByName(right.select("grams")).select(F.explode("grams").alias("gram"))
-    return every.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
+def _index(names: DataFrame, of_set: bool, of_sort: bool, size: int) -> DataFrame:
+    """(block, x, kind, form, n, mask, grams): the letters or letter pairs of every form, and the tokens if sets count."""
+    text = F.concat(F.lit(" "), F.col("form"), F.lit(" ")) if size == 2 else F.col("form")
+    rows = forms(names, of_set, of_sort).withColumns({"kind": F.lit("letters"), "grams": _numbered(_sliced(text, size))})
+    if not of_set:
+        return rows
+    tokens = F.array_distinct("tokens")
+    sets = names.withColumns({"kind": F.lit("tokens"), "form": F.lit(""), "n": _letters(tokens), "mask": F.lit(0).cast("long"), "grams": tokens})
+    return rows.unionByName(sets.drop("tokens"))
 
 
-def _meeting(a: DataFrame, b: DataFrame, block: Sequence[str], on: Column) -> DataFrame:
-    """Postings of both sides in one block and under one gram that is the rarest of those the pair has in common."""
-    a, b = a.alias("a"), b.alias("b")
-    same = reduce(Column.__and__, (F.col(f"a.`{k}`") == F.col(f"b.`{k}`") for k in (*block, "gram")))
-    first = F.element_at(F.array_intersect("a.grams", "b.grams"), 1) == F.col("a.gram")
-    return a.join(b, same & on & first).select(*(F.col(f"a.`{k}`").alias(k) for k in block), F.col("a.x").alias("l"), F.col("b.x").alias("r"))
+def _rarest_first(rows: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``rows`` with their grams in the common order: by frequency, then by gram."""
+    key = [c(k) for k in rows.columns if k != "grams"]
+    told = rows.select(*key, F.explode("grams").alias("gram")).join(frequency, ["kind", "gram"])
+    lists = told.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("order"))
+    return lists.select(*key, F.col("order.gram").alias("grams"))
 
 
-def by_letters(left: DataFrame, right: DataFrame, block: Sequence[str], least: float, out: Scratch) -> DataFrame:
-    """Pairs (block, l, r) of ``forms`` whose alignment can score ``least``."""
-    of_pairs = least > PAIRS_FROM
-    size = 2 if of_pairs else 1
-    text = F.concat(F.lit(" "), F.col("form"), F.lit(" ")) if of_pairs else F.col("form")
+def candidates(
+    left: DataFrame, right: DataFrame, block: Sequence[str], out: Scratch, least_set: float | None = None, least_sort: float | None = None
+) -> DataFrame:
+    """(block, l, r): all pairs of ``distinct_names`` whose token-set ratio reaches ``least_set`` (above 0) or whose
+    token-sort ratio reaches ``least_sort``, each once, and some that reach neither."""
+    least = min(t for t in (least_set, least_sort) if t is not None)
+    size = 2 if least > PAIRS_FROM else 1
 
     def common(s: Column) -> Column:
-        """How many grams two forms of s letters in all must share."""
-        most = s * (1.5 * least / 100 - 1) + 1 if of_pairs else s * (least / 200)
+        """How many letters or letter pairs two forms of s letters in all must share."""
+        most = s * (1.5 * least / 100 - 1) + 1 if size == 2 else s * (least / 200)
         return F.greatest(F.ceil(most - EPS), F.lit(1))
 
-    key = [*block, "x", "form"]
-    a, b = (out.write(rows.withColumn("grams", _numbered(_sliced(text, size))), "grams") for rows in (left, right))
-    frequency = out.write(_frequency(a, b), "frequency")
+    sides = [_index(df, least_set is not None, least_sort is not None, size) for df in (left, right)]
+    grams = sides[0].select("kind", "grams").unionByName(sides[1].select("kind", "grams")).select("kind", F.explode("grams").alias("gram"))
+    frequency = out.write(grams.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("f")), "frequency")
     # The other form has n * least / (200 - least) letters at least.
     fewest = common(F.col("n") * (200 / (200 - least)))
-
-    def posted(rows: DataFrame, label: str) -> DataFrame:
-        ordered = _ordered(rows, key, frequency).join(rows.drop("grams"), key)
-        rarest = F.slice("grams", F.lit(1), F.greatest(F.size("grams") - fewest + 1, F.lit(1)).cast("int"))
-        return out.write(ordered.withColumn("gram", F.explode(rarest)), label)
-
+    rarest = F.slice("grams", F.lit(1), F.greatest(F.size("grams") - fewest + 1, F.lit(1)).cast("int"))
+    share = least_set if least_set is not None else 0.0
+    rare = F.filter("grams", lambda g, i: _letters(F.slice("grams", i + 1, F.size("grams"))) * (200 - share) >= F.col("n") * share - EPS)
+
+    def posted(rows: DataFrame, label: str, short: str, long: str) -> DataFrame:
+        """Rows under each gram of theirs by which they are looked up: rare tokens where they are the shorter name, all where the longer."""
+        told = lambda way, of: F.transform(of, lambda g: F.struct(F.lit(way).alias("way"), g.alias("gram")))
+        posts = F.when(F.col("kind") == "letters", told("=", rarest)).otherwise(F.concat(told(short, rare), told(long, F.col("grams"))))
+        return out.write(_rarest_first(rows, frequency).select("*", F.inline(posts)), label)
+
+    # Written on both sides, so that the postings of a frequent gram can be split.
+    a, b = posted(sides[0], "left", "<", ">").alias("a"), posted(sides[1], "right", ">", "<").alias("b")
     n, m = F.col("a.n"), F.col("b.n")
+    shared = F.array_intersect("a.grams", "b.grams")
     differ = F.greatest(F.abs(n - m), F.bit_count(F.col("a.mask").bitwiseXOR(F.col("b.mask"))))
-    on = (differ * 100.0 <= (n + m) * (100.0 - least) + EPS) & (F.size(F.array_intersect("a.grams", "b.grams")) >= common(n + m))
-    return _meeting(posted(a, "left"), posted(b, "right"), block, on)
-
-
-def by_tokens(left: DataFrame, right: DataFrame, block: Sequence[str], least: float, out: Scratch) -> DataFrame:
-    """Pairs (block, l, r) of names whose common tokens alone score ``least`` against either."""
-    key = [*block, "x"]
-    split = lambda df: df.select(*key, F.array_distinct("tokens").alias("grams"))
-    a, b = out.write(split(left), "tokens"), out.write(split(right), "tokens")
-    frequency = out.write(_frequency(a, b), "frequency")
-    letters = lambda tokens: F.aggregate(tokens, F.lit(-1), lambda s, t: s + F.length(t) + 1)
-
-    def posted(rows: DataFrame, label: str) -> DataFrame:
-        ordered = _ordered(rows, key, frequency).withColumn("n", letters(F.col("grams")))
-        told = ordered.select("*", F.posexplode("grams").alias("at", "gram"))
-        rest = letters(F.slice("grams", F.col("at") + 1, F.size("grams")))
-        return out.write(told.withColumn("rare", rest * (200 - least) >= F.col("n") * least - EPS), label)
-
-    a, b = posted(a, "left"), posted(b, "right")
-    shared, fewer = letters(F.array_intersect("a.grams", "b.grams")), F.least("a.n", "b.n")
-    enough = shared * 200.0 + EPS >= (shared + fewer) * least
-    short_left = _meeting(a.where("rare"), b, block, (F.col("a.n") <= F.col("b.n")) & enough)
-    return short_left.unionByName(_meeting(a, b.where("rare"), block, (F.col("a.n") > F.col("b.n")) & enough))
-
-
-def candidates(
-    left: DataFrame, right: DataFrame, block: Sequence[str], out: Scratch, least_set: float | None = None, least_sort: float | None = None
-) -> DataFrame:
-    """(block, l, r): all pairs of ``distinct_names`` whose token-set ratio reaches ``least_set`` (above 0) or whose
-    token-sort ratio reaches ``least_sort``, each once, and some that reach neither."""
-    asked = [t for t in (least_set, least_sort) if t is not None]
-    a, b = (forms(df, least_set is not None, least_sort is not None) for df in (left, right))
-    found = by_letters(a, b, block, min(asked), out)
-    if least_set is not None:
-        found = found.unionByName(by_tokens(left, right, block, least_set, out))
-    return found.distinct()
+    by_letters = (differ * 100.0 <= (n + m) * (100.0 - least) + EPS) & (F.size(shared) >= common(n + m))
+    held = _letters(shared)
+    by_tokens = F.when(F.col("a.way") == "<", n <= m).otherwise(n > m) & (held * 200.0 + EPS >= (held + F.least(n, m)) * share)
+    fits = F.when(F.col("a.way") == "=", by_letters).otherwise(by_tokens)
+    same = reduce(Column.__and__, (F.col(f"a.`{k}`") == F.col(f"b.`{k}`") for k in (*block, "way", "gram")))
+    first = F.element_at(shared, 1) == F.col("a.gram")
+    met = a.join(b, same & fits & first)
+    return met.select(*(F.col(f"a.`{k}`").alias(k) for k in block), F.col("a.x").alias("l"), F.col("b.x").alias("r")).distinct()
 
 
 def best_by_rounds(
