@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.rows import text_key
-from kestrel.storage import materialize
+from kestrel.storage import materialize, release
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, overhead: int) -> DataFrame:
@@ -63,11 +63,13 @@ def assign(
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["__id", "crc", "size"]
-    ranged = sizes(docs, id_col, text_col, overhead).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("part", F.spark_partition_id())
+    # Written first: range partitioning reads its rows twice, texts are read once.
+    own, own_at = materialize(sizes(docs, id_col, text_col, overhead), "rows")
+    ranged = own.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranged.schema)
     # Written once, so partition numbers and order are settled.
     placed, _ = materialize(ranged.mapInArrow(_running, f"{fields}, start long, at long"), "sizes")
+    release(spark, own_at)
     # One row per partition reaches the driver, as a task's status does.
     totals = sorted(placed.groupBy("part").agg(F.sum("size"), F.count(F.lit(1))).collect())
     before, n = [], [0, 0]
