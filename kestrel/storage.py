@@ -4,11 +4,15 @@ A written table survives the loss of any executor, unlike cached blocks.  The
 folder is the one that the cluster names in ``spark.checkpoint.dir``; where that is
 unset a local session (tests, a laptop) makes a temporary folder, and any other
 raises: executors would each write to a disk of their own.
+
+Operators release what only they read.  What a returned table still reads stays: when no
+job needs older results any more, :func:`sweep` clears them away.
 """
 
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -91,3 +95,20 @@ def release(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def sweep(spark: SparkSession, hours: float) -> int:
+    """Delete this package's intermediates in the shared folder that have not changed for ``hours``; how many.
+
+    Tables that results still read must be younger: choose more hours than any job takes.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    before = (time.time() - hours * 3600) * 1000
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith(("kestrel-", "kestrel_")) and f.getModificationTime() < before]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)

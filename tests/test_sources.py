@@ -154,3 +154,17 @@ def test_landing_survives_a_run_that_dies(spark, place, monkeypatch):
     assert lake.take("s", str(source), lambda p: files.read_csv(spark, p, "id int, more string"), "*.csv") == 1
     assert sorted((r.id, r.more) for r in lake.rows("s").select("id", "more").collect()) == [(1, None), (2, None), (3, "x")]
     assert lake.rows("s").where(F.col("batch_number") == 3).count() == 1
+
+
+def test_old_intermediates_are_swept(spark):
+    from kestrel.storage import materialize, shared_root, sweep
+
+    df, at = materialize(spark.range(3), "old")
+    _, young = materialize(spark.range(3), "young")
+    folder = at.removeprefix("file:")
+    os.utime(folder, (1_600_000_000, 1_600_000_000))
+    other = os.path.join(shared_root(spark).removeprefix("file:"), "else")
+    os.makedirs(other, exist_ok=True)
+    os.utime(other, (1_600_000_000, 1_600_000_000))
+    assert sweep(spark, 24 * 365) == 1
+    assert not os.path.exists(folder) and os.path.exists(young.removeprefix("file:")) and os.path.exists(other)
