@@ -50,8 +50,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMAGED, LEAST_LENGTH, LEAST_COUNT = 97, 5, 3
 #: A form is so many times as frequent as the word.
 MORE = 2
-#: Code of the edge that ends a word, below every letter.
-END = 0
+#: The edge that ends a word, below every letter.
+END = ""
 
 
 def folded(run: Column) -> Column:
@@ -78,30 +78,32 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def edges(words: DataFrame) -> DataFrame:
-    """(id, depth, x, y, c) for every edge of the path of each of ``words(id, word)``: it leaves the node (x, y) by code c."""
+    """(id, depth, x, y, c) for every edge of the path of each of ``words(id, word)``: it leaves the node (x, y) by letter c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-            codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+            whole = "".join(texts)
+            codes = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+            letters = np.array([*whole, END], dtype=object)
             first = np.cumsum(lengths) - lengths
             depth = np.concatenate([np.arange(n + 1) for n in lengths])
             start = np.repeat(first, lengths + 1)
             x, y = (runs(codes, start, start + depth, base).view(np.int64) for base in BASES)
             last = depth == np.repeat(lengths, lengths + 1)
-            code = np.where(last, END, codes[np.minimum(start + depth, len(codes) - 1)])
+            letter = letters[np.where(last, -1, start + depth)]
             ids = np.repeat(batch.column(0).to_numpy(), lengths + 1)
-            columns = [pa.array(ids), pa.array(depth.astype(np.int32)), pa.array(x), pa.array(y), pa.array(code.astype(np.int32))]
+            columns = [pa.array(ids), pa.array(depth.astype(np.int32)), pa.array(x), pa.array(y), pa.array(letter, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "depth", "x", "y", "c"])
 
-    return words.select("id", "word").mapInArrow(run, "id long, depth int, x long, y long, c int")
+    return words.select("id", "word").mapInArrow(run, "id long, depth int, x long, y long, c string")
 
 
 def light(paths: DataFrame, out: Scratch) -> DataFrame:
-    """(id, depth, heavy): the light edges of ``paths``, with the code of their node's heavy child."""
+    """(id, depth, c, heavy): the light edges of ``paths``, with the letter of their node's heavy child."""
     sizes = paths.groupBy("x", "y", "c").agg(F.count(F.lit(1)).alias("size"))
-    # Of equal children the one of the largest code is heavy, so the end of a word is heavy only where it is alone.
+    # Of equal children the one of the largest letter is heavy, so the end of a word is heavy only where it is alone.
     most = F.max_by("c", F.struct("size", "c")).alias("heavy")
     branching = sizes.groupBy("x", "y").agg(most, F.count(F.lit(1)).alias("children")).where("children > 1")
     branching = out.write(branching.select("x", "y", "heavy"), "branching")
@@ -115,9 +117,8 @@ def pairs(words: DataFrame, out: Scratch) -> DataFrame:
     moved = out.write(moved.join(words, "id"), "moved")
     before = F.substring("word", F.lit(1), F.col("depth"))
     rest = F.substring("word", F.col("depth") + 2, F.length("word"))
-    own, heavy = F.char(F.col("c")), F.char(F.col("heavy"))
-    inner, under = F.col("c") != END, F.col("heavy") != END
-    parts_here = ~F.startswith(rest, own)
+    heavy, inner, under = F.col("heavy"), F.col("c") != END, F.col("heavy") != END
+    parts_here = ~F.startswith(rest, F.col("c"))
     terminals = F.array_compact(
         F.array(
             F.when(inner & under, F.concat(before, heavy, rest)),
