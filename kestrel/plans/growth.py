@@ -244,18 +244,14 @@ def best_splits(
     # A (node, input) has as many cells as an input has bins.
     lists = hist.groupBy("slot", "f").agg(F.collect_list(F.struct("b", "g", "h")).alias("cells"))
     found = lists.mapInArrow(choose, "slot long, f int, b double, gain double, g double, h double, all_g double, all_h double")
-    first = F.struct("gain", (-F.col("f")).alias("f"), (-F.col("b")).alias("b"), "g", "h", "all_g", "all_h")
+    node = F.struct("gain", (-F.col("f")).alias("f"), (-F.col("b")).alias("b"), "g", "h", "all_g", "all_h")
     if s.symmetric:
         # The cut of most gain over all nodes of the level; a node for which it is not allowed gains nothing by it.
-        found, _ = materialize(found, "cuts")
-        level = found.groupBy("f", "b").agg(F.format_string("%.8e", F.sum("gain")).cast("double").alias("gain")).where(F.col("gain") > s.least_gain)
-        one = level.agg(F.max(F.struct("gain", (-F.col("f")).alias("f"), (-F.col("b")).alias("b"))).alias("m")).first()["m"]
-        if one is None:
-            return {}
-        found = found.where((F.col("f") == -one.f) & (F.col("b") == -one.b))
+        level = found.groupBy("f", "b").agg(F.format_string("%.8e", F.sum("gain")).cast("double").alias("total"), F.collect_list(F.struct("slot", node.alias("m"))).alias("nodes"))
+        one = level.where(F.col("total") > s.least_gain).agg(F.max_by("nodes", F.struct("total", -F.col("f"), -F.col("b"))).alias("nodes")).first()["nodes"]
+        best = one or []
     else:
-        found = found.where(F.col("gain") > s.least_gain)
-    best = found.groupBy("slot").agg(F.max(first).alias("m")).collect()  # one row a node
+        best = found.where(F.col("gain") > s.least_gain).groupBy("slot").agg(F.max(node).alias("m")).collect()  # one row a node
     return {r.slot: (-r.m.f, int(-r.m.b), r.m.gain, r.m.g, r.m.h, r.m.all_g, r.m.all_h) for r in best}
 
 

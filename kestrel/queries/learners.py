@@ -185,10 +185,10 @@ def tree_learners(t: Tables) -> DataFrame:
     data = _learning(t).withColumn("o_totalprice", 3 * F.col("qty") * F.col("lines") + 500)
     train, test = data.where("o_orderkey % 2 = 0"), data.where("o_orderkey % 2 <> 0")
     ready, unseen = m.prepare(train, "o_totalprice", FEATURES), m.prepare(test, "o_totalprice", FEATURES)
-    learners = {"depthwise": growth.DepthwiseTrees(rounds=4, depth=3, rate=0.6), "leafwise": growth.LeafwiseTrees(rounds=4, leaves=8, depth=4, rate=0.6)}
-    learners |= {"symmetric": growth.SymmetricTrees(rounds=4, depth=3, rate=0.6), "extra": growth.ExtraTrees(trees=8, depth=5)}
+    learners = {"depthwise": growth.DepthwiseTrees(rounds=3, depth=3, rate=0.7), "leafwise": growth.LeafwiseTrees(rounds=3, leaves=8, depth=4, rate=0.7)}
+    learners |= {"symmetric": growth.SymmetricTrees(rounds=3, depth=3, rate=0.7), "extra": growth.ExtraTrees(trees=8, depth=4)}
     learners["forest"] = RandomForestRegressor(labelCol="label", weightCol="weight", numTrees=5, maxDepth=5, seed=m.SEED)
-    learners["svr"] = tuning.kernel_svr(epsilon=0.05, landmarks=24)
+    learners["svr"] = tuning.kernel_svr(epsilon=0.1, landmarks=16)
     names = []
     for name, e in learners.items():
         unseen = m.scored(e.fit(ready), unseen, f"p_{name}")

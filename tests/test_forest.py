@@ -267,9 +267,9 @@ def test_early_stopping_and_other_models_than_mllibs(spark, data, monkeypatch):
     rmse = lambda p: float(np.sqrt((weight * (p - label) ** 2).sum() / weight.sum()))
     predicted = {}
     for est, more in ((growth.DepthwiseTrees, {}), (growth.LeafwiseTrees, {"leaves": 6, "depth": 4}), (growth.SymmetricTrees, {})):
-        model = est(**({"rounds": 12, "depth": 3, "rate": 0.6, "valid": "watch", "patience": 2} | more)).fit(ready)
+        model = est(**({"rounds": 12, "depth": 3, "rate": 0.9, "valid": "watch", "patience": 1} | more)).fit(ready)
         best = int(np.argmin(model.errors))
-        assert len(model.forest.trees) == best < 12 and len(model.errors) - 1 - best <= 2
+        assert len(model.forest.trees) == best < 12 and len(model.errors) - 1 - best <= 1
         by_id = {r.id: r.prediction for r in model.transform(ready).collect()}
         p = np.array([by_id[r.id] for r in told])
         assert rmse(p) == pytest.approx(min(model.errors)) and model.errors[0] == pytest.approx(rmse(np.full(len(p), model.forest.base)))
@@ -296,10 +296,10 @@ def test_categories_by_ordered_statistics(spark, tmp_path):
         s, n = seen.get(r.town, (0.0, 0.0))
         assert r["__statistic0"] == pytest.approx((s + 30.0) / (n + 10.0))
         seen[r.town] = (s + r.w * r.y, n + r.w)
-    model = growth.SymmetricTrees(rounds=15, depth=3, rate=0.5, categories=["town"]).fit(ready)
+    model = growth.SymmetricTrees(rounds=5, depth=3, rate=0.8, l2=0.0, categories=["town"]).fit(ready)
     score_of = lambda model: {r.id: r.prediction for r in model.transform(ready).collect()}
     p, label = score_of(model), {r.id: r.label for r in ready.collect()}
-    base = growth.SymmetricTrees(rounds=15, depth=3, rate=0.5).fit(ready)
+    base = growth.SymmetricTrees(rounds=5, depth=3, rate=0.8, l2=0.0).fit(ready)
     error = lambda p: np.mean([(p[i] - label[i]) ** 2 for i in p])
     assert error(p) < 0.2 * error(score_of(base))
     model.save(spark, f"{tmp_path}/model")

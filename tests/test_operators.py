@@ -5,10 +5,11 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from kestrel.operators import aggregates, columns, encode, linkage, metrics, splits
+from kestrel.operators import aggregates, columns, encode, linkage, metrics, splits, similarity
 from kestrel.plans import learning_table as lt
 from kestrel.plans import modelling as m
 from kestrel.sources import files, html
+from kestrel.storage import scratch
 
 
 def test_cascade_methods(spark):
@@ -29,12 +30,15 @@ def test_cascade_methods(spark):
     assert [r.row_id for r in orphans.collect()] == [5]
 
 
-def test_prefix_blocking_finds_what_the_whole_block_finds(spark):
+def test_index_finds_what_the_whole_block_holds(spark):
     names = ["anna berg", "berg anna", "ana berg", "carl dahl", "karl dahl"]
     df = spark.createDataFrame([(1, n) for n in names], "b int, name string")
-    want = {(r.l, r.r) for r in linkage.candidates(df, df, ["b"], "name", None).collect()}
-    got = {(r.l, r.r) for r in linkage.candidates(df, df, ["b"], "name").collect()}
-    assert got <= want and ("anna berg", "ana berg") in got and ("carl dahl", "karl dahl") in got
+    every = {(r.l, r.r) for r in linkage.block_pairs(df, df, ["b"], "name").collect()}
+    own = similarity.distinct_names(df, ["b"], "name")
+    with scratch(spark) as out:
+        got = {(r.l, r.r) for r in similarity.candidates(own, own, ["b"], out, 85, 75).collect()}
+    assert got < every and len(every) == 25
+    assert {("anna berg", "berg anna"), ("anna berg", "ana berg"), ("carl dahl", "karl dahl")} <= got
 
 
 def test_names_with_another_head_are_matched(spark):
