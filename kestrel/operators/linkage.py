@@ -83,7 +83,7 @@ def fuzzy_club_step(
     """Best name by the better of set and sort ratio, accepted by the club rule."""
     with scratch(left.sparkSession) as own:
         a, b = (own.write(distinct_names(df, block, name), "names") for df in (left, right))
-        found = similarity.best_by_rounds(a, b, block, lambda least: _best(F.greatest("__set", "__sort"), least), _scores(), (75, 50))
+        found = similarity.best_by_rounds(a, b, block, lambda least: _best(F.greatest("__set", "__sort"), least), _scores(), (90, 75, 50))
     found = found.select(*(c(k) for k in block), "l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
     one = right.groupBy(*(c(b) for b in block), c(name).alias("r")).agg(
         F.min(F.struct(*(c(t) for t in take), c(club).alias("__club"))).alias("__t")

@@ -19,7 +19,7 @@ from kestrel.storage import materialize
 
 
 #: Distinct (key, value) pairs that may meet in one task.
-ONE_TASK = 1 << 17
+ONE_TASK = 1 << 18
 
 
 def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -35,7 +35,7 @@ from kestrel.storage import Scratch, materialize, scratch
 #: Scores above this make letter pairs a bound.
 PAIRS_FROM = 200 / 3
 #: Scores asked for round by round: a name that finds one is not compared further.  The last asks for any above 0.
-ROUNDS = (75.0, 50.0, 25.0, 1e-6)
+ROUNDS = (90.0, 75.0, 50.0, 25.0, 1e-6)
 #: Rounding of the bounds.
 EPS = 1e-6
 
@@ -148,4 +148,6 @@ def best_by_rounds(
         out = found if out is None else out.unionByName(found)
         if least != rounds[-1]:
             rest, _ = materialize(rest.join(found.select(*(c(k) for k in block), F.col("l").alias("x")), [*block, "x"], "left_anti"), "rest")
+            if rest.isEmpty():
+                break
     return out
