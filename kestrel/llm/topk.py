@@ -135,6 +135,11 @@ def _bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.n
     return at + 1 + 1e-9 * np.abs(at)
 
 
+def _whole(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, radius and shards of a dimension that is one cell: no bound leaves it out."""
+    return np.zeros((1, dim)), np.array([1e280]), np.ones(1, dtype=np.int64)
+
+
 def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     dims = batch.column("dim").to_numpy()
     for dim in np.unique(dims).tolist():
@@ -142,14 +147,15 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def _dealt(rows: DataFrame, out: Scratch, shard_rows: int) -> tuple[DataFrame, dict]:
-    """``rows`` with cell and shard, written; and for each dimension its centres, radii and shards a cell."""
+    """``rows`` with cell and shard, written; and for each dimension of several shards its centres, radii and shards a cell."""
     spark = rows.sparkSession
-    sizes = {r.dim: r["count"] for r in rows.groupBy("dim").count().collect()}
+    # Only dimensions of more than one shard have cells: the driver sees one row for each ``shard_rows`` vectors at most.
+    sizes = {r.dim: r["count"] for r in rows.groupBy("dim").count().where(F.col("count") > shard_rows).collect()}
     cells = {dim: min(MAX_CELLS, -(-n // shard_rows)) for dim, n in sizes.items()}
-    share = F.lit(1.0)
+    large, share = F.col("dim").isin(list(sizes)), F.lit(0.0)
     for dim, n in sizes.items():
         share = F.when(F.col("dim") == dim, min(1.0, PER_CELL * cells[dim] / n)).otherwise(share)
-    some = rows.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 30)) <= share * (1 << 30)).select("dim", "x")
+    some = rows.where(large & (F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 30)) <= share * (1 << 30))).select("dim", "x")
     found: dict[int, list] = {}
     for dim, x in some.collect():  # some PER_CELL vectors for each cell
         found.setdefault(dim, []).append(x)
@@ -161,7 +167,7 @@ def _dealt(rows: DataFrame, out: Scratch, shard_rows: int) -> tuple[DataFrame, d
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, own in _by_dim(batch):
-                cell, far = _nearest(_matrix(own.column("x")), shared.value[dim])
+                cell, far = _nearest(_matrix(own.column("x")), shared.value.get(dim, _whole(dim)[0]))
                 yield pa.RecordBatch.from_arrays(
                     [*own.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=[*own.schema.names, "cell", "far"]
                 )
@@ -169,14 +175,14 @@ def _dealt(rows: DataFrame, out: Scratch, shard_rows: int) -> tuple[DataFrame, d
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     placed = out.write(rows.mapInArrow(place, f"{fields}, cell int, far double"), "cells")
     # One row for each cell.
-    told = placed.groupBy("dim", "cell").agg(F.max("far").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    told = placed.where(large).groupBy("dim", "cell").agg(F.max("far").alias("r"), F.count(F.lit(1)).alias("n")).collect()
     cut = {dim: (c, np.full(len(c), -np.inf), np.ones(len(c), dtype=np.int64)) for dim, c in centres.items()}
     for t in told:
         cut[t.dim][1][t.cell] = t.r
         cut[t.dim][2][t.cell] = -(-t.n // shard_rows)
     table = spark.createDataFrame([(t.dim, t.cell, -(-t.n // shard_rows)) for t in told], "dim int, cell int, n long")
-    shard = F.pmod(F.xxhash64("row"), F.col("n")).cast("int")
-    held = placed.drop("far").join(F.broadcast(table), ["dim", "cell"]).withColumn("shard", shard).drop("n")
+    shard = F.pmod(F.xxhash64("row"), F.coalesce("n", F.lit(1))).cast("int")
+    held = placed.drop("far").join(F.broadcast(table), ["dim", "cell"], "left").withColumn("shard", shard).drop("n")
     return out.write(held, "shards"), cut
 
 
@@ -223,7 +229,7 @@ def _top_k(vectors, query_if, k, id_col, vector_col, scale, shard_rows, query_bl
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for dim, own in _by_dim(batch):
-                    centres, radii, shards = shared.value[dim]
+                    centres, radii, shards = shared.value.get(dim) or _whole(dim)
                     bound = _bounds(_matrix(own.column("x")), centres, radii)
                     cells = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
                     kth = own.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)
@@ -258,7 +264,7 @@ def _top_k(vectors, query_if, k, id_col, vector_col, scale, shard_rows, query_bl
     by = ["dim", "cell", "shard"]
     queries = out.write(held.where("asks").select("id", "row", "dim", "x"), "queries")
     found, first, width = nothing, 0, 1
-    most = max(len(c) for c, _, _ in cut.values())
+    most = max([1, *(len(c) for c, _, _ in cut.values())])
     kth = None
     while first < most:
         asking = queries.withColumn("kth", F.lit(None).cast("double")) if kth is None else queries.join(kth, "row", "left")

@@ -230,6 +230,17 @@ def test_topk(spark, shard_rows, query_block):
     assert topk.report(df.limit(0)).count() == 0
 
 
+def test_topk_of_ragged_vectors(spark):
+    """Every vector may have a dimension of its own: only those of several shards reach the driver."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=1 + i % 60)]) for i in range(300)] + [(1000 + i, [0.0] * (1 + i)) for i in range(5)] + [(7000, [5.0] * 900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.report(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == {q: v for q, v in brute_top(rows, 10).items() if v}
+
+
 def test_topk_leaves_far_cells_out(spark, monkeypatch):
     rng = np.random.default_rng(2)
     places = rng.normal(size=(8, 6)) * 20
