@@ -100,8 +100,8 @@ class KernelSVR:
         if gamma is None:
             variance = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]
             gamma = 1 / (d * variance) if variance else 1.0
-        # The rows of the smallest hashes, whatever the partitions.
-        some = rows.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(self.landmarks).collect()
+        # The rows of the smallest hashes, whatever the partitions; inputs may have been scaled with noise in the last digits.
+        some = rows.select("x").distinct().orderBy(F.xxhash64(F.transform("x", lambda v: F.round(v, 6))), "x").limit(self.landmarks).collect()
         marks = np.array([r["x"] for r in some])
         values, vectors = np.linalg.eigh(gaussian(marks, marks, gamma))
         held = values > 1e-10 * values[-1]

@@ -188,7 +188,7 @@ def tree_learners(t: Tables) -> DataFrame:
     learners = {"depthwise": growth.DepthwiseTrees(rounds=3, depth=3, rate=0.7), "leafwise": growth.LeafwiseTrees(rounds=3, leaves=8, depth=4, rate=0.7)}
     learners |= {"symmetric": growth.SymmetricTrees(rounds=3, depth=3, rate=0.7), "extra": growth.ExtraTrees(trees=8, depth=4)}
     learners["forest"] = RandomForestRegressor(labelCol="label", weightCol="weight", numTrees=5, maxDepth=5, seed=m.SEED)
-    learners["svr"] = tuning.kernel_svr(epsilon=0.1, landmarks=16)
+    learners["svr"] = tuning.kernel_svr(c=10.0, epsilon=0.1, landmarks=64)
     names = []
     for name, e in learners.items():
         unseen = m.scored(e.fit(ready), unseen, f"p_{name}")
