@@ -1,8 +1,8 @@
 """Record linkage: an exact-then-fuzzy cascade in which each step sees only what is still unmatched.
 
-Fuzzy steps look up the distinct names of a block (the season) in an inverted index of letter
-pairs, letters and tokens (:mod:`kestrel.operators.similarity`), which loses no match; Arrow
-batches score the candidates and an aggregation keeps the best.
+Fuzzy steps find the best partner of each distinct name of a block (the season): names that nest
+by a join on tokens, the rest by comparing packs of names, each pair of packs in a task's batch
+(:mod:`kestrel.operators.similarity`), which loses no match; an aggregation keeps the best.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.text import CLUB_ALIASES, map_or_self, token_set_ratio, token_sort_ratio
+from kestrel.functions.text import CLUB_ALIASES, map_or_self, token_set_ratio
 from kestrel.operators import similarity
 from kestrel.operators.columns import c
 from kestrel.operators.similarity import distinct_names
@@ -26,15 +26,6 @@ def block_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], name: s
     return next(sides).join(next(sides), list(block))
 
 
-def _scores() -> dict[str, Column]:
-    return {"__set": token_set_ratio(F.col("l"), F.col("r")), "__sort": token_sort_ratio(F.col("l"), F.col("r"))}
-
-
-def _best(score: Column, least: float) -> Column:
-    """Aggregate: smallest of (-score, name) among scores from ``least``, so a task keeps one candidate before the shuffle."""
-    return F.min(F.when(score >= least, F.struct((-score).alias("s"), "r")))
-
-
 def exact_step(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, method: str, take: Sequence[str]) -> DataFrame:
     """Matches by equal keys; of several right rows the smallest ``take`` wins."""
     one = right.groupBy(*(c(k) for k in keys)).agg(F.min(F.struct(*(c(t) for t in take))).alias("__t"))
@@ -48,12 +39,9 @@ def fuzzy_step(
     score_min: float = 90, sort_min: float = 75,
 ) -> DataFrame:
     """Token-set ratio of at least ``score_min`` - 5, else token-sort ratio of at least ``sort_min``."""
-    best = F.coalesce(_best(F.col("__set"), score_min - 5), _best(F.col("__sort"), sort_min))
     with scratch(left.sparkSession) as own:
         a, b = (own.write(distinct_names(df, block, name), "names") for df in (left, right))
-        pairs = similarity.candidates(a, b, block, own, score_min - 5, sort_min)
-        scored = pairs.withColumns(_scores())
-        found, _ = materialize(scored.groupBy(*(c(b) for b in block), "l").agg(best.alias("b")).where("b IS NOT NULL"), "fuzzy")
+        found = similarity.best(a, b, block, score_min - 5, sort_min, first=True).withColumn("b", F.coalesce("s", "t"))
     found = found.select(*(c(b) for b in block), "l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
     one = right.groupBy(*(c(b) for b in block), c(name).alias("r")).agg(F.min(F.struct(*(c(t) for t in take))).alias("__t"))
     named = found.join(one, [*block, "r"]).withColumnRenamed("l", name)
@@ -83,7 +71,7 @@ def fuzzy_club_step(
     """Best name by the better of set and sort ratio, accepted by the club rule."""
     with scratch(left.sparkSession) as own:
         a, b = (own.write(distinct_names(df, block, name), "names") for df in (left, right))
-        found = similarity.best_by_rounds(a, b, block, lambda least: _best(F.greatest("__set", "__sort"), least), _scores(), (90, 75, 50))
+        found = similarity.best(a, b, block, 50, 50).withColumn("b", F.least("s", "t"))
     found = found.select(*(c(k) for k in block), "l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
     one = right.groupBy(*(c(b) for b in block), c(name).alias("r")).agg(
         F.min(F.struct(*(c(t) for t in take), c(club).alias("__club"))).alias("__t")
@@ -139,13 +127,10 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     A name that shares no letter with any scores 0 with all, so the smallest name is its nearest.
     """
 
-    def choose(least: float) -> Column:
-        s, t = _best(F.col("__set"), least), _best(F.col("__sort"), least)
-        # The smaller first field is the higher score; of equal ones the token-set ratio's name stays.
-        return F.when(s.isNull() | (t.getField("s") < s.getField("s")), t).otherwise(s)
-
     a, b = (materialize(distinct_names(df, [], n), "names")[0] for df, n in ((left, "l"), (right, "r")))
-    found = similarity.best_by_rounds(a, b, [], choose, _scores()).select("l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
+    # The smaller first field is the higher score; of equal ones the token-set ratio's name stays.
+    chosen = F.when(F.col("s").isNull() | (F.col("t.s") < F.col("s.s")), F.col("t")).otherwise(F.col("s"))
+    found = similarity.best(a, b, [], 1e-6, 1e-6).withColumn("b", chosen).select("l", F.col("b.r").alias("r"), (-F.col("b.s")).alias("score"))
     rest = a.select(F.col("x").alias("l")).join(found.select("l"), "l", "left_anti")
     smallest = b.agg(F.min("x").alias("r")).where("r IS NOT NULL")  # one row
     return found.unionByName(rest.join(F.broadcast(smallest)).select("l", "r", F.lit(0.0).alias("score")))
@@ -186,10 +171,8 @@ def fuzzy_dimension(df: DataFrame, dim: DataFrame, block: Sequence[str], name: s
     hit, missed = joined.where("__hit = 1").drop("__hit"), joined.where("__hit IS NULL").drop("__hit", *take)
     with scratch(df.sparkSession) as own:
         a, b = (own.write(distinct_names(side, block, name), "names") for side in (missed, exact))
-        pairs = similarity.candidates(a, b, block, own, least)
-        scored = pairs.withColumn("__set", token_set_ratio(F.col("l"), F.col("r")))
-        best, _ = materialize(scored.groupBy(*(c(b) for b in block), "l").agg(_best(F.col("__set"), least).alias("b")).where("b IS NOT NULL"), "similar")
-    best = best.select(*(c(b) for b in block), "l", F.col("b.r").alias("r"))
+        best = similarity.best(a, b, block, least)
+    best = best.select(*(c(b) for b in block), "l", F.col("s.r").alias("r"))
     found = best.join(exact.withColumnRenamed(name, "r"), [*block, "r"]).select(
         *(c(b) for b in block), F.col("l").alias(name), *(c(t) for t in take)
     )

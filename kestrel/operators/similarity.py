@@ -18,24 +18,28 @@ that reach T share one of these, so candidates come from an equi-join of posting
 emitted at the rarest thing both hold, hence once, and only if lengths, letters and the whole
 count allow the score.  Names are distinct before they are indexed, postings of a common pair
 are rare by construction, and what is left of them AQE can split.
+
+Where only each name's best partner is asked for (:func:`best`), pairs are not listed: many names
+may reach a score with many, and a name needs one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import letter_mask, sorted_tokens
+from kestrel.operators.alignment import compared
 from kestrel.operators.columns import c
 from kestrel.storage import Scratch, materialize, scratch
 
 #: Scores above this make letter pairs a bound.
 PAIRS_FROM = 200 / 3
-#: Scores asked for round by round: a name that finds one is not compared further.  The last asks for any above 0.
-ROUNDS = (90.0, 75.0, 50.0, 25.0, 1e-6)
+#: Names of a pack on either side: a task compares one pack with another.
+LEFT, RIGHT, TASKS = 1 << 11, 1 << 13, 10_000
 #: Rounding of the bounds.
 EPS = 1e-6
 
@@ -131,23 +135,67 @@ def candidates(
     return met.select(*(F.col(f"a.`{k}`").alias(k) for k in block), F.col("a.x").alias("l"), F.col("b.x").alias("r")).distinct()
 
 
-def best_by_rounds(
-    left: DataFrame, right: DataFrame, block: Sequence[str], choose: Callable[[float], Column], score: dict[str, Column], rounds: Sequence[float] = ROUNDS
-) -> DataFrame:
-    """(block, l, b): what ``choose`` aggregates from the scored pairs of each name ``l``, where it is not null.
+def _nested(left: DataFrame, right: DataFrame, block: Sequence[str], own: Scratch) -> DataFrame:
+    """(block, l, s): of the names whose tokens hold or are held by a right name's, the smallest such name at -100, the best score there is.
 
-    ``choose(least)`` must be null unless a pair reaches ``least``, and then not depend on pairs that do not.
-    Each round asks for pairs that can reach its score; names that find none go to the next.
+    The inner name is looked up under its rarest token alone, the outer one under all of its tokens.
+    """
+    keys = [c(k) for k in block]
+    sides = [df.select(*keys, "x", F.array_distinct("tokens").alias("tokens")).where(F.size("tokens") > 0) for df in (left, right)]
+    told = [own.write(df.select(*keys, "x", "tokens", F.explode("tokens").alias("gram")), "tokens") for df in sides]
+    held = told[0].select("gram").unionByName(told[1].select("gram"))
+    frequency = own.write(held.groupBy("gram").agg(F.count(F.lit(1)).alias("f")), "frequency")
+    rarest = [
+        own.write(t.join(frequency, "gram").groupBy(*keys, "x", "tokens").agg(F.min(F.struct("f", "gram")).alias("g")).select(*keys, "x", "tokens", F.col("g.gram").alias("gram")), "rarest")
+        for t in told
+    ]
+    out = None
+    for a, b in ((rarest[0], told[1]), (told[0], rarest[1])):
+        same = reduce(Column.__and__, (F.col(f"a.`{k}`") == F.col(f"b.`{k}`") for k in (*block, "gram")))
+        inner, outer = ("a", "b") if a is rarest[0] else ("b", "a")
+        nests = F.size(F.array_except(f"{inner}.tokens", f"{outer}.tokens")) == 0
+        met = a.alias("a").join(b.alias("b"), same & nests)
+        part = met.select(*(F.col(f"a.`{k}`").alias(k) for k in block), F.col("a.x").alias("l"), F.col("b.x").alias("r"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*keys, "l").agg(F.min(F.struct(F.lit(-100.0).alias("s"), "r")).alias("s"))
+
+
+def _packed(names: DataFrame, block: Sequence[str], size: int, id_: str, as_: str) -> DataFrame:
+    """(block, id, names, forms): up to ``size`` names of a block in a row, those of like letters together."""
+    keys = [c(k) for k in block]
+    # Partitions of several packs: a pack lies within one, and small packs would be compared with many.
+    parts = max(1, min(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), names.count() // (4 * size)))
+    told = names.select(*keys, F.col("x"), F.array_join("tokens", " ").alias("form"))
+    told = told.repartitionByRange(parts, *keys, F.reverse("form"), "x").sortWithinPartitions(*keys, F.reverse("form"), "x")
+    lists = told.withColumn("__p", F.spark_partition_id()).withColumn("__n", F.floor(F.monotonically_increasing_id() % (1 << 33) / size))
+    lists = lists.groupBy(*keys, "__p", "__n").agg(F.collect_list("x").alias(f"{as_}_names"), F.collect_list("form").alias(f"{as_}_forms"))
+    return lists.withColumn(id_, F.concat_ws(" ", "__p", "__n")).drop("__p", "__n")
+
+
+def best(left: DataFrame, right: DataFrame, block: Sequence[str], least_set: float, least_sort: float | None = None, first: bool = False) -> DataFrame:
+    """(block, l, s, t): the best pair (-score, r) of each name ``l`` by token-set ratio from ``least_set`` and by token-sort ratio
+    from ``least_sort``, ties to the smaller name; rows with neither are left out.
+
+    The better of the two is exact, and the other one only where it is as good; with ``first`` the token-sort ratio counts
+    where no token-set ratio reaches its bound.  Names that nest are joined by a token.  The rest of the names are compared
+    in packed rows of a block (:mod:`kestrel.operators.alignment`), every pair of packs a row of its own.
     """
-    keys = [*(c(k) for k in block), F.col("l")]
-    rest, out = left, None
-    for least in rounds:
-        with scratch(left.sparkSession) as own:
-            pairs = candidates(rest, right, block, own, least, least).withColumns(score)
-            found, _ = materialize(pairs.groupBy(*keys).agg(choose(least).alias("b")).where("b IS NOT NULL"), "best")
-        out = found if out is None else out.unionByName(found)
-        if least != rounds[-1]:
-            rest, _ = materialize(rest.join(found.select(*(c(k) for k in block), F.col("l").alias("x")), [*block, "x"], "left_anti"), "rest")
-            if rest.isEmpty():
-                break
-    return out
+    keys = [c(k) for k in block]
+    with scratch(left.sparkSession) as own:
+        nested, _ = materialize(_nested(left, right, block, own), "nested")
+        rest = own.write(left.join(nested.select(*keys, F.col("l").alias("x")), [*block, "x"], "left_anti"), "rest")
+        a, b = own.write(_packed(rest, block, LEFT, "__a", "l"), "packs"), own.write(_packed(right, block, RIGHT, "__b", "r"), "packs")
+        ids = a.select(*keys, "__a"), b.select(*keys, "__b")
+        pairs = ids[0].join(ids[1], list(block)) if block else ids[0].crossJoin(ids[1])  # packs, not names
+        pairs = own.write(pairs, "pairs")
+        # A pair or a few in a task: packs of names are large rows.
+        tasks = max(1, min(pairs.count(), TASKS))
+        both = pairs.join(a, [*block, "__a"]).join(b, [*block, "__b"]).repartition(tasks, *keys, "__a", "__b")
+        kinds = [f"`{k}` {rest.schema[k].dataType.simpleString()}" for k in block]
+        run = partial(compared, block=len(block), least_set=least_set, least_sort=least_sort, first=first)
+        told = both.select(*keys, "l_names", "l_forms", "r_names", "r_forms").mapInArrow(
+            run, ", ".join([*kinds, "l string", "set double", "set_r string", "sort double", "sort_r string"])
+        )
+        pick = lambda k: F.min(F.when(F.col(k).isNotNull(), F.struct((-F.col(k)).alias("s"), F.col(f"{k}_r").alias("r"))))
+        found, _ = materialize(told.groupBy(*keys, "l").agg(pick("set").alias("s"), pick("sort").alias("t")), "best")
+    return nested.select(*keys, "l", "s", F.lit(None).cast(found.schema["t"].dataType).alias("t")).unionByName(found)

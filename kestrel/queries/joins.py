@@ -103,7 +103,7 @@ def fuzzy_levenshtein_block(t: Tables) -> DataFrame:
 
 def corrupted_names(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Players, mapping and valuations made from parts: names spelt with tokens swapped or a letter lost."""
-    p = t.part.select(
+    p = t.part.repartition("p_partkey").select(  # a small file, and names take long to normalise
         F.col("p_partkey").alias("tm_id"), F.concat_ws(" ", "p_name", F.lower(F.hex("p_partkey"))).alias("name"),
         F.col("p_type").alias("club"), (F.col("p_partkey") % 20).cast("int").alias("season"),
     )

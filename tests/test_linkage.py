@@ -189,3 +189,35 @@ def test_cascade_and_diagnosis_against_plain_python(spark):
         (s, a), (t, b) = nearest(set_ratio, r.name_clean, every, 0), nearest(sort_ratio, r.name_clean, every, 0)
         assert (r.nearest, r.score) == ((b, pytest.approx(-t)) if t < s else (a, pytest.approx(-s)))
     assert len(told) == len(rows) - len(want)
+
+
+def test_best_partner_against_every_pair(spark, names):
+    """Packs of few names, and the ratios alone for repeated tokens and for names over 63 letters."""
+    left, right = frames(spark, names)
+    long = [(900 + k, 1, " ".join([n] * 5) + " x" * k) for k, n in enumerate(["thiago silva santos", "anna van der berg"])]
+    left, right = (df.unionByName(spark.createDataFrame(long, df.schema)) for df in (left, right))
+    mine, others = ([*side, *(n for _, _, n in long)] for side in names)
+    before = similarity.LEFT, similarity.RIGHT
+    similarity.LEFT, similarity.RIGHT = 16, 8
+    try:
+        sides = [similarity.distinct_names(df, ["season"], "name") for df in (left, right)]
+        for bounds, first in (((85, 75), True), ((50, 50), False), ((1e-6, 1e-6), False), ((80, None), False)):
+            got = {r.l: (r.s, r.t) for r in similarity.best(*sides, ["season"], *bounds, first=first).collect()}
+            for n in mine:
+                s, t = nearest(set_ratio, n, others, bounds[0]), nearest(sort_ratio, n, others, bounds[1] or 101)
+                want = (s or t) if first else min(x for x in (s, t, (0.0, "")) if x is not None)
+                own = [tuple(x) for x in got.get(n, ()) if x is not None]
+                if first and s:
+                    own = [tuple(got[n][0])]
+                assert (min(own, default=None) == (pytest.approx(want[0]), want[1])) if want and want[0] < 0 else not own, (n, bounds, own, want)
+    finally:
+        similarity.LEFT, similarity.RIGHT = before
+
+
+def test_names_that_nest_are_found_by_a_token(spark):
+    """Names that hold one another are found without comparing pairs, whatever else they share."""
+    right = spark.createDataFrame([(1, f"red bolt {k:x}") for k in range(40)], "season int, name string")
+    left = spark.createDataFrame([(1, f"{k:x} bolt jr red") for k in range(40)], "season int, name string")
+    sides = [similarity.distinct_names(df, ["season"], "name") for df in (left, right)]
+    got = {r.l: tuple(r.s) for r in similarity._nested(*sides, ["season"], similarity.Scratch(spark)).collect()}
+    assert got == {f"{k:x} bolt jr red": (-100.0, f"red bolt {k:x}") for k in range(40)}
