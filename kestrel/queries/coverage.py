@@ -282,7 +282,8 @@ SELECT name AS transform, n, true AS ordered FROM (SELECT unnest(['raw', 'log1p'
 def best_target_transform(t: Tables) -> DataFrame:
     """One learner on every transform of the target, scored on the target's scale, best first."""
     rows = m.best_transform(*_split(t), "o_totalprice", FEATURES, tuple(metrics.TRANSFORMS), _linear).collect()  # a row a transform
-    ordered = [r.mae for r in rows] == sorted(r.mae for r in rows)
+    told = [float(f"{r.mae:.8e}") for r in rows]  # transforms that differ by a factor tie but for rounding
+    ordered = told == sorted(told)
     return t.spark.createDataFrame([(r.transform, r.n, ordered) for r in rows], "transform string, n long, ordered boolean")
 
 
