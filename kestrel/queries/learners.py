@@ -14,6 +14,7 @@ from kestrel.queries.files import _place
 from kestrel.queries.modelling import FEATURES, _learning
 from kestrel.queries.registry import Tables, query
 from kestrel.queries.windows import _yearly
+from kestrel.storage import materialize
 
 #: A target that steps at a line number and a quantity, with a rest that neither explains.
 CELLS = """
@@ -182,7 +183,7 @@ def cluster_places(t: Tables) -> DataFrame:
 @query("SELECT learner, true AS better_than_mean FROM (SELECT unnest(['depthwise', 'leafwise', 'symmetric', 'forest', 'extra', 'svr']) AS learner)")
 def tree_learners(t: Tables) -> DataFrame:
     """Three boosters, two averaged forests and a kernel machine on a target that follows its inputs: each halves the mean's error on unseen rows."""
-    data = _learning(t).withColumn("o_totalprice", 3 * F.col("qty") * F.col("lines") + 500)
+    data, _ = materialize(_learning(t).withColumn("o_totalprice", 3 * F.col("qty") * F.col("lines") + 500), "learning")
     train, test = data.where("o_orderkey % 2 = 0"), data.where("o_orderkey % 2 <> 0")
     ready, unseen = m.prepare(train, "o_totalprice", FEATURES), m.prepare(test, "o_totalprice", FEATURES)
     learners = {"depthwise": growth.DepthwiseTrees(rounds=3, depth=3, rate=0.7), "leafwise": growth.LeafwiseTrees(rounds=3, leaves=8, depth=4, rate=0.7)}
