@@ -73,6 +73,7 @@ def link(performance: DataFrame, mapping: DataFrame, values: DataFrame, score_mi
             "row_id": F.xxhash64("player", "team", "league", "season"),
         }
     )
+    left, _ = materialize(left, "performance")
     known = mapping.select(text.normalise_name(c("PlayerFBref")).alias("name_clean"), "tm_id")
     pool = values.select(
         "season_year",
@@ -105,7 +106,8 @@ def build(
     standings: DataFrame, ranking: DataFrame,
 ) -> tuple[DataFrame, DataFrame]:
     """(learning table with a ``split`` column, orphans)."""
-    values = valuations_by_season(players, valuations)
+    # Each is read by several of the next steps.
+    values, _ = materialize(valuations_by_season(players, valuations), "values")
     linked, orphans = link(performance, mapping, values)
     identity = values.drop("current_club_name").withColumnRenamed("player_id", "tm_id")
     hurt = injuries_by_season(injuries).withColumnRenamed("player_id", "tm_id")
@@ -115,6 +117,7 @@ def build(
     )
     table = linked.join(identity, ["tm_id", "season_year"], "left").join(hurt, ["tm_id", "season_year"], "left")
     table = table.fillna(0, hurt_columns).withColumn("club_clean", text.map_or_self(c("club_clean"), text.CLUB_SYNONYMS))
+    table, _ = materialize(table, "table")
     table = linkage.fuzzy_dimension(table, clubs, ["season_year"], "club_clean", ["classement"])
     merged = aggregates.merge_duplicates(
         table.drop("row_id", "name_clean", "club_clean", "score"),

@@ -9,6 +9,7 @@ from kestrel.operators.aggregates import recompute_ratios
 from kestrel.plans.features import engineer
 from kestrel.plans.learning_table import build, encoded
 from kestrel.queries.registry import Tables, query
+from kestrel.storage import materialize
 
 BASE = """
 WITH b AS (
@@ -207,6 +208,7 @@ def learning_table_rows(t: Tables) -> DataFrame:
         key.alias("id"), F.col("c_name").alias("player"), F.concat_ws(" ", "n_name", half).alias("team"), F.col("c_mktsegment").alias("league"), year.alias("sy"),
         nations.alias("nation"), F.col("n_nationkey").cast("int").alias("n_nationkey"), half.alias("half"), F.col("o_orderkey").alias("k"), "n_name",
     )
+    o, _ = materialize(o, "orders")  # seven sources are made of it
     pick = lambda *names: F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("id") % 3 + 1).cast("int"))
     minutes = F.sum(F.col("k") % 90).cast("double")
     performance = o.groupBy("id", "player", "team", "league", "sy", "nation").agg(
