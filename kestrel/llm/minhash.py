@@ -19,7 +19,9 @@ Crowded bands.  Near copies crowd a band's bucket, where pairs would be quadrati
 each member is compared with one pivot - the set that meets most others - then with a
 second one; what is connected by then need not be compared again, and only pairs of
 different components are left.  The join emits those whose sizes and parity bitmaps (see
-:mod:`near_dedup`; both are necessary conditions) allow a link.
+:mod:`near_dedup`; both are necessary conditions) allow a link.  The last join, of all pairs
+that are left, also compares the signatures, eight bits of each minimum, bit-parallel: it
+emits no pair that the batches are sure to prune, and each at one of its common bands only.
 
 Defined results: fewer words than a shingle make one shingle; null, empty and word-less
 texts have the empty set and are linked with nothing, repeated rows of one id included;
@@ -32,11 +34,12 @@ not read, and those of ``docs`` with the names used here do not clash.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -52,6 +55,8 @@ HASHES, BAND, BATCH = 128, 4, 16
 MISS = 1e-8
 #: Rounds of comparison with one pivot a bucket.
 STARS = 2
+#: Bits of each minimum that the last join compares, and the words that hold one bit of all minima.
+PLANES, HALVES = 8, HASHES // 64
 #: Shingles hashed at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 12
 
@@ -136,6 +141,45 @@ def plausible(pairs: DataFrame, nodes: DataFrame, out: Scratch) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _planes(sigs: list[bytes]) -> list[np.ndarray]:
+    """``PLANES * HALVES`` words of each signature: a bit of every minimum, then the next bit."""
+    x = np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(-1, HASHES)
+    return [w for p in range(PLANES) for w in np.packbits((x >> p & 1).astype(np.uint8), axis=1).view(np.int64).T.copy()]
+
+
+def _agree(a: str, b: str) -> Column:
+    """So many minima agree in the bits compared that the batches may leave the pair."""
+    differ = F.lit(0)
+    for k in range(HALVES):
+        words = (F.col(f"{a}.s{p * HALVES + k}").bitwiseXOR(F.col(f"{b}.s{p * HALVES + k}")) for p in range(PLANES))
+        differ = differ + F.bit_count(reduce(Column.bitwiseOR, words))
+    return differ <= HASHES - least_matches(HASHES)
+
+
+def told(blocks: DataFrame, nodes: DataFrame, out: Scratch) -> DataFrame:
+    """``blocks`` with the words of each node's signature and ``hs``, all the band values under which it is there."""
+    words = [f"s{k}" for k in range(PLANES * HALVES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(0), *(pa.array(w) for w in _planes(batch.column(1).to_pylist())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", *words, "hs"])
+
+    held = out.write(blocks.groupBy("node").agg(F.sort_array(F.collect_set("h")).alias("hs")), "held")  # a node has as many as bands
+    some = held.join(out.write(nodes.select("node", "sig"), "signatures"), "node").select("node", "sig", "hs")
+    known = out.write(some.mapInArrow(run, f"node binary, {', '.join(f'{w} long' for w in words)}, hs array<long>"), "words")
+    return out.write(blocks.join(known, "node"), "told")
+
+
+def left_pairs(blocks: DataFrame, nodes: DataFrame, out: Scratch) -> DataFrame:
+    """The pairs (a, b) of different components that share a band value of ``blocks`` and may be linked, each once."""
+    known = told(blocks, nodes, out)
+    first = F.array_min(F.array_intersect("a.hs", "b.hs")) == F.col("a.h")
+    fits = _fits("a", "b") & _near("a", "b") & (F.col("a.root") < F.col("b.root")) & _agree("a", "b") & first
+    joined = known.alias("a").join(known.alias("b"), (F.col("a.h") == F.col("b.h")) & fits)
+    return joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+
+
 def links(nodes: DataFrame, whole: Callable[[DataFrame], DataFrame], out: Scratch) -> DataFrame:
     """(node, root) of the components of similar sets; ``whole`` gives (node, s) of the nodes of a table."""
     spark, found, roots = nodes.sparkSession, None, None
@@ -149,13 +193,12 @@ def links(nodes: DataFrame, whole: Callable[[DataFrame], DataFrame], out: Scratc
         if r < STARS:
             rank = F.col("weight") if r == 0 else F.xxhash64("node", F.lit(r))
             pivot = F.max(F.struct(rank.alias("rank"), "node", "n", "root", *BITS)).alias("p")
-            others = out.write(blocks.groupBy("h").agg(pivot).select("h", "p.node", "p.n", "p.root", *(f"p.{b}" for b in BITS)), "pivots")
-            apart = F.col("a.root") != F.col("b.root")
+            pivots = out.write(blocks.groupBy("h").agg(pivot).select("h", "p.node", "p.n", "p.root", *(f"p.{b}" for b in BITS)), "pivots")
+            fits = (F.col("a.root") != F.col("b.root")) & _fits("a", "b") & _near("a", "b")
+            joined = blocks.alias("a").join(pivots.alias("b"), (F.col("a.h") == F.col("b.h")) & fits)
+            pairs = joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         else:
-            others, apart = blocks, F.col("a.root") < F.col("b.root")
-        fits = apart & _fits("a", "b") & _near("a", "b")
-        joined = blocks.alias("a").join(others.alias("b"), (F.col("a.h") == F.col("b.h")) & fits)
-        pairs = joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+            pairs = left_pairs(blocks, nodes, out)
         with scratch(spark) as own:
             likely = own.write(plausible(own.write(pairs, "pairs"), nodes, own), "likely")
             ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -307,3 +307,29 @@ def test_signatures_prune_before_the_sets(spark):
     with scratch(spark) as out:
         left = {(ids[bytes(r.a)], ids[bytes(r.b)]) for r in minhash.plausible(pairs, nodes, out).collect()}
     assert left == {(k, k + 2) for k in range(0, 120, 3)}
+
+
+def test_last_join_emits_each_pair_once_and_none_that_the_batches_prune(spark):
+    rnd = random.Random(3)
+    base = [f"b{j}" for j in range(300)]
+    texts = []
+    for share in (0.12, 0.05):
+        for _ in range(25):
+            start = rnd.randrange(int(300 * (1 - share)))
+            texts.append(" ".join([*base[:start], *(f"r{rnd.random()}" for _ in range(int(300 * share))), *base[start + int(300 * share) :]]))
+    df = spark.createDataFrame([(k, None, t.encode()) for k, t in enumerate(texts)], "__id long, __key binary, __text binary")
+    nodes = minhash.signed(df, 4).cache()
+    known = nodes.collect()
+    sigs = {bytes(r["node"]): np.frombuffer(r["sig"], np.uint16) for r in known}
+    sets = {bytes(r["node"]): shingles(texts[r["__id"]]) for r in known}
+    bands = {n: {(k, s[k : k + minhash.BAND].tobytes()) for k in range(0, minhash.HASHES, minhash.BAND)} for n, s in sigs.items()}
+    names = sorted(sigs)
+    met = {(a, b) for k, b in enumerate(names) for a in names[:k] if bands[a] & bands[b]}
+    with scratch(spark) as out:
+        blocks = minhash.buckets(nodes, out).withColumn("root", F.col("node"))
+        got = [(bytes(r.a), bytes(r.b)) for r in minhash.left_pairs(blocks, nodes, out).collect()]
+    links = {(a, b) for a, b in met if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) < sum(len(bands[a] & bands[b]) for a, b in met) / 4
+    assert links and links <= set(got) <= met
+    agree = [(sigs[a].view(np.uint8)[::2] == sigs[b].view(np.uint8)[::2]).sum() for a, b in got]
+    assert min(agree) >= minhash.least_matches(minhash.HASHES)
