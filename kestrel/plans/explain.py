@@ -58,17 +58,12 @@ def sampled_shap(
     )
     mixed = [F.when(F.col("__place")[i] <= F.col("__k"), F.col("__own")[i]).otherwise(F.col("__from")[i]).alias(f) for i, f in enumerate(features)]
     done = score(states.select(c(key), "__k", "__path", *mixed))
-    # A state's score ends one input's step and begins the next one's.
-    parts = F.filter(
-        F.array(
-            F.struct(F.get("__path", F.col("__k") - 1).alias("at"), F.col("predicted").alias("v")),
-            F.struct(F.get("__path", F.col("__k")).alias("at"), (-F.col("predicted")).alias("v")),
-        ),
-        lambda s: s["at"].isNotNull(),
-    )
-    names = F.array(*(F.lit(f) for f in features))
-    steps = done.select(c(key), F.explode(parts).alias("s")).select(c(key), "s.at", "s.v")
-    return steps.groupBy(c(key), "at").agg((F.sum("v") / walks).alias("shap")).select(c(key), names[F.col("at")].alias("feature"), "shap")
+    # A state's score ends one input's step and begins the next one's; a row has one group with a sum for each input.
+    ends, begins = F.get("__path", F.col("__k") - 1), F.get("__path", F.col("__k"))
+    step = lambda i: F.when(ends == i, F.col("predicted")).when(begins == i, -F.col("predicted"))
+    sums = done.groupBy(c(key)).agg(*((F.sum(step(i)) / walks).alias(f"__shap{i}") for i in range(n)))
+    told = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"__shap{i}").alias("shap")) for i, f in enumerate(features)))
+    return sums.select(c(key), F.inline(told))
 
 
 def grouped(values: DataFrame, key: str, groups: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -77,3 +77,12 @@ def test_tune(rows):
     best, value, done = tuning.tune(make, {"reg": tuning.Range(1e-4, 10, log=True)}, ready.where("id % 2 = 0"), ready.where("id % 2 = 1"), trials=4)
     assert value == min(v for _, v in done) and value < 0.3
     assert "prediction" in tuning.robust_linear().fit(ready).transform(ready).columns
+
+
+def test_sampled_shap_holds_one_group_a_row(rows):
+    """Scores are added up in one aggregation by the row's key, a sum an input: no row is exploded into its steps."""
+    score = lambda df: df.withColumn("predicted", F.col("a") * F.col("b") + F.col("pos_gk"))
+    got = explain.sampled_shap(score, rows, rows, "id", ["a", "b", "pos_gk"], ["id"], walks=4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [id#") == 1 and ", at#" not in plan
+    assert got.count() == 3 * rows.count()
