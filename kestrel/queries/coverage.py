@@ -189,8 +189,9 @@ def target_round_trips(t: Tables) -> DataFrame:
     out = metrics.from_min_max(out, o, "o_totalprice", "z", "min_max")
     lam = metrics.fit_yeo_johnson(o, "o_totalprice")
     out = out.withColumn("yeo_johnson", metrics.from_yeo_johnson(metrics.yeo_johnson(y, lam), lam))
-    out = metrics.quantile_uniform(out, "o_totalprice", "u")
-    out = metrics.from_quantile_uniform(out, o, "o_totalprice", "u", "quantile")
+    grid = metrics.quantile_grid(o, "o_totalprice")  # the same both ways
+    out = metrics.quantile_uniform(out, "o_totalprice", "u", grid=grid)
+    out = metrics.from_quantile_uniform(out, o, "o_totalprice", "u", "quantile", grid=grid)
     forward, back = metrics.TRANSFORMS["log10"]
     out = out.withColumn("log10", back(forward(y)))
     return out.select("o_orderkey", *(F.round(n, 2).alias(n) for n in ("min_max", "yeo_johnson", "quantile", "log10")))

@@ -54,3 +54,15 @@ def test_transforms_read_written_tables_and_tie_by_name(table):
     place = [r.transform for r in rows]
     # log10 is log1p by a factor: the same predictions but for rounding.
     assert place.index("log1p") == place.index("log10") + 1 and [m_.mae for m_ in rows] == pytest.approx(sorted(m_.mae for m_ in rows))
+
+
+def test_round_trips_place_the_prices_once(spark, monkeypatch):
+    """Both ways of the quantile map read one grid."""
+    from kestrel.operators import metrics
+    from kestrel.queries import QUERIES
+
+    calls, real = [], metrics.quantiles
+    monkeypatch.setattr(metrics, "quantiles", lambda *a, **k: calls.append(a) or real(*a, **k))
+    out = QUERIES["target_round_trips"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+    assert out.where("min_max <> yeo_johnson OR quantile <> log10 OR min_max <> log10").count() == 0 < out.count()
