@@ -1,7 +1,8 @@
 """Tables out of HTML pages, and the chain league > club > squad > injury over landed pages.
 
 A page is read as a stream of tags by the standard library's tokenizer, in pieces, inside an Arrow
-batch; nothing of it is kept but the rows that are open.  What browsers forgive is forgiven: cells
+batch; nothing of it is kept but the rows that are open.  A page of plain markup alone is cut into
+the same tags by one pattern.  What browsers forgive is forgiven: cells
 and rows that are not closed end where the next one begins, tables within cells are tables of their
 own, a page may end anywhere, entities are resolved by name or number, spans repeat their cell so
 that positions hold.
@@ -9,14 +10,19 @@ that positions hold.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import partial
+from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators.columns import c
+from kestrel.storage import materialize
 
 #: Characters given to the tokenizer at once, rows sent back at once, and the most that a span may span.
 PIECE, ROWS, MOST_COLUMNS, MOST_ROWS = 1 << 16, 1_000, 1_000, 65_534
@@ -33,6 +39,14 @@ _KINDS = pa.list_(
 )
 
 
+#: Plain markup: names of letters and digits, values quoted or of few signs, without entities; no comments and no tags whose contents are raw.
+_SPACE = r"[ \t\n\r\f]"
+_VALUE = rf'{_SPACE}++(%s[A-Za-z][-A-Za-z0-9_]*+)(?:="(%s[^"<>&]*+)"|=(%s[A-Za-z0-9_.%%-]++)(?=[ \t\n\r\f>]|\Z))?+'
+_RAW = "(?!(?i:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)(?![A-Za-z0-9]))"
+_TAG = rf"(%s[^<]++)|<{_RAW}(%s[A-Za-z][A-Za-z0-9]*+)(%s(?:{_VALUE.replace('(%s', '(?:').replace('%%', '%')})*+){_SPACE}*+(%s/?+)>|</(%s[A-Za-z][A-Za-z0-9]*+){_SPACE}*+>".replace("%-]", "%%-]")
+PLAIN, TAG, VALUE = re.compile(f"(?:{_TAG % (('?:',) * 5)})*+"), re.compile(_TAG % (("",) * 5)), re.compile(_VALUE % (("",) * 3))
+
+
 class _Table:
     def __init__(self, number: int, classes: list[str], inside: list[str]):
         self.number, self.inside = number, [*inside, *classes]
@@ -162,6 +176,9 @@ class _Reader(HTMLParser):
         self._end_row(self.open[-1])
         self.open.pop()
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines are not counted
+
     def finish(self) -> None:
         if self.rawdata.startswith("<"):  # a tag that the page's end cuts off
             self.rawdata = ""
@@ -173,6 +190,20 @@ class _Reader(HTMLParser):
 def page_rows(html: str) -> Iterator[tuple]:
     """(table, classes of it and the tables around it, section, row, cells) of a page, row by row."""
     reader = _Reader()
+    if PLAIN.fullmatch(html):
+        for m in TAG.finditer(html):
+            text, name, values, slash, end = m.groups()
+            if text is not None:
+                reader.handle_data(unescape(text) if "&" in text else text)
+            elif end is not None:
+                reader.handle_endtag(end.lower())
+            else:
+                given = [(k.lower(), quoted or bare) for k, quoted, bare in VALUE.findall(values)] if values else []
+                (reader.handle_startendtag if slash else reader.handle_starttag)(name.lower(), given)
+            if reader.done:
+                yield from reader.done
+                reader.done.clear()
+        html = ""
     for at in range(0, len(html), PIECE):
         reader.feed(html[at : at + PIECE])
         yield from reader.done
@@ -181,6 +212,31 @@ def page_rows(html: str) -> Iterator[tuple]:
     yield from reader.done
 
 
+def _listed(lists: list[list], values) -> pa.Array:
+    """``lists`` as an array whose items, one after another, ``values`` turns into an array."""
+    offsets = pa.array([0, *accumulate(map(len, lists))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, values([x for own in lists for x in own]))
+
+
+def _cells(rows: list[list[dict]]) -> pa.Array:
+    """Rows of cells in columns: dictionaries one by one would take as long as the parsing."""
+
+    def structs(kind: pa.DataType, items: list[dict]) -> pa.Array:
+        names = [kind.field(k).name for k in range(kind.num_fields)]
+        return pa.StructArray.from_arrays([pa.array([x[n] for x in items], kind.field(n).type) for n in names], names)
+
+    def cells(items: list[dict]) -> pa.Array:
+        kind = _KINDS.value_type
+        links, images = (_listed([x[n] for x in items], partial(structs, kind.field(n).type.value_type)) for n in ("links", "images"))
+        classes = _listed([x["class"] for x in items], lambda own: pa.array(own, pa.string()))
+        return pa.StructArray.from_arrays(
+            [pa.array([x["text"] for x in items], pa.string()), pa.array([x["header"] for x in items], pa.bool_()), classes, links, images],
+            [kind.field(k).name for k in range(kind.num_fields)],
+        )
+
+    return _listed(rows, cells)
+
+
 def tables(df: DataFrame, html_col: str, *keep: str) -> DataFrame:
     """(keep..., seq, table, inside, section, row, cells) for every row of every table; a null page has none.
 
@@ -194,9 +250,9 @@ def tables(df: DataFrame, html_col: str, *keep: str) -> DataFrame:
 
             def sent(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
                 own = [col.take(pa.array(at, pa.int64())) for col in batch.columns[1:]]
-                kinds = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), _KINDS)
+                kinds = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32())
                 out = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-                return pa.RecordBatch.from_arrays([*own, *out], names=[*names, "seq", "table", "inside", "section", "row", "cells"])
+                return pa.RecordBatch.from_arrays([*own, *out, _cells([r[5] for r in rows])], names=[*names, "seq", "table", "inside", "section", "row", "cells"])
 
             for k, html in enumerate(batch.column(0)):
                 for seq, row in enumerate(page_rows(html.as_py() or "")):
@@ -259,11 +315,12 @@ def injury_rows(pages: DataFrame) -> DataFrame:
     other = lambda i: (i["alt"] != "") & ~F.contains(i["src"], F.lit("spieler")) & ~F.contains(i["src"], F.lit("player"))
     club = F.get(F.filter(images, lambda i: badge(i) | other(i)), F.lit(0))["alt"]
     told = rows.where("section = 'tbody'").withColumns({"__d": data, "__club": F.coalesce(club, F.lit(NO_CLUB))}).where(F.size("__d") >= 6)
+    texts = [F.col("__d")[k]["text"].alias(n) for k, n in enumerate(("season_name", "injury", "since", "until", "days", "games"))]
+    # Written, so that pages are parsed once for the rows and for each player's first table.
+    told, _ = materialize(told.select("player_id", "table", "row", F.col("__club").alias("club_then"), *texts), "injuries")
     first = told.groupBy(F.col("player_id").alias("__p")).agg(F.min("table").alias("__t"))
-    named = {n: F.col("__d")[k]["text"].alias(n) for k, n in enumerate(("season_name", "injury", "since", "until", "days", "games"))}
-    return told.join(first, (F.col("player_id") == F.col("__p")) & (F.col("table") == F.col("__t"))).select(
-        "player_id", "row", F.col("__club").alias("club_then"), *named.values()
-    )
+    same = (F.col("player_id") == F.col("__p")) & (F.col("table") == F.col("__t"))
+    return told.join(first, same).drop("table", "__p", "__t")
 
 
 def injuries(pages: DataFrame) -> DataFrame:

@@ -168,3 +168,31 @@ def test_old_intermediates_are_swept(spark):
     os.utime(other, (1_600_000_000, 1_600_000_000))
     assert sweep(spark, 24 * 365) == 1
     assert not os.path.exists(folder) and os.path.exists(young.removeprefix("file:")) and os.path.exists(other)
+
+
+def test_plain_pages_give_what_the_tokenizer_gives(monkeypatch):
+    """Pages of plain markup are cut by one pattern: the same rows as from the tokenizer, which reads all others."""
+    import random
+    import re
+
+    bits = [
+        "<table>", '<table class="items x">', "<tr>", "</tr>", "<td>", "</td>", "<td colspan=2>", '<TD RowSpan="3" class="A b">', "<th>", "</th >", '<a href="/x/y?z=1">', "</a>",
+        '<img alt=x src="b"/>', "<br/>", "<p>", "<div id=q class>", "<thead>", "<tbody>", "</table>", "text ", "&amp; S&#246;hne", "&nbsp", "a & b > c", '<td class="a" class="b">', "<td\n>",
+        "<script>", "</script>", "<!-- c -->", "<a href=/u/v>", '<a href="x&amp;y">', "<", "</ td>", "<td x=1/>", '<td class="a"b="c">', "<td class='q'>", "<1>", "<title>",
+    ]
+    rnd, pattern = random.Random(3), tables.PLAIN
+    pages = ["".join(rnd.choice(bits[: 25 if k % 4 else None]) for _ in range(rnd.randint(1, 30))) for k in range(4000)]
+    got = [list(tables.page_rows(p)) for p in pages]
+    assert sum(bool(pattern.fullmatch(p)) for p in pages) > 2000
+    monkeypatch.setattr(tables, "PLAIN", re.compile("(?!)"))
+    assert got == [list(tables.page_rows(p)) for p in pages]
+    cells = [row[4] for own in got for row in own]
+    assert tables._cells(cells).to_pylist() == cells and tables._cells([]).to_pylist() == []
+
+
+def test_injury_pages_are_parsed_once(spark):
+    """The rows and each player's first table read what one parse has written."""
+    df = spark.createDataFrame([("http://x/p/verletzungen/spieler/1", "<table class=items><tbody><tr><td>1<td>2<td>3<td>4<td>5<td>6</table>")], "url string, html string")
+    got = tables.injury_rows(df)
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.games for r in got.collect()] == ["6"]
