@@ -94,11 +94,14 @@ class Forest:
         """``df`` with the forest's prediction for the array ``features``."""
         forest = self
 
-        @F.pandas_udf("double")
-        def score(rows):
-            import pandas as pd
-
-            return pd.Series(forest.predict(np.stack(rows.to_numpy())) if len(rows) else [], dtype="float64")
+        @F.arrow_udf("double")
+        def score(rows: pa.Array) -> pa.Array:
+            if not len(rows):
+                return pa.array([], pa.float64())
+            sizes = np.diff(rows.offsets.to_numpy())
+            if (sizes != sizes[0]).any():
+                raise ValueError("rows of different numbers of inputs")
+            return pa.array(forest.predict(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)))
 
         return df.withColumn(out, score(features))
 

@@ -1,6 +1,7 @@
 """Growing regression trees level by level on histograms: three boosters and extremely random trees.
 
-Inputs are cut into at most ``BINS`` bins at exact quantiles, a byte each.  A level of all trees
+Inputs are cut into at most ``BINS`` bins at exact quantiles, a byte each; where a tree sees every row,
+learning rows of a batch that fall in the same bins are one row of their mean label and whole weight.  A level of all trees
 that grow is one Spark job: tasks route their rows through the trees so far (a closure) and add
 up weight, gradient and hessian per node, input and bin, which are combined before the shuffle;
 each (node, input) then finds its best cut, and only the best cut of each node - model state -
@@ -47,14 +48,36 @@ def bin_edges(df: DataFrame, n: int, bins: int = BINS) -> list[np.ndarray]:
     return [np.unique(np.array(found.get(k) or [0.0])) for k in range(n)]
 
 
-def binned(df: DataFrame, edges: Sequence[np.ndarray]) -> DataFrame:
-    """rid (a hash of the row), bins (a byte an input), y, w and valid; bin b holds values above edge b - 1 up to edge b."""
+def matrix(column: pa.Array, n: int) -> np.ndarray:
+    """The arrays of ``n`` numbers of a column as rows."""
+    if len(column) and (np.diff(column.offsets.to_numpy()) != n).any():
+        raise ValueError(f"not every row has {n} inputs")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def binned(df: DataFrame, edges: Sequence[np.ndarray], merged: bool = False) -> DataFrame:
+    """rid (a hash of the row), bins (a byte an input), y, w and valid; bin b holds values above edge b - 1 up to edge b.
+
+    With ``merged`` the rows to learn from that a batch holds in the same bins are one, and its rid is one of theirs.
+    """
+    n = len(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty((0, len(edges)))
-            codes = np.column_stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)]).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in codes], pa.binary()), *batch.columns[2:]], names=["rid", "bins", "y", "w", "valid"])
+            x = matrix(batch.column(1), n)
+            codes = np.ascontiguousarray(np.column_stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)]).astype(np.uint8))
+            rid, y, w, valid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
+            if merged and len(codes):
+                whole = np.flatnonzero(~valid.astype(bool) & (w > 0))
+                _, first, at = np.unique(codes[whole].view(f"V{n}").ravel(), return_index=True, return_inverse=True)
+                weight = np.bincount(at, w[whole], len(first))
+                mean = np.bincount(at, w[whole] * y[whole], len(first)) / weight
+                rest = np.setdiff1d(np.arange(len(codes)), whole)
+                order = np.concatenate([whole[first], rest])
+                codes, rid, valid = codes[order], rid[order], valid[order]
+                y, w = np.concatenate([mean, y[rest]]), np.concatenate([weight, w[rest]])
+            bins = pa.Array.from_buffers(pa.binary(n), len(codes), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(rid), bins, pa.array(y), pa.array(w), pa.array(valid.astype(bool))], names=["rid", "bins", "y", "w", "valid"])
 
     return df.select("rid", "x", "y", "w", "valid").mapInArrow(run, "rid long, bins binary, y double, w double, valid boolean")
 
@@ -349,6 +372,32 @@ class ForestModel:
         return cls(Forest.of_params(p), p["errors"], tables)
 
 
+@dataclass
+class Laid:
+    """Learning rows in bins, how many inputs they have, their mean label, the bins' edges and the categories' statistics."""
+
+    rows: DataFrame
+    n: int
+    start: float
+    edges: list[np.ndarray]
+    statistics: dict[str, tuple[DataFrame, float]]
+
+
+def fit_together(learners: dict[str, DepthwiseTrees], df: DataFrame) -> dict[str, ForestModel]:
+    """Boosters fitted to the same rows, which are laid out once for those that need them alike."""
+    laid: dict[tuple, Laid] = {}
+    out = {}
+    for name, learner in learners.items():
+        s = learner.settings()
+        key = (learner.valid, s.bins, s.sample >= 1, *getattr(learner, "categories", ()))
+        if getattr(learner, "categories", ()):
+            key = (*key, learner.strength, learner.seed)
+        if key not in laid:
+            laid[key] = learner.laid_out(df)
+        out[name] = learner.grown(laid[key])
+    return out
+
+
 @dataclass
 class DepthwiseTrees:
     """Boosted least squares: trees of ``depth`` levels that split wherever the regularised gain is above ``least_gain``."""
@@ -378,11 +427,19 @@ class DepthwiseTrees:
         return materialize(learning_rows(df, self.valid), "learning")[0], {}
 
     def fit(self, df: DataFrame) -> ForestModel:
+        return self.grown(self.laid_out(df))
+
+    def laid_out(self, df: DataFrame) -> Laid:
+        """The learning rows in bins, with what is needed beside them."""
         s = self.settings()
         told, statistics = self.prepared(df)
         n, start = _inputs_and_mean(told)
         edges = bin_edges(told.where("NOT valid"), n, s.bins)
-        rows, _ = materialize(binned(told, edges).withColumn("f", F.lit(start)), "binned")
+        rows, _ = materialize(binned(told, edges, s.sample >= 1).withColumn("f", F.lit(start)), "binned")
+        return Laid(rows, n, start, edges, statistics)
+
+    def grown(self, laid: Laid) -> ForestModel:
+        s, rows, n, start, edges, statistics = self.settings(), laid.rows, laid.n, laid.start, laid.edges, laid.statistics
         grown: list[_Growing] = []
         errors, since = [], 0
         for k in range(self.rounds + 1):
@@ -467,7 +524,7 @@ class ExtraTrees:
         told, _ = materialize(learning_rows(df), "learning")
         n, start = _inputs_and_mean(told)
         edges = bin_edges(told, n, s.bins)
-        rows, _ = materialize(binned(told, edges).withColumn("f", F.lit(start)), "binned")
+        rows, _ = materialize(binned(told, edges, True).withColumn("f", F.lit(start)), "binned")
         grown = [_Growing() for _ in range(self.trees)]
         grow(rows, n, grown, self.depth, s)
         return ForestModel(Forest([t.tree(edges) for t in grown], [1 / self.trees] * self.trees, start))

@@ -34,10 +34,11 @@ def _cells(t: Tables) -> DataFrame:
     return VectorAssembler(inputCols=["line", "quantity"], outputCol="features").transform(rows)
 
 
-def _means(done: DataFrame, learner: str) -> DataFrame:
-    """Predictions of each cell: one value, if the learner found the steps."""
-    one = F.round("prediction", 4)
-    return done.groupBy("late", "large").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("lowest"), F.max(one).alias("highest")).select(F.lit(learner).alias("learner"), "*")
+def _means(done: DataFrame, *learners: str) -> DataFrame:
+    """Predictions of each cell, a column each: one value, if the learner found the steps."""
+    ends = [F.struct(F.lit(k).alias("learner"), F.min(F.round(k, 4)).alias("lowest"), F.max(F.round(k, 4)).alias("highest")) for k in learners]
+    cells = done.groupBy("late", "large").agg(F.count(F.lit(1)).alias("n"), F.array(*ends).alias("e"))
+    return cells.select("late", "large", "n", F.inline("e")).select("learner", "late", "large", "n", "lowest", "highest")
 
 
 @query(CELLS + """
@@ -49,20 +50,21 @@ def boosted_cell_means(t: Tables) -> DataFrame:
     rows = _cells(t)
     one = {"rounds": 1, "rate": 1.0, "l2": 0.0, "depth": 2}
     learners = {"depthwise": growth.DepthwiseTrees(**one), "leafwise": growth.LeafwiseTrees(**one | {"depth": 3}, leaves=4), "symmetric": growth.SymmetricTrees(**one)}
-    models = {name: learner.fit(rows) for name, learner in learners.items()}
+    models = growth.fit_together(learners, rows)
     path = _place(t, "model")
     models["depthwise"].save(t.spark, path)
     models["saved"] = growth.ForestModel.load(t.spark, path)
-    out = None
+    # One pass over the rows for all models.
+    done = rows
     for name, model in models.items():
-        own = _means(model.transform(rows), name)
-        out = own if out is None else out.unionByName(own)
+        done = model.transform(done).withColumnRenamed("prediction", name)
+    out = _means(done, *models)
     # Two values an input leave a random cut one place.
     flags = VectorAssembler(inputCols=["line", "quantity"], outputCol="features").transform(
         rows.drop("features").withColumns({"line": F.col("late").cast("double"), "quantity": F.col("large").cast("double")})
     )
     extra = growth.ExtraTrees(trees=3, depth=2).fit(flags)
-    return out.unionByName(_means(extra.transform(flags), "extra"))
+    return out.unionByName(_means(extra.transform(flags).withColumnRenamed("prediction", "extra"), "extra"))
 
 
 @query(CELLS + """

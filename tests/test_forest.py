@@ -306,3 +306,32 @@ def test_categories_by_ordered_statistics(spark, tmp_path):
     assert score_of(growth.ForestModel.load(spark, f"{tmp_path}/model")) == pytest.approx(p)
     new = m.prepare(spark.createDataFrame([(1, "elsewhere", 0.0, 22.0)], "id long, town string, a double, y double"), "y", ["a"])
     assert model.transform(new).columns == [*new.columns, "prediction"] and model.transform(new).count() == 1
+
+
+def test_rows_of_the_same_bins_are_one(spark):
+    """Rows to learn from are merged where trees see them all, watched ones are not; sums stay, and the boosters share them."""
+    rows = [([float(k % 3), float(k % 2)], float(k), 1.0 + k % 4, k >= 90) for k in range(100)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "rid long, x array<double>, y double, w double, valid boolean").coalesce(1)
+    edges = [np.array([0.0, 1.0]), np.array([0.0])]
+    one, all_ = (growth.binned(df, edges, merged).collect() for merged in (True, False))
+    sums = lambda rs: {b: (sum(r.w for r in rs if r.bins == b), sum(r.w * r.y for r in rs if r.bins == b)) for b in {r.bins for r in rs}}
+    assert len(all_) == 100 and len(one) == 6 + 10 and sum(r.valid for r in one) == 10
+    for b, (w, y) in sums(all_).items():
+        assert sums(one)[b] == (pytest.approx(w), pytest.approx(y))
+
+
+def test_boosters_fitted_together(spark, monkeypatch):
+    """The same trees as one by one, with the rows laid out once."""
+    from pyspark.ml.linalg import Vectors
+
+    ready = spark.createDataFrame([(Vectors.dense(k % 7, k % 5), float(k % 7 + 2 * (k % 5 > 2))) for k in range(200)], ["features", "label"])
+    learners = {"a": growth.DepthwiseTrees(rounds=2, depth=2), "b": growth.LeafwiseTrees(rounds=2, depth=3, leaves=4), "c": growth.SymmetricTrees(rounds=2, depth=2)}
+    alone = {name: learner.fit(ready) for name, learner in learners.items()}
+    calls, edges = [], growth.bin_edges
+    monkeypatch.setattr(growth, "bin_edges", lambda *a: calls.append(1) or edges(*a))
+    together = growth.fit_together(learners, ready)
+    assert len(calls) == 1
+    for name, model in together.items():
+        for a, b in zip(model.forest.trees, alone[name].forest.trees, strict=True):
+            assert a.feature.tolist() == b.feature.tolist() and a.threshold.tolist() == b.threshold.tolist()
+            assert a.value.tolist() == pytest.approx(b.value.tolist()) and a.cover.tolist() == pytest.approx(b.cover.tolist())
