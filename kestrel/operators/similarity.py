@@ -32,14 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import letter_mask, sorted_tokens
-from kestrel.operators.alignment import compared
+from kestrel.operators.alignment import compared, scored
 from kestrel.operators.columns import c
 from kestrel.storage import Scratch, materialize, scratch
 
 #: Scores above this make letter pairs a bound.
 PAIRS_FROM = 200 / 3
-#: Names of a pack on either side: a task compares one pack with another.
-LEFT, RIGHT, TASKS = 1 << 11, 1 << 13, 10_000
+#: Names of a pack on either side at most: a task compares one pack with another.
+LEFT, RIGHT, TASKS = 1 << 13, 1 << 15, 10_000
+#: Left names are dealt over so many packs if these hold ``FEWEST`` names.
+SPREAD, FEWEST = 64, 512
+#: Holders of a token up to which a name is scored with all of them, for a score that its best partner reaches.
+HOLDERS = 16
 #: Rounding of the bounds.
 EPS = 1e-6
 
@@ -160,15 +164,31 @@ def _nested(left: DataFrame, right: DataFrame, block: Sequence[str], own: Scratc
     return out.groupBy(*keys, "l").agg(F.min(F.struct(F.lit(-100.0).alias("s"), "r")).alias("s"))
 
 
+def _hints(rest: DataFrame, right: DataFrame, block: Sequence[str], least: float, own: Scratch) -> DataFrame:
+    """(block, x, hint): the best token-set ratio, from ``least``, among the few right names that hold a name's rarest token."""
+    keys = [c(k) for k in block]
+    told = [own.write(df.select(*keys, "x", F.array_distinct("tokens").alias("tokens"), F.explode(F.array_distinct("tokens")).alias("gram")), "tokens") for df in (rest, right)]
+    few = own.write(told[1].groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") <= HOLDERS), "holders")
+    rarest = told[0].join(few, [*block, "gram"]).groupBy(*keys, "x", "tokens").agg(F.min(F.struct("f", "gram")).alias("g"))
+    rarest = own.write(rarest.select(*keys, "x", "tokens", F.col("g.gram").alias("gram")), "rarest")
+    held = told[1].select(*keys, "gram", F.col("tokens").alias("others"))
+    met = rarest.join(held, [*block, "gram"]).select(*keys, "x", "tokens", "others")
+    kinds = [f"`{k}` {rest.schema[k].dataType.simpleString()}" for k in block]
+    scores = met.mapInArrow(partial(scored, block=len(block), least=least), ", ".join([*kinds, "x string", "hint double"]))
+    return own.write(scores.groupBy(*keys, "x").agg(F.max("hint").alias("hint")), "hints")
+
+
 def _packed(names: DataFrame, block: Sequence[str], size: int, id_: str, as_: str) -> DataFrame:
-    """(block, id, names, forms): up to ``size`` names of a block in a row, those of like letters together."""
+    """(block, id, names, forms, hints): up to ``size`` names of a block in a row, those of like letters together."""
     keys = [c(k) for k in block]
     # Partitions of several packs: a pack lies within one, and small packs would be compared with many.
     parts = max(1, min(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), names.count() // (4 * size)))
-    told = names.select(*keys, F.col("x"), F.array_join("tokens", " ").alias("form"))
+    told = names.select(*keys, F.col("x"), F.array_join("tokens", " ").alias("form"), "hint")
     told = told.repartitionByRange(parts, *keys, F.reverse("form"), "x").sortWithinPartitions(*keys, F.reverse("form"), "x")
     lists = told.withColumn("__p", F.spark_partition_id()).withColumn("__n", F.floor(F.monotonically_increasing_id() % (1 << 33) / size))
-    lists = lists.groupBy(*keys, "__p", "__n").agg(F.collect_list("x").alias(f"{as_}_names"), F.collect_list("form").alias(f"{as_}_forms"))
+    one = F.collect_list(F.struct("x", "form", "hint")).alias("one")
+    lists = lists.groupBy(*keys, "__p", "__n").agg(one)
+    lists = lists.select(*keys, "__p", "__n", *(F.col(f"one.{k}").alias(f"{as_}_{n}") for k, n in (("x", "names"), ("form", "forms"), ("hint", "hints"))))
     return lists.withColumn(id_, F.concat_ws(" ", "__p", "__n")).drop("__p", "__n")
 
 
@@ -178,13 +198,17 @@ def best(left: DataFrame, right: DataFrame, block: Sequence[str], least_set: flo
 
     The better of the two is exact, and the other one only where it is as good; with ``first`` the token-sort ratio counts
     where no token-set ratio reaches its bound.  Names that nest are joined by a token.  The rest of the names are compared
-    in packed rows of a block (:mod:`kestrel.operators.alignment`), every pair of packs a row of its own.
+    in packed rows of a block (:mod:`kestrel.operators.alignment`), every pair of packs a row of its own; a name with a rare
+    token comes with the score that it gives, below which no pack looks for more.
     """
     keys = [c(k) for k in block]
     with scratch(left.sparkSession) as own:
         nested, _ = materialize(_nested(left, right, block, own), "nested")
         rest = own.write(left.join(nested.select(*keys, F.col("l").alias("x")), [*block, "x"], "left_anti"), "rest")
-        a, b = own.write(_packed(rest, block, LEFT, "__a", "l"), "packs"), own.write(_packed(right, block, RIGHT, "__b", "r"), "packs")
+        rest = own.write(rest.join(_hints(rest, right, block, least_set, own), [*block, "x"], "left").withColumn("hint", F.coalesce("hint", F.lit(-1.0))), "hinted")
+        size = min(LEFT, max(FEWEST, rest.count() // SPREAD))
+        a = own.write(_packed(rest, block, size, "__a", "l"), "packs")
+        b = own.write(_packed(right.withColumn("hint", F.lit(-1.0)), block, RIGHT, "__b", "r").drop("r_hints"), "packs")
         ids = a.select(*keys, "__a"), b.select(*keys, "__b")
         pairs = ids[0].join(ids[1], list(block)) if block else ids[0].crossJoin(ids[1])  # packs, not names
         pairs = own.write(pairs, "pairs")
@@ -193,7 +217,7 @@ def best(left: DataFrame, right: DataFrame, block: Sequence[str], least_set: flo
         both = pairs.join(a, [*block, "__a"]).join(b, [*block, "__b"]).repartition(tasks, *keys, "__a", "__b")
         kinds = [f"`{k}` {rest.schema[k].dataType.simpleString()}" for k in block]
         run = partial(compared, block=len(block), least_set=least_set, least_sort=least_sort, first=first)
-        told = both.select(*keys, "l_names", "l_forms", "r_names", "r_forms").mapInArrow(
+        told = both.select(*keys, "l_names", "l_forms", "l_hints", "r_names", "r_forms").mapInArrow(
             run, ", ".join([*kinds, "l string", "set double", "set_r string", "sort double", "sort_r string"])
         )
         pick = lambda k: F.min(F.when(F.col(k).isNotNull(), F.struct((-F.col(k)).alias("s"), F.col(f"{k}_r").alias("r"))))

@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kestrel.functions.text import letter_mask
-from kestrel.operators import linkage, similarity
+from kestrel.operators import alignment, linkage, similarity
 from kestrel.storage import scratch
 
 
@@ -221,3 +222,42 @@ def test_names_that_nest_are_found_by_a_token(spark):
     sides = [similarity.distinct_names(df, ["season"], "name") for df in (left, right)]
     got = {r.l: tuple(r.s) for r in similarity._nested(*sides, ["season"], similarity.Scratch(spark)).collect()}
     assert got == {f"{k:x} bolt jr red": (-100.0, f"red bolt {k:x}") for k in range(40)}
+
+
+def test_partners_in_small_steps_against_every_pair(names, monkeypatch):
+    """The walk down the tree in arrays of a few nodes, few names at once, and with bounds that are known before."""
+    form = lambda n: " ".join(sorted(n.split()))
+    for step, front, walkers in ((4.0, 1 << 19, 1 << 14), (1.0, 16, 5), (30.0, 64, 7)):
+        for name, value in (("STEP", step), ("FRONT", front), ("WALKERS", walkers)):
+            monkeypatch.setattr(alignment, name, value)
+        right = [*names[1], "silva thiago", "thiago silva"]
+        for known in (False, True):
+            hints = [max(set_ratio(n, o) for o in right) if known else -1.0 for n in names[0]]
+            found = {r[0]: r[1:] for r in alignment.partners((names[0], [form(n) for n in names[0]], hints), (right, [form(n) for n in right]), 60, 40, True)}
+            for n in names[0]:
+                s, t = nearest(set_ratio, n, right, 60), nearest(sort_ratio, n, right, 40)
+                got = found.get(n, (None, None, None, None))
+                assert (got[1], got[0]) == ((s[1], pytest.approx(-s[0])) if s else (None, None))
+                assert s or (got[3], got[2]) == ((t[1], pytest.approx(-t[0])) if t else (None, None))
+
+
+def test_comparisons_grow_far_slower_than_pairs():
+    """Four times the names on both sides are sixteen times the pairs, and some eight times the work; no best partner is lost."""
+    seen = []
+    for n in (1500, 6000):
+        right = [sorted(["bolt", ("red", "old", "hot")[k % 3], f"{k * 7919:x}"]) for k in range(n)]
+        left = [sorted(["bolt", ("ed", "ld", "ot")[k % 3], f"{k * 7919:x}"]) for k in range(n)]
+        best = alignment.Best(np.full(n, -1.0), 50, 50, False)
+        seen.append(alignment._walked(left, right, np.arange(n), np.arange(n), best))
+        assert (best.name["set"] == np.arange(n)).all()
+    assert seen[1] < 10 * seen[0] and seen[1] < 6000 * 6000 / 4
+
+
+def test_rare_tokens_give_bounds(spark):
+    """The hint of a name is the score of one of the few names that hold its rarest token; frequent tokens give none."""
+    right = spark.createDataFrame([(1, f"red bolt {k:x}") for k in range(40)], "season int, name string")
+    left = spark.createDataFrame([(1, "ed bolt 1f"), (1, "ed bolt 99"), (2, "ed bolt 1f")], "season int, name string")
+    sides = [similarity.distinct_names(df, ["season"], "name") for df in (left, right)]
+    with scratch(spark) as own:
+        got = {(r.season, r.x): r.hint for r in similarity._hints(*sides, ["season"], 50, own).collect()}
+    assert got == {(1, "ed bolt 1f"): pytest.approx(set_ratio("ed bolt 1f", "red bolt 1f"))}
