@@ -167,7 +167,7 @@ def _nested(left: DataFrame, right: DataFrame, block: Sequence[str], own: Scratc
 def _hints(rest: DataFrame, right: DataFrame, block: Sequence[str], least: float, own: Scratch) -> DataFrame:
     """(block, x, hint): the best token-set ratio, from ``least``, among the few right names that hold a name's rarest token."""
     keys = [c(k) for k in block]
-    told = [own.write(df.select(*keys, "x", F.array_distinct("tokens").alias("tokens"), F.explode(F.array_distinct("tokens")).alias("gram")), "tokens") for df in (rest, right)]
+    told = [df.select(*keys, "x", F.array_distinct("tokens").alias("tokens"), F.explode(F.array_distinct("tokens")).alias("gram")) for df in (rest, right)]
     few = own.write(told[1].groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") <= HOLDERS), "holders")
     rarest = told[0].join(few, [*block, "gram"]).groupBy(*keys, "x", "tokens").agg(F.min(F.struct("f", "gram")).alias("g"))
     rarest = own.write(rarest.select(*keys, "x", "tokens", F.col("g.gram").alias("gram")), "rarest")
@@ -175,7 +175,7 @@ def _hints(rest: DataFrame, right: DataFrame, block: Sequence[str], least: float
     met = rarest.join(held, [*block, "gram"]).select(*keys, "x", "tokens", "others")
     kinds = [f"`{k}` {rest.schema[k].dataType.simpleString()}" for k in block]
     scores = met.mapInArrow(partial(scored, block=len(block), least=least), ", ".join([*kinds, "x string", "hint double"]))
-    return own.write(scores.groupBy(*keys, "x").agg(F.max("hint").alias("hint")), "hints")
+    return scores.groupBy(*keys, "x").agg(F.max("hint").alias("hint"))
 
 
 def _packed(names: DataFrame, block: Sequence[str], size: int, id_: str, as_: str) -> DataFrame:
