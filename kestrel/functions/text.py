@@ -121,7 +121,8 @@ def repair_mojibake(x: Column) -> Column:
 
 def normalise_name(x: Column) -> Column:
     """Join key of a name: repaired, ASCII, lower case, letters, digits and single spaces."""
-    return F.trim(F.regexp_replace(F.lower(transliterate(repair_mojibake(x))), r"[^a-z0-9]+", " "))
+    ascii_ = F.when(x.rlike(r"[^\x00-\x7F]"), transliterate(repair_mojibake(x))).otherwise(x)
+    return F.trim(F.regexp_replace(F.lower(ascii_), r"[^a-z0-9]+", " "))
 
 
 def clean_text(x: Column) -> Column:

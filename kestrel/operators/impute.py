@@ -49,6 +49,9 @@ def hierarchical(
     known = c(value) if where is None else F.when(~F.coalesce(where, F.lit(False)), c(value))
     work, names = df.withColumn("__known", known), []
     clean = train if where is None else train.where(~F.coalesce(where, F.lit(False)))
+    if len(levels) > 1:  # each level reads the few columns it needs, not what they are made of
+        narrow = list(dict.fromkeys((*(k for keys in levels for k in keys), value)))
+        clean, _ = materialize(clean.where(c(value).isNotNull()).select(*(c(n) for n in narrow)), "train")
 
     def learn(keys: Sequence[str]) -> DataFrame:
         # Written, so that both sides of the look-up are read tables and a hot key can be split.

@@ -8,6 +8,7 @@ by a join on tokens, the rest by comparing packs of names, each pair of packs in
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,23 +96,34 @@ def cascade(
 
     ``players(row, season, name, club)``; ``mapping(name, ident)``; ``valuations(season, name, club, ident)``.
     The mapping only offers names that occur among the players of that season.  Each
-    step's matches are written, so later steps read them instead of computing them again.
+    step's matches are written, so later steps read them instead of computing them again;
+    a step's names are prepared when it is reached, and none is once every player is matched.
     """
     # Written once: later steps read names that were normalised once.
     players, _ = materialize(players, "players")
-    valuations, _ = materialize(valuations.select(c(season), c(name), c(club), c(ident)), "pool")
-    seasonal, _ = materialize(players.select(c(season), c(name)).distinct().join(mapping, name), "seasonal")
+
+    @cache
+    def seasonal() -> DataFrame:
+        return materialize(players.select(c(season), c(name)).distinct().join(mapping, name), "seasonal")[0]
+
+    @cache
+    def pool() -> DataFrame:
+        return materialize(valuations.select(c(season), c(name), c(club), c(ident)), "pool")[0]
+
     left, out = players, None
     steps = (
-        lambda rest: exact_step(rest, seasonal, [season, name], row, "exact_mapping", [ident]),
-        lambda rest: fuzzy_step(rest, seasonal, [season], name, row, "fuzzy_mapping", [ident], score_min),
-        lambda rest: exact_step(rest, valuations, [season, name], row, "exact_valuation", [ident]),
-        lambda rest: fuzzy_club_step(rest, valuations, [season], name, club, row, "fuzzy_valuation", [ident]),
+        # A player's own name is offered in each of their seasons, so it is looked up by name alone.
+        lambda rest: exact_step(rest.where(c(season).isNotNull()), mapping, [name], row, "exact_mapping", [ident]),
+        lambda rest: fuzzy_step(rest, seasonal(), [season], name, row, "fuzzy_mapping", [ident], score_min),
+        lambda rest: exact_step(rest, pool(), [season, name], row, "exact_valuation", [ident]),
+        lambda rest: fuzzy_club_step(rest, pool(), [season], name, club, row, "fuzzy_valuation", [ident]),
     )
     for k, step in enumerate(steps):
         found, _ = materialize(step(left), f"match{k}")
         out = found if out is None else out.unionByName(found)
         left, _ = materialize(remaining(left, found, row), f"left{k}")
+        if left.isEmpty():  # nobody is left to look for
+            break
     return out, left
 
 
@@ -165,15 +177,21 @@ def reason_shares(diagnosed: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def fuzzy_dimension(df: DataFrame, dim: DataFrame, block: Sequence[str], name: str, take: Sequence[str], least: float = 80) -> DataFrame:
-    """Left join on (block, name); rows without an exact partner take the best similar name's values."""
-    exact = dim.select(*(c(b) for b in block), c(name), *(c(t) for t in take)).dropDuplicates([*block, name])
-    joined = df.join(exact.withColumn("__hit", F.lit(1)), [*block, name], "left")
-    hit, missed = joined.where("__hit = 1").drop("__hit"), joined.where("__hit IS NULL").drop("__hit", *take)
-    with scratch(df.sparkSession) as own:
-        a, b = (own.write(distinct_names(side, block, name), "names") for side in (missed, exact))
-        best = similarity.best(a, b, block, least)
-    best = best.select(*(c(b) for b in block), "l", F.col("s.r").alias("r"))
-    found = best.join(exact.withColumnRenamed(name, "r"), [*block, "r"]).select(
-        *(c(b) for b in block), F.col("l").alias(name), *(c(t) for t in take)
-    )
-    return hit.unionByName(missed.join(found, [*block, name], "left"))
+    """Left join on (block, name); rows without an exact partner take the best similar name's values.
+
+    Partners are looked up for the distinct names; the rows of ``df`` are joined once, with what was found.
+    """
+    keys = [*block, name]
+    spark = df.sparkSession
+    with scratch(spark) as own:
+        # Written: what a dimension's names are cleaned from is read once, not for each of the steps below.
+        exact = own.write(dim.select(*(c(k) for k in keys), *(c(t) for t in take)).dropDuplicates(keys), "dimension")
+        asked = own.write(df.select(*(c(k) for k in keys)).distinct(), "asked")
+        hit = asked.join(exact, keys)
+        missed = own.write(distinct_names(asked.join(exact, keys, "left_anti"), block, name), "names")
+        if not missed.isEmpty():
+            best = similarity.best(missed, own.write(distinct_names(exact, block, name), "names"), block, least)
+            best = best.select(*(c(b) for b in block), F.col("l"), F.col("s.r").alias(name))
+            hit = hit.unionByName(best.join(exact, keys).drop(name).withColumnRenamed("l", name))
+        found, _ = materialize(hit, "partners")
+    return df.join(found, keys, "left")

@@ -81,8 +81,8 @@ def link(performance: DataFrame, mapping: DataFrame, values: DataFrame, score_mi
         text.clean_club(c("current_club_name")).alias("club_clean"),
         c("player_id").alias("tm_id"),
     )
-    found, orphans = linkage.cascade(left, known, pool, season="season_year", score_min=score_min)
-    return left.join(found, "row_id"), orphans
+    found, orphans = linkage.cascade(left.select("row_id", "season_year", "name_clean", "club_clean"), known, pool, season="season_year", score_min=score_min)
+    return left.join(found, "row_id"), left.join(orphans.select("row_id"), "row_id", "left_semi")
 
 
 def encoded(df: DataFrame) -> DataFrame:
@@ -106,29 +106,33 @@ def build(
     standings: DataFrame, ranking: DataFrame,
 ) -> tuple[DataFrame, DataFrame]:
     """(learning table with a ``split`` column, orphans)."""
-    # Each is read by several of the next steps.
+    # Read by several of the next steps.
     values, _ = materialize(valuations_by_season(players, valuations), "values")
     linked, orphans = link(performance, mapping, values)
-    identity = values.drop("current_club_name").withColumnRenamed("player_id", "tm_id")
     hurt = injuries_by_season(injuries).withColumnRenamed("player_id", "tm_id")
     hurt_columns = [n for n in hurt.columns if n.startswith("injury_")]
     clubs = standings.select(
         "season_year", text.map_or_self(text.clean_club(c("team")), text.CLUB_SYNONYMS).alias("club_clean"), "classement"
     )
-    table = linked.join(identity, ["tm_id", "season_year"], "left").join(hurt, ["tm_id", "season_year"], "left")
-    table = table.fillna(0, hurt_columns).withColumn("club_clean", text.map_or_self(c("club_clean"), text.CLUB_SYNONYMS))
-    table, _ = materialize(table, "table")
+    table = linked.withColumn("club_clean", text.map_or_self(c("club_clean"), text.CLUB_SYNONYMS))
     table = linkage.fuzzy_dimension(table, clubs, ["season_year"], "club_clean", ["classement"])
     merged = aggregates.merge_duplicates(
         table.drop("row_id", "name_clean", "club_clean", "score"),
         ["player", "season_year"],
         ["team", "league"],
-        # Heights, positions and season totals are not additive over a season's clubs.
-        {n: "last" for n in ("height_in_cm", "classement", *hurt_columns)} | {"season": "last"},
+        # Positions of clubs are not additive over a season's clubs.
+        {"classement": "last", "season": "last"},
     )
     merged = aggregates.recompute_ratios(merged)
+    # A player's identity follows from name and season, so what is known of it is joined to merged rows, not to each club's.
+    identity = values.drop("current_club_name").withColumnRenamed("player_id", "tm_id")
+    own = [n for n in identity.columns if n not in ("tm_id", "season_year")]
+    # A player listed twice is one player; of two entries the larger one counts.
+    identity = identity.groupBy("tm_id", "season_year").agg(*(F.max(c(n)).alias(n) for n in own))
+    known = merged.join(identity.where("market_value_in_eur IS NOT NULL"), ["tm_id", "season_year"])
+    known = known.join(hurt, ["tm_id", "season_year"], "left").fillna(0, hurt_columns)
     ranks = nation_rank(ranking).select(c("country_abrv").alias("nation"), "season_year", "rank")
-    known = merged.where("market_value_in_eur IS NOT NULL").join(ranks, ["nation", "season_year"], "left")
+    known = known.join(ranks, ["nation", "season_year"], "left")
     known = known.fillna(999, ["rank"]).withColumn("confederation", encode.confederation(c("nation")))
     age = c("season_year") - F.year("date_of_birth")
     if "age" in known.columns:  # the source's own age ("23-328") where the birth date is unknown
