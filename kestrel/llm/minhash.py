@@ -109,21 +109,30 @@ def signed(given: DataFrame, width: int) -> DataFrame:
     return given.mapInArrow(run, f"__id {kind}, __key binary, node binary, n long, {', '.join(f'{b} long' for b in BITS)}, sig binary")
 
 
-def buckets(nodes: DataFrame, out: Scratch) -> DataFrame:
-    """(h, node, n, f, weight, bitmap): each band value that f > 1 nodes share; a node's weight is the sum of its f."""
+def gathered(nodes: DataFrame, out: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(h, node, n, f, weight, bitmap): each band value that f > 1 nodes share; a node's weight is the sum of its f.
+
+    And those nodes with their signatures: the others, most of clean texts, are compared with nobody.
+    """
     size = 2 * BAND
     bands = [F.xxhash64(F.lit(k), F.substring("sig", size * k + 1, size)) for k in range(HASHES // BAND)]
-    # Tables are written before each join, so that a crowded band value can be split.
-    keys = out.write(nodes.select("node", F.explode(F.array(*bands)).alias("h")), "bands")
-    met = out.write(keys.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "met")
-    shared = out.write(keys.join(met, "h"), "shared")
-    weights = shared.groupBy("node").agg(F.sum("f").alias("weight"))
-    about = out.write(weights.join(nodes.select("node", "n", *BITS), "node"), "about")
-    return out.write(shared.join(about, "node"), "buckets")
+    with scratch(nodes.sparkSession) as own:
+        # Tables are written before each join, so that a crowded band value can be split.
+        keys = own.write(nodes.select("node", F.explode(F.array(*bands)).alias("h")), "bands")
+        met = own.write(keys.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "met")
+        shared = own.write(keys.join(met, "h"), "shared")
+        weights = shared.groupBy("node").agg(F.sum("f").alias("weight"))
+        about = out.write(weights.join(nodes.select("node", "n", *BITS, "sig"), "node"), "about")
+        return out.write(shared.join(about.drop("sig"), "node"), "buckets"), about.select("node", "sig")
+
+
+def buckets(nodes: DataFrame, out: Scratch) -> DataFrame:
+    """The first table of :func:`gathered`."""
+    return gathered(nodes, out)[0]
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, out: Scratch) -> DataFrame:
-    """The pairs (a, b) whose signatures, compared batch by batch, leave a link some chance."""
+    """The pairs (a, b) whose signatures in the written table ``nodes``, compared batch by batch, leave a link some chance."""
     steps = [(at, least_matches(at + BATCH)) for at in range(0, HASHES, BATCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +144,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, out: Scratch) -> DataFrame:
                 alive, agree = alive[agree >= least], agree[agree >= least]
             yield pa.RecordBatch.from_arrays([c.take(pa.array(alive)) for c in batch.columns[:2]], names=["a", "b"])
 
-    sigs = out.write(nodes.select("node", "sig"), "signatures")
+    sigs = nodes.select("node", "sig")
     one = out.write(pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a"), "sided")
     both = one.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a binary, b binary")
@@ -166,7 +175,7 @@ def told(blocks: DataFrame, nodes: DataFrame, out: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["node", *words, "hs"])
 
     held = out.write(blocks.groupBy("node").agg(F.sort_array(F.collect_set("h")).alias("hs")), "held")  # a node has as many as bands
-    some = held.join(out.write(nodes.select("node", "sig"), "signatures"), "node").select("node", "sig", "hs")
+    some = held.join(nodes.select("node", "sig"), "node").select("node", "sig", "hs")
     known = out.write(some.mapInArrow(run, f"node binary, {', '.join(f'{w} long' for w in words)}, hs array<long>"), "words")
     return out.write(blocks.join(known, "node"), "told")
 
@@ -183,7 +192,8 @@ def left_pairs(blocks: DataFrame, nodes: DataFrame, out: Scratch) -> DataFrame:
 def links(nodes: DataFrame, whole: Callable[[DataFrame], DataFrame], out: Scratch) -> DataFrame:
     """(node, root) of the components of similar sets; ``whole`` gives (node, s) of the nodes of a table."""
     spark, found, roots = nodes.sparkSession, None, None
-    blocks = buckets(nodes, out).withColumn("root", F.col("node"))
+    blocks, met = gathered(nodes, out)
+    blocks = blocks.withColumn("root", F.col("node"))
     for r in range(STARS + 1):
         if roots is not None:
             with scratch(spark) as own:
@@ -198,9 +208,9 @@ def links(nodes: DataFrame, whole: Callable[[DataFrame], DataFrame], out: Scratc
             joined = blocks.alias("a").join(pivots.alias("b"), (F.col("a.h") == F.col("b.h")) & fits)
             pairs = joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
         else:
-            pairs = left_pairs(blocks, nodes, out)
+            pairs = left_pairs(blocks, met, out)
         with scratch(spark) as own:
-            likely = own.write(plausible(own.write(pairs, "pairs"), nodes, own), "likely")
+            likely = own.write(plausible(own.write(pairs, "pairs"), met, own), "likely")
             ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             new = out.write(similar(likely, own.write(whole(ends), "sets")), "similar")
         found = new if found is None else found.unionByName(new)
